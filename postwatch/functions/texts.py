@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .core import any_of, col, let, lookup, text_or_blank
 from .urls import host_of, last_segment, path_of
@@ -57,7 +58,7 @@ def squeeze(value: Column) -> Column:
 
 
 def title_normalized(title: Column | str) -> Column:
-    kept = F.regexp_replace(F.lower(col(title)), r"(?U)[^\w\s]+", "")
+    kept = F.regexp_replace(F.lower(col(title)), r"(?U)[^\p{L}\p{N}_\s]+", "")
     return F.regexp_replace(kept, r"(?U)^\s+|\s+$", "")
 
 
@@ -75,7 +76,7 @@ def _fold(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_ascii(text: pd.Series) -> pd.Series:
     """Accents dropped, other non-ASCII removed; Spark has no such built-in."""
     return _fold(text)
@@ -244,7 +245,7 @@ def register_sql_functions(spark) -> None:
     words = "|".join(word for word in CAREER_KEYWORDS if "-" not in word)
     bodies = {
         "pw_title_normalized(t STRING)": (
-            r"trim(regexp_replace(lower(t), '(?U)[^\\w\\s]+', ''))"
+            r"trim(regexp_replace(lower(t), '(?U)[^\\p{L}\\p{N}_\\s]+', ''))"
         ),
         "pw_content_hash(t STRING, l STRING, d STRING)": (
             "sha2(concat_ws(chr(31), coalesce(t,''), coalesce(l,''), coalesce(d,'')), 256)"

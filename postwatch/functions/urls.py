@@ -105,31 +105,47 @@ def normalize_url(url: Column | str) -> Column:
     """Canonical URL: lower-case scheme and host, no default port, fragment, user part, path
     parameters or tracking parameters; sorted query; no doubled or trailing slashes."""
 
-    def build(clean: Column) -> Column:
-        scheme = _scheme_of(clean)
-        netloc = _netloc_of(clean)
-        host = F.regexp_replace(_host_of_netloc(netloc), r"^\.+|\.+$", "")
-        port = F.regexp_replace(F.regexp_extract(netloc, r":0*([0-9]+)$", 1), "^$", "")
-        default_port = any_of([(scheme == s) & (port == p) for s, p in _DEFAULT_PORTS])
-        authority = F.when((port == "") | default_port, host).otherwise(
-            F.concat(host, F.lit(":"), port)
+    def split(clean: Column) -> Column:
+        return F.struct(
+            _scheme_of(clean).alias("scheme"), _netloc_of(clean).alias("netloc"),
+            _tail_of(clean).alias("tail"),
         )
-        tail = _tail_of(clean)
-        raw_path = F.regexp_replace(tail, r"(?s)\?.*$", "")
+
+    def parse(u: Column) -> Column:
+        raw_path = F.regexp_replace(u["tail"], r"(?s)\?.*$", "")
         path = F.when(
-            scheme.isin(*_PARAM_SCHEMES), F.regexp_replace(raw_path, r";[^/]*$", "")
+            u["scheme"].isin(*_PARAM_SCHEMES), F.regexp_replace(raw_path, r";[^/]*$", "")
         ).otherwise(raw_path)
-        path = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"/{2,}", "/")
-        query = _sorted_query(F.regexp_extract(tail, r"(?s)\?(.*)$", 1))
-        prefix = F.when(scheme == "", F.lit("")).otherwise(F.concat(scheme, F.lit(":")))
+        query = F.when(
+            u["tail"].contains("?"), _sorted_query(F.regexp_extract(u["tail"], r"(?s)\?(.*)$", 1))
+        ).otherwise("")
+        return F.struct(
+            u["scheme"].alias("scheme"),
+            F.regexp_replace(_host_of_netloc(u["netloc"]), r"^\.+|\.+$", "").alias("host"),
+            F.regexp_extract(u["netloc"], r":0*([0-9]+)$", 1).alias("port"),
+            F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"/{2,}", "/").alias("path"),
+            query.alias("query"),
+        )
+
+    def write(u: Column) -> Column:
+        default_port = any_of(
+            [(u["scheme"] == s) & (u["port"] == p) for s, p in _DEFAULT_PORTS]
+        )
+        colon = F.when((u["port"] == "") | default_port, "").otherwise(
+            F.concat(F.lit(":"), u["port"])
+        )
         slashes = F.when(
-            (authority != "") | scheme.isin("http", "https", "ftp"), F.lit("//")
-        ).otherwise(F.lit(""))
-        joiner = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
-        return F.concat(prefix, slashes, authority, path, joiner)
+            (u["host"] != "") | u["scheme"].isin("http", "https", "ftp"), "//"
+        ).otherwise("")
+        return F.concat(
+            F.when(u["scheme"] == "", "").otherwise(F.concat(u["scheme"], F.lit(":"))),
+            slashes, u["host"], colon, u["path"],
+            F.when(u["query"] == "", "").otherwise(F.concat(F.lit("?"), u["query"])),
+        )
 
     return let(
-        _clean(col(url)), lambda clean: F.when(clean == "", F.lit("")).otherwise(build(clean))
+        _clean(col(url)),
+        lambda clean: F.when(clean == "", "").otherwise(let(let(split(clean), parse), write)),
     )
 
 
@@ -209,31 +225,35 @@ def is_career_subdomain(host: Column | str) -> Column:
 
 
 def host_flags(host: Column | str) -> Column:
-    h = col(host)
-    return F.struct(
-        is_blocked_host(h).alias("blocked"),
-        is_registry_ats_host(h).alias("ats"),
-        is_workday_host(h).alias("workday"),
-        is_career_subdomain(h).alias("career_subdomain"),
+    return let(
+        col(host),
+        lambda h: F.struct(
+            is_blocked_host(h).alias("blocked"),
+            is_registry_ats_host(h).alias("ats"),
+            is_workday_host(h).alias("workday"),
+            is_career_subdomain(h).alias("career_subdomain"),
+        ),
     )
 
 
 def sniff_source(url: Column | str) -> Column:
     """Source type and board identifier of a career URL; blocked hosts are flagged."""
-    full = with_scheme(_clean(col(url)))
 
-    def build(bound: Column) -> Column:
-        host = host_of(bound, strip_www=False)
-        source = F.lit("own_career_page")
-        identifier = F.lit("")
+    def parts(full: Column) -> Column:
+        return F.struct(
+            host_of(full, strip_www=False).alias("host"), first_segment(full).alias("segment")
+        )
+
+    def build(u: Column) -> Column:
+        host, label = u["host"], F.substring_index(u["host"], ".", 1)
+        source, identifier = F.lit("own_career_page"), F.lit("")
         for name, (exact, suffix) in reversed(ATS_HOSTS.items()):
             below = host.endswith(suffix) if suffix else F.lit(False)
-            named = name != "workday"
-            source = F.when(host.isin(*exact) | below, F.lit(name)).otherwise(source)
-            identifier = (
-                F.when(host.isin(*exact), first_segment(bound) if named else F.lit(""))
-                .when(below, F.substring_index(host, ".", 1) if named else F.lit(""))
-                .otherwise(identifier)
+            source = F.when(host.isin(*exact) | below, name).otherwise(source)
+            if name == "workday":  # recognised, but it has no board identifier
+                continue
+            identifier = F.when(host.isin(*exact), u["segment"]).when(below, label).otherwise(
+                identifier
             )
         blocked = is_blocked_host(host)
         return F.struct(
@@ -242,7 +262,7 @@ def sniff_source(url: Column | str) -> Column:
             blocked.alias("blocked"),
         )
 
-    return let(full, build)
+    return let(let(with_scheme(_clean(col(url))), parts), build)
 
 
 def absolute_url(base: Column, href: Column) -> Column:
