@@ -46,38 +46,49 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.when(known, text.try_cast("date"))
 
 
+def _numeric_parts(raw: Column) -> Column:
+    pieces = F.split(raw, r"[-\s/]")
+    return F.struct(
+        *[F.try_element_at(pieces, F.lit(i)).try_cast("int").alias(n)
+          for i, n in enumerate(("a", "b", "c"), 1)],
+        F.length(F.try_element_at(pieces, F.lit(1))).alias("head"),
+        F.length(F.try_element_at(pieces, F.lit(3))).alias("tail"),
+    )
+
+
 def parse_written_date(raw: Column, hint: Column, now: int) -> Column:
     """The date a matched text stands for, null when it is none. Numeric dates are read day first
     unless only month first is possible."""
-    digits = r"^(\d+)[-\s/](\d+)[-\s/](\d+)$"
-    a, b, c = (_number(raw, digits, g) for g in (1, 2, 3))
-    first_len = F.length(F.regexp_extract(raw, digits, 1))
-    last_len = F.length(F.regexp_extract(raw, digits, 3))
-    year_first = (a > 31) | (first_len > 2)
-    day_first = (hint == "day-month-year") & (b <= 12) | (a > 12)
-    tail_year = _full_year(c, last_len, now)
-    numeric = (
-        F.when(year_first, _date(_full_year(a, first_len, now), b, c))
-        .when(day_first, _date(tail_year, b, a))
-        .otherwise(_date(tail_year, a, b))
-    )
-    names = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
-    word = F.lower(F.regexp_extract(raw, r"([A-Za-z]+)", 1))
-    year = _number(raw, r"(\d{4})$", 1)
-    day = F.when(
-        hint == "month-day-year", _number(raw, r"^\D+(\d{1,2})", 1)
-    ).otherwise(_number(raw, r"^(\d{1,2})", 1))
-    written = _date(year, F.try_element_at(names, word), day)
-    return F.when(hint.isin("month-day-year", "day-month-year-text"), written).otherwise(numeric)
+    def numeric(n: Column) -> Column:
+        tail_year = _full_year(n["c"], n["tail"], now)
+        day_first = ((hint == "day-month-year") & (n["b"] <= 12)) | (n["a"] > 12)
+        return (
+            F.when((n["a"] > 31) | (n["head"] > 2),
+                   _date(_full_year(n["a"], n["head"], now), n["b"], n["c"]))
+            .when(day_first, _date(tail_year, n["b"], n["a"]))
+            .otherwise(_date(tail_year, n["a"], n["b"]))
+        )
+
+    def written() -> Column:
+        names = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
+        word = F.lower(F.regexp_extract(raw, r"([A-Za-z]+)", 1))
+        day = F.when(hint == "month-day-year", _number(raw, r"^\D+(\d{1,2})", 1)).otherwise(
+            _number(raw, r"^(\d{1,2})", 1)
+        )
+        return _date(_number(raw, r"(\d{4})$", 1), F.try_element_at(names, word), day)
+
+    textual = hint.isin("month-day-year", "day-month-year-text")
+    return F.when(textual, written()).otherwise(let(_numeric_parts(raw), numeric))
 
 
 def _ambiguous(raw: Column, hint: Column) -> Column:
-    digits = r"^(\d+)[-\s/](\d+)[-\s/](\d+)$"
-    a, b, c = (_number(raw, digits, g) for g in (1, 2, 3))
-    swap = F.when(hint == "day-month-year", (a <= 12) & (b <= 12) & (a != b)).when(
-        hint == "year-month-day", (b <= 12) & (c <= 12) & (b != c)
-    )
-    return F.coalesce(swap, F.lit(False))
+    def swap(n: Column) -> Column:
+        a, b, c = n["a"], n["b"], n["c"]
+        return F.when(hint == "day-month-year", (a <= 12) & (b <= 12) & (a != b)).when(
+            hint == "year-month-day", (b <= 12) & (c <= 12) & (b != c)
+        )
+
+    return F.coalesce(let(_numeric_parts(raw), swap), F.lit(False))
 
 
 def _matches(text: Column, hint: str, pattern: str) -> Column:

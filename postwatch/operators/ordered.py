@@ -127,7 +127,7 @@ def with_ordered_index(df: DataFrame, order: Sequence[str], out: str) -> DataFra
     laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     laid = cut_lineage(
         laid.withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select(
@@ -135,5 +135,5 @@ def with_ordered_index(df: DataFrame, order: Sequence[str], out: str) -> DataFra
     )
     # one row per shuffle partition, so this side is bounded by that setting
     return laid.join(F.broadcast(starts), "_part").withColumn(
-        out, F.col("_start") + F.col("_at")
-    ).drop("_part", "_at", "_start")
+        out, F.col("_start") + F.col("_nth")
+    ).drop("_part", "_nth", "_start")

@@ -1 +1,854 @@
-"""Queries."""
+"""State-transition queries: merges, strikes, health, edits, audits, feeds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import texts, urls
+from ..operators import (
+    aggregates, audit, companies, cycle, exams, merge, outcomes, postings, reviews, strikes,
+)
+from ..sources import feeds, snapshots
+from .registry import query
+from .views import AS_OF, EVENTS_AS_OF, as_of
+
+NOW = f"TIMESTAMP '{AS_OF}'"
+
+
+def stored_jobs(v):
+    """Job table with identity columns; a quarter of the postings is not stored yet."""
+    jobs = v.job().withColumn("description", F.concat(F.lit("about "), F.col("title")))
+    full = jobs.withColumn("normalized_source_url", urls.normalize_url("source_url")).withColumn(
+        "title_normalized", texts.title_normalized("title")
+    ).withColumn(
+        "content_hash",
+        texts.content_hash(F.col("title"), F.col("location_raw"), F.col("description")),
+    ).withColumn("review_reason", F.lit(""))
+    return full.filter(F.col("job_id") % 4 != 3)
+
+
+def posting_batch(v):
+    """Latest sighting of every job as a posting; some titles and addresses have changed, some
+    lost their source id."""
+    seen = v.sighting().groupBy("job_id").agg(F.max("seen_at").alias("seen_at"))
+    k = F.col("job_id")
+    return v.job().join(seen, "job_id").select(
+        "company_id", k.alias("row_id"),
+        F.when(k % 8 == 0, "").otherwise(F.concat(F.lit("J"), k.cast("string"))).alias(
+            "source_job_id"),
+        F.when(k % 9 == 0, F.concat(F.col("source_url"), F.lit("/moved")))
+        .otherwise(F.concat(F.col("source_url"), F.lit("/?utm_source=feed"))).alias("source_url"),
+        F.when(k % 5 == 1, F.concat(F.col("title"), F.lit(" senior"))).otherwise(F.col("title"))
+        .alias("title"),
+        "location_raw", "department", "work_mode", "job_type", "posted_at",
+        F.concat(F.lit("about "), F.col("title")).alias("description"),
+        F.lit(90).alias("extraction_confidence"),
+    )
+
+
+UPSERT_SQL = """
+stored AS (SELECT *, 'https://c' || company_id || '.example.org/jobs/' || job_id AS norm,
+    CASE WHEN job_id % 5 = 0 THEN '' ELSE 'J' || job_id END AS sid,
+    sha256(title || chr(31) || location_raw || chr(31) || 'about ' || title) AS hash
+  FROM v_job WHERE job_id % 4 <> 3),
+alive AS (SELECT * FROM stored WHERE NOT is_deleted),
+batch AS (SELECT j.company_id, j.job_id AS row_id,
+    CASE WHEN j.job_id % 8 = 0 THEN '' ELSE 'J' || j.job_id END AS sid,
+    source_url || CASE WHEN j.job_id % 9 = 0 THEN '/moved' ELSE '/?utm_source=feed' END AS url,
+    source_url || CASE WHEN j.job_id % 9 = 0 THEN '/moved' ELSE '' END AS norm,
+    title || CASE WHEN j.job_id % 5 = 1 THEN ' senior' ELSE '' END AS title,
+    location_raw, 'about ' || title AS description, posted_at
+  FROM v_job j WHERE j.job_id IN (SELECT job_id FROM v_sighting)),
+hashed AS (SELECT *, sha256(title || chr(31) || location_raw || chr(31) || description) AS hash
+  FROM batch),
+own AS (SELECT company_id, sid, min((first_seen_at, job_id)) AS o FROM alive WHERE sid <> ''
+  GROUP BY ALL),
+by_url AS (SELECT company_id, norm, min((first_seen_at, job_id)) AS o FROM alive GROUP BY ALL),
+by_hash AS (SELECT company_id, hash, min((first_seen_at, job_id)) AS o FROM alive GROUP BY ALL),
+first_in_batch AS (
+  SELECT row_id, min(row_id) OVER (PARTITION BY company_id, hash) AS head FROM hashed),
+merged AS (SELECT f.head AS row_id, arg_max(h.title, h.row_id) AS title,
+    arg_max(h.url, h.row_id) AS url, arg_max(h.norm, h.row_id) AS norm,
+    arg_min(h.sid, h.row_id) AS sid, arg_max(h.hash, h.row_id) AS hash,
+    any_value(h.company_id) AS company_id, arg_max(h.row_id, h.row_id) AS last_id
+  FROM hashed h JOIN first_in_batch f USING (row_id) GROUP BY f.head),
+matched AS (SELECT m.*, coalesce(own.o, by_url.o, by_hash.o)[2] AS job_id
+  FROM merged m LEFT JOIN own ON own.company_id = m.company_id AND own.sid = m.sid
+  LEFT JOIN by_url ON by_url.company_id = m.company_id AND by_url.norm = m.norm
+  LEFT JOIN by_hash ON by_hash.company_id = m.company_id AND by_hash.hash = m.hash),
+latest AS (SELECT * FROM matched WHERE job_id IS NOT NULL QUALIFY row_number() OVER (
+  PARTITION BY job_id ORDER BY row_id DESC) = 1),
+fresh AS (SELECT company_id, row_id, row_number() OVER (ORDER BY company_id, row_id) - 1
+  + (SELECT max(job_id) + 1 FROM stored) AS job_id FROM matched WHERE job_id IS NULL)"""
+
+
+@query("upsert_outcomes", "M1 J8", f"""
+WITH {UPSERT_SQL},
+b AS (SELECT l.*, j.department AS d2, j.work_mode AS w2, j.job_type AS t2, j.posted_at AS p2,
+    j.location_raw AS l2, 'about ' || j.title AS description
+  FROM latest l JOIN v_job j ON j.job_id = l.last_id)
+SELECT s.company_id, s.job_id, CASE
+  WHEN status IN ('possibly_closed', 'likely_closed', 'closed') AND NOT is_manual_status
+    THEN 'reopened'
+  WHEN status = 'open' AND s.title = b.title AND s.source_url = b.url AND s.hash = b.hash
+    AND department = d2 AND work_mode = w2 AND job_type = t2 AND location_raw = l2
+    AND posted_at IS NOT DISTINCT FROM p2 AND 'about ' || s.title = b.description
+    THEN 'unchanged'
+  ELSE 'updated' END AS outcome
+FROM stored s JOIN b USING (job_id)
+UNION ALL SELECT company_id, job_id, 'created' FROM fresh""")
+def _(v):
+    return postings.upsert_postings(
+        stored_jobs(v), v.company(), posting_batch(v), as_of()
+    ).outcomes
+
+
+@query("upsert_state", "M1 T10 T11", f"""
+WITH {UPSERT_SQL}
+SELECT s.job_id, CASE WHEN l.job_id IS NOT NULL
+    AND status IN ('possibly_closed', 'likely_closed', 'closed') AND NOT is_manual_status
+    THEN 'open' ELSE status END AS status,
+  CASE WHEN l.job_id IS NULL THEN missing_count ELSE 0 END AS missing_count,
+  CASE WHEN l.job_id IS NULL THEN last_seen_at ELSE {NOW} END AS last_seen_at,
+  coalesce(l.title, s.title) AS title, coalesce(l.norm, s.norm) AS normalized_source_url
+FROM stored s LEFT JOIN latest l USING (job_id)
+UNION ALL SELECT f.job_id, 'open', 0, {NOW}, m.title, m.norm
+FROM fresh f JOIN matched m USING (row_id)""")
+def _(v):
+    result = postings.upsert_postings(stored_jobs(v), v.company(), posting_batch(v), as_of())
+    return result.jobs.select(
+        "job_id", "status", "missing_count", "last_seen_at", "title", "normalized_source_url"
+    )
+
+
+@query("run_tally", "A13", f"""
+WITH {UPSERT_SQL},
+o AS (SELECT s.company_id, CASE
+  WHEN status IN ('possibly_closed', 'likely_closed', 'closed') AND NOT is_manual_status
+    THEN 'reopened' ELSE 'other' END AS outcome
+  FROM stored s JOIN latest l USING (job_id)
+  UNION ALL SELECT company_id, 'created' FROM fresh)
+SELECT company_id, count(*) AS jobs_found, count(*) FILTER (outcome = 'created') AS jobs_created,
+  count(*) FILTER (outcome = 'reopened') AS jobs_reopened FROM o GROUP BY company_id""")
+def _(v):
+    result = postings.upsert_postings(stored_jobs(v), v.company(), posting_batch(v), as_of())
+    return aggregates.run_tally(result.outcomes, "company_id").select(
+        "company_id", "jobs_found", "jobs_created", "jobs_reopened"
+    )
+
+
+SEEN_SQL = """seen AS (SELECT DISTINCT job_id, company_id FROM v_sighting JOIN v_job
+  USING (job_id) WHERE seen_at >= TIMESTAMP '2001-06-01')"""
+
+
+def seen_lately(v):
+    recent = v.sighting().filter(F.col("seen_at") >= as_of("2001-06-01")).select("job_id")
+    return v.job().join(recent, "job_id", "left_semi").select("company_id", "job_id")
+
+
+@query("strike_round", "M2 J6", f"""
+WITH {SEEN_SQL}
+SELECT job_id, status, missing_count, closed_at FROM v_job WHERE job_id NOT IN (
+  SELECT job_id FROM v_job WHERE company_id IN (SELECT company_id FROM seen)
+    AND job_id NOT IN (SELECT job_id FROM seen) AND NOT is_deleted AND NOT is_manual_status
+    AND status IN ('open', 'possibly_closed', 'likely_closed'))
+UNION ALL
+SELECT job_id, CASE missing_count WHEN 0 THEN 'possibly_closed' WHEN 1 THEN 'likely_closed'
+    ELSE 'closed' END, CAST(least(missing_count + 1, 3) AS INTEGER),
+  CASE WHEN missing_count >= 2 THEN {NOW} ELSE closed_at END
+FROM v_job WHERE company_id IN (SELECT company_id FROM seen)
+  AND job_id NOT IN (SELECT job_id FROM seen) AND NOT is_deleted AND NOT is_manual_status
+  AND status IN ('open', 'possibly_closed', 'likely_closed')""")
+def _(v):
+    result = strikes.apply_strikes(v.job(), seen_lately(v), as_of())
+    return result.jobs.select("job_id", "status", "missing_count", "closed_at")
+
+
+@query("strike_events", "M2", f"""
+WITH {SEEN_SQL}
+SELECT job_id, status AS from_status, CASE missing_count WHEN 0 THEN 'possibly_closed'
+    WHEN 1 THEN 'likely_closed' ELSE 'closed' END AS to_status,
+  CAST(least(missing_count + 1, 3) AS INTEGER) AS missing_count
+FROM v_job WHERE company_id IN (SELECT company_id FROM seen)
+  AND job_id NOT IN (SELECT job_id FROM seen) AND NOT is_deleted AND NOT is_manual_status
+  AND status IN ('open', 'possibly_closed', 'likely_closed')
+  AND status <> CASE missing_count WHEN 0 THEN 'possibly_closed' WHEN 1 THEN 'likely_closed'
+    ELSE 'closed' END""")
+def _(v):
+    events = strikes.apply_strikes(v.job(), seen_lately(v), as_of()).events
+    return events.select("job_id", "from_status", "to_status", "missing_count")
+
+
+def feed_history(v):
+    """Every feed and ship day is one run; its rows are the sightings of that run."""
+    seen = v.sighting().select(
+        F.concat_ws("-", "feed_id", "job_id").alias("job_id"),
+        F.col("feed_id").alias("company_id"), F.col("seen_at").alias("finished_at"),
+        F.concat_ws("-", "feed_id", F.date_format("seen_at", "yyyyMMdd")).alias("run_id"),
+    )
+    runs = seen.select("run_id", "company_id", "finished_at").distinct().select(
+        "*",
+        F.when(F.dayofmonth("finished_at") % 5 == 0, "untrusted").otherwise("trusted").alias(
+            "verdict"),
+        F.when(F.dayofmonth("finished_at") % 7 == 0, "not_modified").otherwise("").alias("notes"),
+    )
+    jobs = seen.select("job_id", "company_id").distinct()
+    return jobs, runs, seen.select("run_id", "job_id")
+
+
+@query("strike_replay", "M3", """
+WITH runs AS (SELECT feed_id, seen_at, CASE WHEN day(seen_at) % 5 <> 0 AND day(seen_at) % 7 <> 0
+    THEN 1 ELSE 0 END AS counts FROM (SELECT DISTINCT feed_id, seen_at FROM v_sighting)),
+upto AS (SELECT *, sum(counts) OVER (PARTITION BY feed_id ORDER BY seen_at) AS n FROM runs),
+totals AS (SELECT feed_id, sum(counts) AS n FROM runs GROUP BY feed_id),
+last AS (SELECT feed_id, job_id, max(seen_at) AS seen_at FROM v_sighting GROUP BY ALL)
+SELECT feed_id || '-' || job_id AS job_id, feed_id AS company_id, last.seen_at AS last_seen_at,
+  CAST(least(t.n - u.n, 3) AS INTEGER) AS missing_count,
+  CASE least(t.n - u.n, 3) WHEN 0 THEN 'open' WHEN 1 THEN 'possibly_closed'
+    WHEN 2 THEN 'likely_closed' ELSE 'closed' END AS status
+FROM last JOIN upto u USING (feed_id, seen_at) JOIN totals t USING (feed_id)""")
+def _(v):
+    jobs, runs, seen = feed_history(v)
+    return strikes.replay(jobs, runs, seen)
+
+
+def health_runs(v):
+    return v.run().select(
+        "run_id", "company_id", "finished_at", (F.col("status") != "failed").alias("success"),
+        (F.col("verdict") == "trusted").alias("trusted"), F.col("jobs_found").alias("jobs_seen"),
+        F.concat(F.lit("error "), F.col("run_id").cast("string")).alias("failure_reason"),
+    )
+
+
+HEALTH_SQL = """
+WITH RECURSIVE ordered AS (SELECT company_id, finished_at, status = 'failed' AS failed,
+    row_number() OVER (PARTITION BY company_id ORDER BY finished_at, run_id) AS nth FROM v_run),
+fold AS (
+  SELECT company_id, CAST(0 AS BIGINT) AS nth, consecutive_failures AS n, is_active,
+    CAST(NULL AS TIMESTAMP) AS at, false AS failed FROM v_company
+    WHERE company_id IN (SELECT company_id FROM v_run)
+  UNION ALL
+  SELECT o.company_id, o.nth, CASE WHEN o.failed THEN f.n + 1 ELSE 0 END,
+    f.is_active AND NOT (o.failed AND f.n + 1 >= 5), o.finished_at, o.failed
+  FROM fold f JOIN ordered o ON o.company_id = f.company_id AND o.nth = f.nth + 1),
+final AS (SELECT * FROM fold QUALIFY row_number() OVER (
+  PARTITION BY company_id ORDER BY nth DESC) = 1)"""
+
+
+@query("record_outcomes", "M20 W11", HEALTH_SQL + """
+SELECT company_id, CAST(f.n AS INTEGER) AS consecutive_failures, f.is_active,
+  CASE WHEN f.n = 0 THEN 'healthy' WHEN f.n <= 2 THEN 'degraded' WHEN f.n <= 4 THEN 'failing'
+    ELSE 'paused' END AS scrape_health,
+  CASE WHEN f.n >= 5 THEN NULL ELSE f.at + to_minutes(CAST(
+    least(scrape_interval_minutes * CASE WHEN f.n <= 1 THEN 1 ELSE CAST(2 ** (f.n - 1) AS BIGINT)
+      END, 1440)
+    + company_id % greatest(1, least(scrape_interval_minutes * CASE WHEN f.n <= 1 THEN 1
+      ELSE CAST(2 ** (f.n - 1) AS BIGINT) END, 60)) AS INTEGER)) END AS next_scrape_at
+FROM final f JOIN v_company USING (company_id)""")
+def _(v):
+    runs = health_runs(v)
+    state, _ = outcomes.record_outcomes(v.company(), runs)
+    return state.join(runs.select("company_id"), "company_id", "left_semi").select(
+        "company_id", "consecutive_failures", "is_active", "scrape_health", "next_scrape_at"
+    )
+
+
+@query("record_outcomes_light", "M21", HEALTH_SQL + """
+SELECT company_id, CAST(f.n AS INTEGER) AS consecutive_failures,
+  CASE WHEN f.n = 0 THEN 'healthy' WHEN f.n >= 5 THEN 'failing' WHEN f.n >= 2 THEN 'degraded'
+    WHEN (SELECT bool_or(NOT o.failed) FROM ordered o WHERE o.company_id = f.company_id)
+      THEN 'healthy' ELSE scrape_health END AS scrape_health
+FROM final f JOIN v_company USING (company_id)""")
+def _(v):
+    runs = health_runs(v)
+    state, _ = outcomes.record_outcomes(v.company(), runs, mode="light")
+    return state.join(runs.select("company_id"), "company_id", "left_semi").select(
+        "company_id", "consecutive_failures", "scrape_health"
+    )
+
+
+@query("touch_unmodified", "M22", """
+WITH s AS (SELECT company_id, max(finished_at) AS seen FROM v_run
+  WHERE notes = 'not_modified' GROUP BY company_id)
+SELECT job_id, CASE WHEN seen IS NOT NULL AND status = 'open' AND NOT is_deleted
+  THEN greatest(last_seen_at, seen) ELSE last_seen_at END AS last_seen_at
+FROM v_job LEFT JOIN s USING (company_id)""")
+def _(v):
+    return postings.touch_unmodified(v.job(), v.run()).select("job_id", "last_seen_at")
+
+
+@query("merge_jobs", "M0", """
+WITH old AS (SELECT job_id, title, department FROM v_job WHERE job_id % 3 <> 0),
+new AS (SELECT job_id, CASE WHEN job_id % 4 = 0 THEN title || '!' ELSE title END AS title,
+  department FROM v_job WHERE job_id % 5 <> 0)
+SELECT job_id,
+  CASE WHEN n.job_id IS NOT NULL THEN n.title ELSE o.title END AS title,
+  CASE WHEN n.job_id IS NULL THEN 'retained' WHEN o.job_id IS NULL THEN 'inserted'
+    WHEN o.title <> n.title THEN 'updated' ELSE 'unchanged' END AS merge_outcome
+FROM old o FULL JOIN new n USING (job_id)""")
+def _(v):
+    k = F.col("job_id")
+    jobs = v.job().select("job_id", "title", "department")
+    changed = jobs.withColumn(
+        "title", F.when(k % 4 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title"))
+    )
+    merged = merge.merge(
+        jobs.filter(k % 3 != 0), changed.filter(k % 5 != 0), ["job_id"], ["title", "department"]
+    )
+    return merged.select("job_id", "title", "merge_outcome")
+
+
+@query("publish_close_reopen", "M4 M5 M6", f"""
+WITH p AS (SELECT *, is_published OR needs_review AS pub FROM v_job),
+c AS (SELECT *, CASE WHEN job_id % 6 = 1 AND status <> 'closed' THEN 'closed' ELSE status END
+    AS s1, CASE WHEN job_id % 6 = 1 AND status <> 'closed' THEN {NOW} ELSE closed_at END AS c1,
+    is_manual_status OR (job_id % 6 = 1 AND status <> 'closed') AS m1 FROM p)
+SELECT job_id, pub AS is_published, CASE WHEN job_id % 4 = 2 THEN 'open' ELSE s1 END AS status,
+  CASE WHEN job_id % 4 = 2 THEN NULL ELSE c1 END AS closed_at,
+  CASE WHEN job_id % 4 = 2 THEN false ELSE m1 END AS is_manual_status,
+  CAST(CASE WHEN job_id % 4 = 2 THEN reopened_count + 1 ELSE reopened_count END AS INTEGER)
+    AS reopened_count
+FROM c""")
+def _(v):
+    jobs = v.job()
+    k = F.col("job_id")
+    published = reviews.set_published(jobs, jobs.filter("needs_review"), True, as_of())
+    closed, _ = reviews.close_jobs(published, jobs.filter(k % 6 == 1), as_of(), "expired")
+    state, _ = reviews.reopen_jobs(closed, jobs.filter(k % 4 == 2), as_of())
+    return state.select(
+        "job_id", "is_published", "status", "closed_at", "is_manual_status", "reopened_count"
+    )
+
+
+@query("mark_duplicates", "M7 J14", """
+WITH pairs AS (SELECT job_id, CASE WHEN job_id % 12 = 6 THEN job_id ELSE job_id - 6 END
+  AS canonical_id FROM v_job WHERE job_id % 6 = 0 AND job_id > 0)
+SELECT j.job_id, CASE WHEN p.job_id IS NOT NULL AND p.job_id <> p.canonical_id
+    THEN p.canonical_id ELSE duplicate_of END AS duplicate_of,
+  is_published AND NOT (p.job_id IS NOT NULL AND p.job_id <> p.canonical_id) AS is_published
+FROM v_job j LEFT JOIN pairs p USING (job_id)""")
+def _(v):
+    k = F.col("job_id")
+    pairs = v.job().filter((k % 6 == 0) & (k > 0)).select(
+        "job_id", F.when(k % 12 == 6, k).otherwise(k - 6).alias("canonical_id")
+    )
+    state, _ = reviews.mark_duplicates(v.job(), pairs)
+    return state.select("job_id", "duplicate_of", "is_published")
+
+
+@query("merge_edits", "M8", """
+SELECT job_id,
+  CASE WHEN job_id % 3 = 0 THEN 'Edited ' || title ELSE title END AS title,
+  CASE WHEN job_id % 6 = 0 THEN 'R&D' ELSE department END AS department,
+  CASE WHEN job_id % 6 = 0 THEN 'department,title' WHEN job_id % 3 = 0 THEN 'title' ELSE '' END
+    AS edited,
+  needs_review AND job_id % 3 <> 0 AS needs_review
+FROM v_job""")
+def _(v):
+    jobs = v.job().withColumn("manually_edited_fields", F.array().cast("array<string>"))
+    k = F.col("job_id")
+    titles = jobs.filter(k % 3 == 0).select(
+        "job_id", F.lit("title").alias("field"),
+        F.concat(F.lit("Edited "), F.col("title")).alias("value"),
+    )
+    teams = jobs.filter(k % 6 == 0).select(
+        "job_id", F.lit("department").alias("field"), F.lit("R&D").alias("value")
+    )
+    state, _ = reviews.apply_edits(jobs, titles.unionByName(teams), as_of())
+    return state.select(
+        "job_id", "title", "department",
+        F.array_join("manually_edited_fields", ",").alias("edited"), "needs_review",
+    )
+
+
+@query("decide_reviews", "M9", """
+SELECT job_id, needs_review AND job_id % 2 <> 0 AND job_id % 3 <> 0 AS needs_review,
+  is_published OR (needs_review AND job_id % 2 = 0) AS is_published
+FROM v_job""")
+def _(v):
+    k = F.col("job_id")
+    waiting = v.job().filter(F.col("needs_review") & ((k % 2 == 0) | (k % 3 == 0))).select(
+        "job_id", (k % 2 == 0).alias("approve"), F.lit("spam").alias("reason")
+    )
+    return reviews.decide_reviews(v.job(), waiting, as_of()).select(
+        "job_id", "needs_review", "is_published"
+    )
+
+
+@query("submit_reports", "M10 A12", """
+WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, user_id ORDER BY report_id)
+    AS nth FROM v_report WHERE report_id % 4 <> 0 AND reason <> 'spam'),
+standing AS (SELECT DISTINCT job_id, user_id FROM v_report WHERE report_id % 4 = 0),
+accepted AS (SELECT r.* FROM ranked r LEFT JOIN standing s USING (job_id, user_id)
+  WHERE nth = 1 AND s.job_id IS NULL),
+every AS (SELECT job_id FROM accepted UNION ALL SELECT job_id FROM v_report
+  WHERE report_id % 4 = 0),
+hot AS (SELECT job_id FROM every GROUP BY job_id HAVING count(*) >= 3),
+added AS (SELECT job_id, count(*) AS n FROM accepted GROUP BY job_id)
+SELECT j.job_id, coalesce(added.n, 0) AS report_count,
+  needs_review OR (is_published AND added.n IS NOT NULL
+    AND j.job_id IN (SELECT job_id FROM hot)) AS needs_review
+FROM v_job j LEFT JOIN added USING (job_id)""")
+def _(v):
+    reports = v.report()
+    k = F.col("report_id")
+    jobs = v.job().withColumn("report_count", F.lit(0).cast("long"))
+    new = reports.filter(k % 4 != 0).withColumn(
+        "reason", F.when(F.col("reason") == "spam", "nonsense").otherwise(F.col("reason"))
+    )
+    _, state, _ = reviews.submit_reports(reports.filter(k % 4 == 0), new, jobs)
+    return state.select("job_id", "report_count", "needs_review")
+
+
+@query("resolve_reports", "M11", f"""
+WITH hit AS (SELECT DISTINCT job_id FROM v_report WHERE report_id % 2 = 0 AND reason = 'expired')
+SELECT job_id, CASE WHEN hit.job_id IS NOT NULL THEN 'closed' ELSE status END AS status,
+  is_manual_status OR (hit.job_id IS NOT NULL AND status <> 'closed') AS is_manual_status
+FROM v_job LEFT JOIN hit USING (job_id)""")
+def _(v):
+    reports = v.report()
+    decisions = reports.select("report_id", (F.col("report_id") % 2 == 0).alias("accept"))
+    _, state, _ = reviews.resolve_reports(reports, decisions, v.job(), as_of(EVENTS_AS_OF))
+    return state.select("job_id", "status", "is_manual_status")
+
+
+@query("save_toggles", "M12", """
+WITH a AS (SELECT conv_id AS user_id, turn // 4 AS item, turn AS seq,
+    CASE role WHEN 'assistant' THEN 'unsave' ELSE 'save' END AS action FROM conversations),
+last AS (SELECT user_id, item, arg_max(action, seq) AS action FROM a GROUP BY ALL),
+undo AS (SELECT user_id, item, max(seq) FILTER (action = 'unsave') AS at FROM a GROUP BY ALL)
+SELECT l.user_id, l.item AS job_id, (SELECT min(seq) FROM a WHERE a.user_id = l.user_id
+    AND a.item = l.item AND a.action = 'save' AND (u.at IS NULL OR a.seq > u.at)) AS saved_turn
+FROM last l JOIN undo u USING (user_id, item) WHERE l.action = 'save'""")
+def _(v):
+    talk = v.table("conversations")
+    actions = talk.select(
+        F.col("conv_id").alias("user_id"), F.floor(F.col("turn") / 4).alias("job_id"),
+        F.col("turn").alias("seq"), F.col("turn").alias("at"),
+        F.when(F.col("role") == "assistant", "unsave").otherwise("save").alias("action"),
+    )
+    nothing = actions.filter("false").select("user_id", "job_id", F.col("at").alias("saved_at"))
+    return reviews.apply_saves(nothing, actions).withColumnRenamed("saved_at", "saved_turn")
+
+
+@query("add_companies", "M13 W8", """
+WITH b AS (SELECT c_custkey AS incoming_id, c_name AS name, CASE c_custkey % 4
+    WHEN 0 THEN 'https://www.new' || c_custkey || '.org/' WHEN 1 THEN 'c' || c_custkey
+    || '.example.org' WHEN 2 THEN 'https://uk.linkedin.com/x' ELSE 'http://pair'
+    || (c_custkey - c_custkey % 8) || '.net/?q=1' END AS website_url FROM customer),
+d AS (SELECT *, CASE incoming_id % 4 WHEN 0 THEN 'new' || incoming_id || '.org'
+    WHEN 1 THEN 'c' || incoming_id || '.example.org' WHEN 2 THEN 'uk.linkedin.com'
+    ELSE 'pair' || (incoming_id - incoming_id % 8) || '.net' END AS domain FROM b)
+SELECT incoming_id, domain, lower(replace(name, '#', '')) || CASE WHEN lower(replace(name, '#', ''))
+  IN (SELECT slug FROM v_company) THEN '-1' ELSE '' END AS slug
+FROM d WHERE incoming_id % 4 <> 2
+  AND domain NOT IN (SELECT domain FROM v_company WHERE NOT is_deleted)
+QUALIFY row_number() OVER (PARTITION BY domain ORDER BY incoming_id) = 1""")
+def _(v):
+    k = F.col("c_custkey")
+    forms = (
+        F.concat(F.lit("https://www.new"), k.cast("string"), F.lit(".org/")),
+        F.concat(F.lit("c"), k.cast("string"), F.lit(".example.org")),
+        F.lit("https://uk.linkedin.com/x"),
+        F.concat(F.lit("http://pair"), (k - k % 8).cast("string"), F.lit(".net/?q=1")),
+    )
+    batch = v.table("customer").select(
+        k.alias("incoming_id"), F.col("c_name").alias("name"),
+        F.element_at(F.array(*forms), (k % 4 + 1).cast("int")).alias("website_url"),
+    )
+    created, _ = companies.add_from_website(v.company(), batch, as_of(), fold=False)
+    return created.select("incoming_id", "domain", "slug")
+
+
+@query("add_career_urls", "M14 F5", """
+WITH b AS (SELECT c_custkey AS incoming_id, c_custkey % 3 AS form,
+    CASE WHEN c_custkey % 5 = 0 THEN 10 ELSE 60 END AS wait FROM customer)
+SELECT incoming_id, CASE form WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'own_career_page'
+    ELSE 'workday' END AS career_source_type,
+  CASE WHEN form = 0 THEN 'board' || incoming_id ELSE '' END AS ats_identifier,
+  CASE WHEN form = 1 THEN 'careers.x' || incoming_id || '.org' END AS domain,
+  TIMESTAMP '2001-11-05' + to_minutes(CAST(60 + incoming_id % 60 AS INTEGER)) AS next_scrape_at
+FROM b WHERE wait >= 30""")
+def _(v):
+    k = F.col("c_custkey")
+    forms = (
+        F.concat(F.lit("https://boards.greenhouse.io/board"), k.cast("string")),
+        F.concat(F.lit("https://careers.x"), k.cast("string"), F.lit(".org/jobs/")),
+        F.concat(F.lit("https://w"), k.cast("string"), F.lit(".myworkdayjobs.com/all")),
+    )
+    batch = v.table("customer").select(
+        k.alias("incoming_id"), F.col("c_name").alias("name"),
+        F.element_at(F.array(*forms), (k % 3 + 1).cast("int")).alias("career_url"),
+        F.when(k % 5 == 0, 10).otherwise(60).alias("scrape_interval_minutes"),
+    )
+    created, _, _ = companies.add_from_career_url(v.company(), batch, as_of(), fold=False)
+    return created.select(
+        "incoming_id", "career_source_type", "ats_identifier", "domain", "next_scrape_at"
+    )
+
+
+def candidate_table(v):
+    """Three candidate addresses per company, in different states."""
+    n = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    rows = v.company().select("company_id", n.alias("n"))
+    k = F.col("company_id") + F.col("n")
+    url = F.concat(F.lit("https://c"), F.col("company_id").cast("string"),
+                   F.lit(".example.org/jobs"), F.col("n").cast("string"))
+    return rows.select(
+        "company_id", "n", url.alias("url"), url.alias("normalized_url"),
+        (k * 17 % 101).cast("int").alias("score"),
+        F.when(k % 4 == 0, "rejected").otherwise("pending").alias("status"),
+        F.lit("own_career_page").alias("guessed_type"), F.lit("").alias("ats_identifier"),
+        F.lit("").alias("reject_reason"),
+    )
+
+
+CANDIDATE_SQL = """cand AS (SELECT company_id, n, 'https://c' || company_id || '.example.org/jobs'
+    || n AS url, CAST((company_id + n) * 17 % 101 AS INTEGER) AS score,
+    CASE WHEN (company_id + n) % 4 = 0 THEN 'rejected' ELSE 'pending' END AS status
+  FROM v_company, (SELECT unnest([1, 2, 3]) AS n))"""
+
+
+@query("candidate_queue", "P23", f"""
+WITH {CANDIDATE_SQL} SELECT company_id, url, score FROM cand WHERE status = 'pending'""")
+def _(v):
+    from ..operators.filters import candidate_queue
+
+    return candidate_queue(candidate_table(v)).select("company_id", "url", "score")
+
+
+@query("approve_candidates", "M15", f"""
+WITH {CANDIDATE_SQL},
+pick AS (SELECT c.company_id, c.url FROM cand c JOIN v_company f USING (company_id)
+  WHERE c.n = 1 AND c.status = 'pending' AND NOT (is_verified AND career_url <> ''))
+SELECT c.company_id, c.url, CASE WHEN p.url = c.url THEN 'approved' WHEN p.url IS NOT NULL
+  AND c.status = 'pending' THEN 'rejected' ELSE c.status END AS status
+FROM cand c LEFT JOIN pick p USING (company_id)""")
+def _(v):
+    cands = candidate_table(v)
+    decided, _, _, _ = companies.approve_candidates(
+        cands, v.company(), cands.filter("n = 1"), as_of()
+    )
+    return decided.select("company_id", "url", "status")
+
+
+@query("reject_candidates", "M16", f"""
+WITH {CANDIDATE_SQL}, t AS (SELECT company_id, count(*) FILTER (status = 'pending') AS gone
+  FROM cand GROUP BY company_id)
+SELECT company_id, CASE WHEN detection_status = 'needs_review' AND gone > 0 AND company_id % 2 = 1
+  THEN 'not_found' ELSE detection_status END AS detection_status
+FROM v_company JOIN t USING (company_id)""")
+def _(v):
+    cands = candidate_table(v)
+    refuse = cands.filter(F.col("company_id") % 2 == 1).withColumn("reason", F.lit("no jobs"))
+    _, state = companies.reject_candidates(cands, v.company(), refuse, as_of())
+    return state.select("company_id", "detection_status")
+
+
+@query("set_career_urls", "M17", """
+WITH ch AS (SELECT company_id, 'https://c' || (company_id + CASE WHEN company_id % 3 = 0 THEN 1
+    ELSE 100000000 END) || '.example.org/careers' AS url FROM v_company WHERE company_id % 2 = 0),
+good AS (SELECT * FROM ch WHERE url NOT IN (SELECT career_url FROM v_company
+  WHERE NOT is_deleted))
+SELECT f.company_id, coalesce(g.url, career_url) AS career_url,
+  CASE WHEN g.url IS NOT NULL THEN 'manual' ELSE detection_status END AS detection_status
+FROM v_company f LEFT JOIN good g USING (company_id)""")
+def _(v):
+    k = F.col("company_id")
+    target = F.when(k % 3 == 0, k + 1).otherwise(k + 100000000).cast("string")
+    changes = v.company().filter(k % 2 == 0).select(
+        "company_id",
+        F.concat(F.lit("https://c"), target, F.lit(".example.org/careers")).alias("career_url"),
+    )
+    state, _, _ = companies.set_career_urls(v.company(), changes, as_of())
+    return state.select("company_id", "career_url", "detection_status")
+
+
+@query("schedule_controls", "M18a M18b M18c M18d M18e", f"""
+WITH a AS (SELECT company_id, CASE WHEN company_id % 10 = 1 THEN false
+      WHEN company_id % 10 = 2 THEN true ELSE is_active END AS is_active,
+    CASE WHEN company_id % 10 = 1 THEN 'paused' WHEN company_id % 10 = 2 THEN 'unknown'
+      WHEN company_id % 10 = 3 AND scrape_health <> 'paused' THEN 'unknown'
+      ELSE scrape_health END AS scrape_health,
+    CAST(CASE WHEN company_id % 10 IN (2, 3) THEN 0 ELSE consecutive_failures END AS INTEGER)
+      AS consecutive_failures,
+    CAST(CASE WHEN company_id % 10 = 4 AND company_id % 30 >= 10 THEN company_id % 30 * 5
+      ELSE scrape_interval_minutes END AS INTEGER) AS scrape_interval_minutes,
+    is_verified AND company_id % 10 <> 5 AS is_verified,
+    CASE WHEN company_id % 10 = 6 THEN 'pending' ELSE detection_status END AS detection_status
+  FROM v_company)
+SELECT * FROM a""")
+def _(v):
+    state = v.company()
+
+    def some(n: int):
+        return v.company().filter(F.col("company_id") % 10 == n)
+
+    state = companies.pause(state, some(1), "manual")
+    state = companies.resume(state, some(2), as_of())
+    state = companies.reset_failures(state, some(3))
+    wanted = some(4).select(
+        "company_id", (F.col("company_id") % 30 * 5).cast("int").alias("minutes")
+    )
+    state, _ = companies.set_interval(state, wanted, as_of())
+    state = companies.unverify(state, some(5))
+    state, _ = companies.request_redetection(state, candidate_table(v), some(6))
+    return state.select(
+        "company_id", "is_active", "scrape_health", "consecutive_failures",
+        "scrape_interval_minutes", "is_verified", "detection_status",
+    )
+
+
+@query("edit_companies", "M18f", """
+SELECT company_id, CASE WHEN company_id % 4 = 0 THEN 'Renamed ' || company_id ELSE name END AS name,
+  CASE WHEN company_id % 4 = 0 THEN 'renamed-' || company_id ELSE slug END AS slug,
+  CASE WHEN company_id % 6 = 0 THEN 'Space' ELSE industry END AS industry
+FROM v_company""")
+def _(v):
+    k = F.col("company_id")
+    names = v.company().filter(k % 4 == 0).select(
+        "company_id", F.lit("name").alias("field"),
+        F.concat(F.lit("Renamed "), k.cast("string")).alias("value"),
+    )
+    trades = v.company().filter(k % 6 == 0).select(
+        "company_id", F.lit("industry").alias("field"), F.lit("Space").alias("value")
+    )
+    state = companies.edit_companies(v.company(), names.unionByName(trades), fold=False)
+    return state.select("company_id", "name", "slug", "industry")
+
+
+@query("archive_companies", "M19 M26", """
+SELECT job_id, is_published AND NOT (company_id % 15 = 0 AND NOT is_deleted) AS is_published
+FROM v_job""")
+def _(v):
+    gone = v.company().filter(F.col("company_id") % 15 == 0)
+    _, jobs = companies.archive_companies(v.company(), v.job(), gone, as_of())
+    return jobs.select("job_id", "is_published")
+
+
+@query("soft_delete_restore", "M26", """
+SELECT job_id, CASE WHEN job_id % 8 = 1 THEN false WHEN job_id % 8 = 2 THEN true ELSE is_deleted
+  END AS is_deleted FROM v_job WHERE job_id % 8 <> 3""")
+def _(v):
+    jobs, k = v.job(), F.col("job_id")
+    state = merge.soft_delete(jobs, jobs.filter(k % 8 == 2), "job_id", as_of())
+    state = merge.restore(state, jobs.filter(k % 8 == 1), "job_id")
+    return merge.hard_delete(state, jobs.filter(k % 8 == 3), "job_id").select(
+        "job_id", "is_deleted"
+    )
+
+
+@query("purge_runs", "M27", f"""
+SELECT run_id FROM v_run WHERE finished_at >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 14 DAYS""")
+def _(v):
+    kept = snapshots.purge(v.run(), as_of(EVENTS_AS_OF), column="finished_at")
+    return kept.select("run_id")
+
+
+@query("backfill_ats_identity", "M30 Q11", """
+SELECT c_custkey AS company_id,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'c' || c_custkey || '.org' END AS domain,
+  CASE WHEN c_custkey % 3 = 0 THEN 'lever' ELSE 'unknown' END AS career_source_type,
+  CASE WHEN c_custkey % 3 = 0 THEN 'team' || c_custkey ELSE '' END AS ats_identifier
+FROM customer""")
+def _(v):
+    k = F.col("c_custkey")
+    old = v.table("customer").select(
+        k.alias("company_id"),
+        F.when(k % 3 == 0, "jobs.lever.co").otherwise(
+            F.concat(F.lit("c"), k.cast("string"), F.lit(".org"))).alias("domain"),
+        F.lit("unknown").alias("career_source_type"), F.lit("").alias("ats_identifier"),
+        F.concat(F.lit("https://jobs.lever.co/team"), k.cast("string"), F.lit("/x")).alias(
+            "career_url"),
+    )
+    return companies.backfill_ats_identity(old).drop("career_url")
+
+
+@query("unverify_fixtures", "M31 P24", """
+SELECT user_id, is_active AND NOT (lower(email) LIKE '%@example.com'
+  OR lower(email) LIKE '%.invalid') AS is_active FROM v_user""")
+def _(v):
+    _, users = companies.unverify_fixtures(v.company(), v.user())
+    return users.select("user_id", "is_active")
+
+
+@query("audit_diff", "M33 U2 S17", """
+SELECT job_id, CASE WHEN is_published AND company_id % 3 = 0 THEN 'is_published,title'
+  ELSE 'title' END AS changed
+FROM v_job WHERE job_id % 5 = 0
+UNION ALL
+SELECT job_id, 'is_published' FROM v_job WHERE job_id % 5 <> 0 AND is_published
+  AND company_id % 3 = 0""")
+def _(v):
+    before = v.job().select("job_id", "company_id", "title", "is_published")
+    after = before.withColumn(
+        "title", F.when(F.col("job_id") % 5 == 0, F.upper(F.concat("title", F.lit("x"))))
+        .otherwise(F.col("title"))
+    ).withColumn("is_published", F.col("is_published") & (F.col("company_id") % 3 != 0))
+    rows = audit.audit_diff(before, after, ["job_id"])
+    return rows.select("job_id", F.array_join("changed_fields", ",").alias("changed"))
+
+
+@query("cycle_date_changes", "M25", """
+WITH ok AS (SELECT * FROM v_cycle WHERE NOT (cycle_id % 4 = 0 AND NOT verified_by_human)
+  AND cycle_id % 2 = 0)
+SELECT cycle_id, 'application_end' AS field_name, CAST(application_end AS VARCHAR) AS old_value,
+  CAST(application_end + 7 AS VARCHAR) AS new_value FROM ok
+UNION ALL
+SELECT cycle_id, 'fee_last_date', CAST(fee_last_date AS VARCHAR), '' FROM ok
+WHERE cycle_id % 6 = 0 AND fee_last_date IS NOT NULL""")
+def _(v):
+    k = F.col("cycle_id")
+    changes = v.cycle().filter(k % 2 == 0).select(
+        "cycle_id", F.date_add("application_end", 7).alias("application_end"),
+        F.lit(True).alias("set_application_end"),
+        F.lit(None).cast("date").alias("fee_last_date"), (k % 6 == 0).alias("set_fee_last_date"),
+        F.lit(True).alias("is_published"), (k % 4 == 0).alias("set_is_published"),
+    )
+    _, events, _ = exams.update_cycles(v.cycle(), changes, as_of())
+    return events.select("cycle_id", "field_name", "old_value", "new_value")
+
+
+@query("diff_snapshots", "S13 S14", f"""
+WITH old AS (SELECT sha256(url) AS url_hash, sha256(CASE WHEN page_id % 3 = 0 THEN html || '!'
+    ELSE html END) AS body_hash FROM pages WHERE page_id % 4 <> 0)
+SELECT page_id, CASE WHEN o.url_hash IS NULL THEN 'new' WHEN o.body_hash = sha256(html)
+    THEN 'not_modified' ELSE 'changed' END AS outcome,
+  CAST(CASE WHEN o.body_hash = sha256(html) THEN 6 WHEN o.url_hash IS NULL THEN 0 ELSE 5 END
+    AS INTEGER) AS hit_count,
+  CAST(CASE WHEN o.url_hash IS NULL THEN 0 WHEN o.body_hash = sha256(html) THEN 2 ELSE 3 END
+    AS INTEGER) AS miss_count
+FROM pages p LEFT JOIN old o ON o.url_hash = sha256(p.url)""")
+def _(v):
+    pages = v.table("pages")
+    k = F.col("page_id")
+    body = F.when(k % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    state = pages.filter(k % 4 != 0).select(
+        snapshots.url_hash("url").alias("url_hash"), F.sha2(body, 256).alias("body_hash"),
+        F.lit(5).alias("hit_count"), F.lit(2).alias("miss_count"),
+    )
+    diff = snapshots.diff_snapshots(
+        state, pages.select("url", F.col("html").alias("body")), as_of()
+    )
+    return pages.select("page_id", "url").join(diff, "url").select(
+        "page_id", "outcome", "hit_count", "miss_count"
+    )
+
+
+@query("quarantine", "S12", """
+SELECT run_id, v.verdict, CAST(strlen(html) AS INTEGER) AS byte_size, strlen(html) > 8192
+  AS truncated FROM pages JOIN v_run v ON run_id = page_id
+WHERE verdict IN ('untrusted', 'quarantined')""")
+def _(v):
+    bodies = v.table("pages").select(F.col("page_id").alias("run_id"), "url",
+                                     F.col("html").alias("body"))
+    rows = snapshots.quarantine(v.run(), bodies, cap=8192)
+    return rows.select("run_id", "verdict", "byte_size", "truncated")
+
+
+def feed_documents(v):
+    """One feed document per job, in the dialect of its company."""
+    kinds = feeds.READERS
+    jobs = v.job().join(v.company().select("company_id", "career_source_type"), "company_id")
+    sid, url = F.col("job_id").cast("string"), F.col("source_url")
+    stamp = F.date_format("first_seen_at", "yyyy-MM-dd'T'HH:mm:ss")
+    html = F.concat(F.lit("<p>About <b>"), F.col("title"), F.lit("</b></p>"))
+    bodies = {
+        "greenhouse": F.struct(F.array(F.struct(
+            F.col("job_id").alias("id"), F.col("title"),
+            F.struct(F.col("location_raw").alias("name")).alias("location"),
+            html.alias("content"), url.alias("absolute_url"),
+            F.array(F.struct(F.col("department").alias("name"))).alias("departments"),
+            F.concat(stamp, F.lit("-05:00")).alias("updated_at"),
+        )).alias("jobs")),
+        "lever": F.array(F.struct(
+            sid.alias("id"), F.col("title").alias("text"),
+            F.struct(F.col("location_raw").alias("location"), F.col("department").alias("team"),
+                     F.lit("Full-time").alias("commitment")).alias("categories"),
+            html.alias("description"), url.alias("hostedUrl"),
+            F.unix_millis(F.col("first_seen_at").cast("timestamp")).alias("createdAt"),
+        )),
+        "ashby": F.struct(F.array(F.struct(
+            sid.alias("id"), F.col("title"), F.col("location_raw").alias("locationName"),
+            html.alias("descriptionHtml"), url.alias("jobUrl"),
+            F.col("department").alias("departmentName"), F.lit("Contract").alias(
+                "employmentType"),
+            F.concat(stamp, F.lit("Z")).alias("publishedAt"),
+        )).alias("jobPostings")),
+        "smartrecruiters": F.struct(F.array(F.struct(
+            sid.alias("id"), F.col("title").alias("name"),
+            F.struct(F.col("location_raw").alias("city"), F.lit("IN").alias("country"),
+                     (F.col("job_id") % 2 == 0).alias("remote")).alias("location"),
+            F.struct(F.col("department").alias("label")).alias("department"),
+            url.alias("ref"),
+        )).alias("content")),
+    }
+    kind = F.col("career_source_type")
+    text = F.lit(None).cast("string")
+    for name in kinds:
+        text = F.when(kind == name, F.to_json(bodies[name])).otherwise(text)
+    return jobs.select("company_id", kind.alias("source_type"), text.alias("body")).filter(
+        F.col("body").isNotNull()
+    )
+
+
+@query("ingest_feeds", "S1 S2 S3 S4 S6 F12 F13 F20 F21 F22", """
+SELECT j.company_id, career_source_type AS source_type, CAST(job_id AS VARCHAR) AS source_job_id,
+  source_url, source_url AS apply_url, title,
+  CASE WHEN career_source_type = 'smartrecruiters' THEN location_raw || ', IN'
+    || CASE WHEN job_id % 2 = 0 THEN ' (Remote)' ELSE '' END ELSE location_raw END
+    AS location_raw,
+  CASE WHEN career_source_type = 'smartrecruiters' THEN '' ELSE 'About ' || title END
+    AS description,
+  department, CASE career_source_type WHEN 'lever' THEN 'full_time' WHEN 'ashby' THEN 'contract'
+    ELSE '' END AS job_type,
+  CASE WHEN career_source_type = 'smartrecruiters' AND job_id % 2 = 0 THEN 'remote' ELSE '' END
+    AS work_mode,
+  CASE WHEN career_source_type = 'smartrecruiters' THEN NULL ELSE first_seen_at END AS posted_at,
+  CASE WHEN career_source_type = 'smartrecruiters' THEN 60 ELSE 90 END AS extraction_confidence,
+  career_source_type || '@1' AS parser_version
+FROM v_job j JOIN v_company c USING (company_id)
+WHERE career_source_type IN ('greenhouse', 'lever', 'ashby', 'smartrecruiters')""")
+def _(v):
+    rows = feeds.ingest_postings(feed_documents(v))
+    return rows.select(
+        "company_id", "source_type", "source_job_id", "source_url", "apply_url", "title",
+        "location_raw", "description", "department", "job_type", "work_mode", "posted_at",
+        "extraction_confidence", "parser_version",
+    )
+
+
+@query("scrape_cycle", "M23 A13 F36 M2 M21 M24")
+def _(v):
+    result = cycle.scrape_cycle(
+        stored_jobs(v), v.company(), v.run(), feed_documents(v), as_of()
+    )
+    return result.runs.select(
+        "company_id", "status", "jobs_found", "jobs_added", "jobs_missing", "verdict",
+        "verdict_reason",
+    )
+
+
+@query("load_exam_reference", "S15 M0", """
+SELECT exam_id, 'exam-' || exam_id AS slug, CASE WHEN exam_id % 2 = 0 THEN 'updated'
+  ELSE 'inserted' END AS merge_outcome, name FROM v_exam""")
+def _(v):
+    from ..sources.exam_reference import load_exam_reference
+
+    documents = v.exam().select(
+        F.to_json(F.struct(
+            F.concat(F.lit("exam-"), F.col("exam_id").cast("string")).alias("slug"), "name",
+            "short_name", "category", "level", F.lit("Board").alias("conducting_body"),
+        )).alias("body")
+    )
+    k = F.col("exam_id")
+    stored = v.exam().filter(k % 2 == 0).select(
+        F.concat(F.lit("exam-"), k.cast("string")).alias("slug"), F.lit("old").alias("name"),
+        "short_name", F.lit("board").alias("body_slug"), "category", "level",
+        F.lit("").alias("official_url"), F.lit(None).cast("int").alias("typical_month"),
+    )
+    merged = load_exam_reference(documents, {"exam": stored})["exam"]
+    return merged.select(
+        F.regexp_replace("slug", "exam-", "").cast("long").alias("exam_id"), "slug",
+        "merge_outcome", "name",
+    )
