@@ -38,6 +38,7 @@ CAREER_SUBDOMAINS = ("careers", "career", "jobs", "job", "work", "hiring")
 ATS_TYPES = ("greenhouse", "lever", "ashby", "smartrecruiters")
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+_CANONICAL = r"^https?://[a-z0-9\-]+(?:\.[a-z0-9\-]+)*(?:/[^\s/?#;\p{Cntrl}]+)*$"
 _PARAM_SCHEMES = ("", "ftp", "http", "https", "sftp", "tel")
 _DEFAULT_PORTS = (("http", "80"), ("https", "443"))
 
@@ -143,10 +144,12 @@ def normalize_url(url: Column | str) -> Column:
             F.when(u["query"] == "", "").otherwise(F.concat(F.lit("?"), u["query"])),
         )
 
-    return let(
+    full = let(
         _clean(col(url)),
         lambda clean: F.when(clean == "", "").otherwise(let(let(split(clean), parse), write)),
     )
+    # most stored addresses are canonical already, which one look can tell
+    return F.when(col(url).rlike(_CANONICAL), col(url)).otherwise(full)
 
 
 def with_scheme(url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, texts, urls
+from ..session import cut_lineage
 from .filters import FIXTURE_DOMAIN_SUFFIXES, is_fixture_company, is_fixture_email
 from .history import unique_slugs
 from .joins import find_duplicate_companies
@@ -40,7 +41,7 @@ def _judge_new(
 ) -> tuple[DataFrame, DataFrame]:
     """Split incoming rows into usable and rejected: own reason first, then collisions with
     stored companies, then with an earlier row of the same batch."""
-    judged = rows.withColumn("reject_reason", reason)
+    judged = cut_lineage(rows.withColumn("reject_reason", reason))
     fine = judged.filter(F.col("reject_reason").isNull())
     clash = find_duplicate_companies(companies, fine).withColumn(
         "reject_reason",
@@ -63,7 +64,7 @@ def _judge_new(
         .unionByName(clash.filter(F.col("reject_reason").isNotNull()))
         .unionByName(marked.filter(F.col("reject_reason").isNotNull()))
     )
-    accepted = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    accepted = cut_lineage(marked.filter(F.col("reject_reason").isNull()).drop("reject_reason"))
     return accepted, rejected.select("incoming_id", "reject_reason")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..functions.core import any_of, text_or_blank
 from ..functions.urls import ATS_TYPES, normalize_url
+from ..session import cut_lineage
 from .joins import resolve_duplicates
 from .merge import HIT, assign, with_hits
 from .ordered import with_ordered_index
@@ -124,8 +125,9 @@ def upsert_postings(
     firm = companies.select(
         "company_id", F.col("career_source_type").isin(*ATS_TYPES).alias("_is_ats")
     )
-    rows = collapse_batch(with_identity(batch))
-    matched = rows.join(match_postings(jobs, rows), "row_id", "left")
+    # the batch is used several times below: parse it once, match it once
+    rows = collapse_batch(cut_lineage(with_identity(batch)))
+    matched = cut_lineage(rows.join(match_postings(jobs, rows), "row_id", "left"))
     known = matched.filter(F.col("job_id").isNotNull())
     # two postings may lead to one stored job: the later one counts
     payload = [c for c in known.columns if c not in ("job_id", "company_id")]
