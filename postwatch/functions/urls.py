@@ -144,12 +144,16 @@ def normalize_url(url: Column | str) -> Column:
             F.when(u["query"] == "", "").otherwise(F.concat(F.lit("?"), u["query"])),
         )
 
-    full = let(
-        _clean(col(url)),
-        lambda clean: F.when(clean == "", "").otherwise(let(let(split(clean), parse), write)),
-    )
+    def full(raw: Column) -> Column:
+        return let(
+            _clean(raw),
+            lambda clean: F.when(clean == "", "").otherwise(
+                let(let(split(clean), parse), write)
+            ),
+        )
+
     # most stored addresses are canonical already, which one look can tell
-    return F.when(col(url).rlike(_CANONICAL), col(url)).otherwise(full)
+    return let(col(url), lambda raw: F.when(raw.rlike(_CANONICAL), raw).otherwise(full(raw)))
 
 
 def with_scheme(url: Column) -> Column:

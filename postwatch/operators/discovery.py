@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts, urls
-from ..functions.core import text_or_blank
+from ..functions.core import let, text_or_blank
+from ..session import cut_lineage
 from .ordered import first_per_key, top_per_key
 
 # What finding a candidate costs; cheaper origins win.
@@ -61,13 +62,16 @@ def candidate_url(url: Column | str) -> Column:
                                                "$1"))
 
 
-def candidates(df: DataFrame, url: Column, origin: str, via: Column, **evidence: Column):
+def candidates(
+    df: DataFrame, url: Column, origin: str | Column, via: Column, **evidence: Column
+) -> DataFrame:
     """Candidate rows of one origin; evidence not given stays unknown."""
     def value(name: str, kind: str) -> Column:
         return (evidence[name] if name in evidence else F.lit(None)).cast(kind).alias(name)
 
     rows = df.select(
-        "company_id", candidate_url(url).alias("url"), F.lit(origin).alias("origin"),
+        "company_id", candidate_url(url).alias("url"),
+        (F.lit(origin) if isinstance(origin, str) else origin).alias("origin"),
         via.alias("via"), *[value(n, "boolean") for n in FLAGS],
         *[value(n, k) for n, k in SCALARS.items()], *[value(n, "array<string>") for n in LISTS],
     )
@@ -295,10 +299,20 @@ def score_candidates(rows: DataFrame, domains: DataFrame | None = None) -> DataF
     """
     if domains is not None:
         rows = rows.join(domains.select("company_id", "domain"), "company_id", "left")
-    parsed = rows.withColumn("_host", urls.host_of("url", strip_www=False)).withColumn(
-        "_path", urls.path_of("url")
-    ).withColumn("_scheme", urls.scheme_of("url")).withColumn("_query", urls.query_of("url"))
-    host, path = F.col("_host"), F.col("_path")
+    parts = F.struct(
+        urls.host_of("url", strip_www=False).alias("host"), urls.path_of("url").alias("path"),
+        urls.scheme_of("url").alias("scheme"), urls.query_of("url").alias("query"),
+    )
+    # bound once, so that a later filter on the score copies no URL parsing
+    judged = rows.withColumn("_r", let(parts, _rubric))
+    return judged.select(
+        *rows.columns, F.col("_r.trail").alias("trail"), F.col("_r.score").alias("score")
+    )
+
+
+def _rubric(u: Column) -> Column:
+    """Trail and score of one candidate from the parts of its URL and its evidence columns."""
+    host, path, scheme = u["host"], u["path"], u["scheme"]
     status = F.col("http_status")
     board, workday = urls.is_scoring_ats_host(host), urls.is_workday_host(host)
 
@@ -316,9 +330,9 @@ def score_candidates(rows: DataFrame, domains: DataFrame | None = None) -> DataF
                rule("blocked_domain", 0, says("host ", host, " is blocked")))
         .when((status < 200) | (status >= 300),
               rule("bad_status", 0, says("final HTTP status ", status.cast("string"))))
-        .when(~F.col("_scheme").isin("http", "https"),
-              rule("bad_scheme", 0, says("scheme ", F.when(
-                  F.col("_scheme") == "", "missing").otherwise(F.col("_scheme")))))
+        .when(~scheme.isin("http", "https"),
+              rule("bad_scheme", 0, says("scheme ", F.when(scheme == "", "missing").otherwise(
+                  scheme))))
         .when(text_or_blank(F.col("domain")) == "",
               rule("missing_domain_evidence", 0, "the company domain is unknown"))
         .when(~(urls.is_own_host(host, F.col("domain")) | board | workday),
@@ -353,16 +367,16 @@ def score_candidates(rows: DataFrame, domains: DataFrame | None = None) -> DataF
         (F.col("single_posting"),
          rule("single_posting", -15, "one detail page, not a listing")),
         (depth >= 2, rule("deep_path", -10, "path deeper than 2 segments")),
-        (F.size(F.split("_query", "&")) >= 2, rule("query_heavy", -5, "2+ query parameters")),
+        (F.size(F.split(u["query"], "&")) >= 2,
+         rule("query_heavy", -5, "2+ query parameters")),
     )
     applied = F.array_compact(F.array(*[F.when(test, entry) for test, entry in checks]))
-    scored = parsed.withColumn("_knock", knock_out).withColumn(
-        "trail", F.when(F.col("_knock").isNotNull(), F.array("_knock")).otherwise(applied)
-    )
-    total = F.aggregate("trail", F.lit(0), lambda acc, r: acc + r["points"])
-    return scored.withColumn(
-        "score", F.greatest(F.lit(0), F.least(F.lit(100), total))
-    ).drop("_host", "_path", "_scheme", "_query", "_knock")
+    trail = let(knock_out, lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(applied))
+    return let(trail, lambda t: F.struct(
+        t.alias("trail"),
+        F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(
+            t, F.lit(0), lambda total, r: total + r["points"]))).alias("score"),
+    ))
 
 
 def _with_cost(rows: DataFrame) -> DataFrame:
@@ -439,12 +453,7 @@ def jsonld_evidence(scored: DataFrame, pages: DataFrame, facts: DataFrame) -> Da
 
 def _evidence_rows(found: DataFrame, **evidence: Column) -> DataFrame:
     """More evidence for known candidates, under their own origin."""
-    shaped = candidates(
-        found.withColumn("_origin", F.col("origin")), F.col("url"), "", F.col("via"),
-        **evidence,
-    ).drop("origin")
-    origins = found.select("company_id", "url", "origin").distinct()
-    return shaped.join(origins, ["company_id", "url"])
+    return candidates(found, F.col("url"), F.col("origin"), F.col("via"), **evidence)
 
 
 def verify_evidence(
@@ -479,13 +488,7 @@ def verify_evidence(
         | urls.is_scoring_ats_host(landed)
     )
     moved = (landed != "") & (asked != "") & (landed != asked)
-    judged = found.withColumn(
-        "_trusted", ~moved | (own & ~urls.is_blocked_host(landed))
-    )
-    dropped = judged.filter(~F.col("_trusted")).select("company_id", "url")
-    kept = judged.filter("_trusted").withColumn(
-        "_title", texts.page_title("html")
-    ).withColumn("_tail", urls.last_segment("url"))
+    trusted = ~moved | (own & ~urls.is_blocked_host(landed))
     unique_links = F.array_distinct(F.transform("links", lambda x: x["href"]))
     job_links = F.size(F.filter(
         F.transform(
@@ -495,7 +498,9 @@ def verify_evidence(
         ),
         lambda hit: hit,
     ))
-    single = (F.col("posting_count") == 1) & F.col("_tail").rlike(r"(?i)^(?:\d+|[0-9a-f]{32})$")
+    single = (F.col("posting_count") == 1) & urls.last_segment("url").rlike(
+        r"(?i)^(?:\d+|[0-9a-f]{32})$"
+    )
     plain = F.filter(
         F.transform("links", lambda x: F.trim(x["text"])),
         lambda t: (F.length(t) >= 3) & (F.length(t) <= 60) & ~F.exists(
@@ -505,18 +510,27 @@ def verify_evidence(
     lowered = F.transform(titles, lambda t: F.lower(t))
     samples = F.slice(F.filter(
         titles, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1), 1, SAMPLE_TITLES)
+    # one pass over the pages leaves a slim table, which then splits in two
+    read = cut_lineage(found.select(
+        "company_id", "url", "origin", "via", "status", "posting_count",
+        trusted.alias("trusted"), texts.page_title("html").alias("title"),
+        job_links.alias("job_links"), single.alias("single"), samples.alias("samples"),
+        texts.no_openings("html").alias("no_openings"),
+    ))
+    dropped = read.filter(~F.col("trusted")).select("company_id", "url")
     status = F.col("status")
 
     def flag(test: Column) -> Column:
         return F.when(test, True)
 
     evidence = _evidence_rows(
-        kept, http_status=status, http_200=flag(status.between(200, 299)),
-        multiple_job_links=flag(job_links >= 3),
-        json_ld_jobposting=flag(F.col("posting_count") > 0), single_posting=flag(single),
-        title_keyword=flag(texts.text_has_keyword("_title")),
-        explicit_no_openings=flag(texts.no_openings("html")),
-        page_title=F.col("_title"), sample_job_titles=samples,
+        read.filter("trusted"), http_status=status, http_200=flag(status.between(200, 299)),
+        multiple_job_links=flag(F.col("job_links") >= 3),
+        json_ld_jobposting=flag(F.col("posting_count") > 0),
+        single_posting=flag(F.col("single")),
+        title_keyword=flag(texts.text_has_keyword("title")),
+        explicit_no_openings=flag(F.col("no_openings")),
+        page_title=F.col("title"), sample_job_titles=F.col("samples"),
     )
     return evidence, dropped
 
@@ -538,11 +552,13 @@ def detect(
 ) -> DataFrame:
     """All strategies for all companies: ranked candidates with score and trail."""
     domains = companies.select("company_id", "domain")
-    links = home_links(companies, pages, facts)
-    early = merge_candidates(
+    # every cut below is a slim table that several later steps read
+    facts = cut_lineage(facts)
+    links = cut_lineage(home_links(companies, pages, facts))
+    early = cut_lineage(merge_candidates(
         ats_candidates(companies, links, pages, facts).unionByName(nav_candidates(links))
-    )
-    flags = short_circuit(score_candidates(early, domains), companies)
+    ))
+    flags = cut_lineage(short_circuit(score_candidates(early, domains), companies))
     rest = companies.join(
         flags.filter("short_circuited").select("company_id"), "company_id", "left_anti"
     )
@@ -551,26 +567,28 @@ def detect(
         parts.append(robots_candidates(rest, robots))
     leaves = None
     if locs is not None and roots is not None:
-        leaves = sitemap_pages(locs, roots.join(rest.select("company_id"), "company_id",
-                                                "left_semi"))
+        leaves = sitemap_pages(
+            locs, roots.join(rest.select("company_id"), "company_id", "left_semi")
+        )
         parts.append(sitemap_candidates(leaves))
     known = reduce(lambda a, b: a.unionByName(b), parts)
-    parts.append(guess_candidates(rest, pages, known))
-    raw = reduce(lambda a, b: a.unionByName(b), parts)
-    found = merge_candidates(raw)
+    found = merge_candidates(known.unionByName(guess_candidates(rest, pages, known)))
     if leaves is not None:
         found = with_sitemap_flag(found, leaves)
-    scored = score_candidates(found, domains)
+    found = cut_lineage(found)
     probed = jsonld_evidence(
-        scored.join(rest.select("company_id"), "company_id", "left_semi"), pages, facts
+        score_candidates(
+            found.join(rest.select("company_id"), "company_id", "left_semi"), domains
+        ),
+        pages, facts,
     )
-    enriched = merge_candidates(found.unionByName(probed))
+    enriched = cut_lineage(merge_candidates(found.unionByName(probed)))
     evidence, dropped = verify_evidence(
         score_candidates(enriched, domains), pages, facts, companies, flags
     )
-    final = merge_candidates(enriched.unionByName(evidence)).join(
+    final = cut_lineage(merge_candidates(enriched.unionByName(evidence)).join(
         dropped, ["company_id", "url"], "left_anti"
-    )
+    ))
     return rank_candidates(score_candidates(final, domains), companies)
 
 

@@ -61,9 +61,9 @@ def marked_pages(v):
     data = F.when(
         k % 5 == 0,
         F.lit("<script type=\"application/ld+json\">{\"@graph\":[{\"@type\":\"JobPosting\","
-              "\"title\":\"Engineer\"}]}</script></body>"),
-    ).otherwise("</body>")
-    html = F.replace(F.replace("html", F.lit("<nav>"), nav), F.lit("</body>"), data)
+              "\"title\":\"Engineer\"}]}</script>"),
+    ).otherwise("")
+    html = F.concat(F.replace("html", F.lit("<nav>"), nav), data)
     site = F.concat(F.lit("https://"), label, F.lit(".example.net"))
     base = v.table("pages").select("page_id", site.alias("site"), html.alias("html"))
     home = base.select(
