@@ -13,6 +13,7 @@ MODULES = (
     "queries_state",
     "queries_pages",
     "queries_quality",
+    "queries_stream",
 )
 
 
