@@ -7,8 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import any_of, contains_ci
-from ..functions.trigrams import set_similarity, trigrams
+from ..functions.core import any_of, contains_ci, let
 from .joins import with_body, with_company
 
 JOB_THRESHOLD = 0.1
@@ -24,8 +23,30 @@ def text_trigrams(text: str) -> list[str]:
 
 
 def similarity_to(column: str, text: str) -> Column:
-    known = F.array(*[F.lit(piece) for piece in text_trigrams(text)]).cast("array<string>")
-    return set_similarity(trigrams(F.col(column)), known)
+    """Similarity of a column to a fixed text.
+
+    The pieces of the fixed text are looked up in the padded column text; only rows that share
+    one have their own pieces counted. A piece across two words always ends in two blanks.
+    """
+    known = text_trigrams(text)
+
+    def score(padded: Column) -> Column:
+        shared = F.lit(0)
+        for piece in known:
+            shared = shared + F.when(padded.contains(piece), 1).otherwise(0)
+        pieces = F.transform(
+            F.sequence(F.lit(1), F.length(padded) - 2), lambda at: padded.substr(at, F.lit(3))
+        )
+        own = F.size(F.array_distinct(F.filter(pieces, lambda p: ~p.endswith("  "))))
+        return let(
+            shared,
+            lambda n: F.when(n == 0, F.lit(0.0)).otherwise(n / (own + len(known) - n)),
+        ).cast("float")
+
+    words = F.regexp_replace(
+        F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}\p{N}]+", "   "
+    )
+    return let(F.concat(F.lit("  "), words, F.lit(" ")), score)
 
 
 def _ranked(df: DataFrame, score: Column, keep, key: str) -> DataFrame:
@@ -42,17 +63,20 @@ def search_jobs(
 ) -> DataFrame:
     """Jobs whose title, company name and department together resemble the text. Texts under
     three characters are looked up literally."""
-    fields = ("title", "company_name", "department")
-    joined = with_company(jobs, companies)
     if not text:
-        return joined
+        return with_company(jobs, companies)
     if len(text) < 3:
-        return _containing(joined, fields, text)
-    total = similarity_to(fields[0], text)
-    for name in fields[1:]:
-        total = total + similarity_to(name, text)
+        return _containing(
+            with_company(jobs, companies), ("title", "company_name", "department"), text
+        )
+    # names are compared once per company, not once per job
+    named = companies.withColumn("_by_name", similarity_to("name", text))
+    joined = with_company(jobs, named, "_by_name")
+    total = similarity_to("title", text) + F.col("_by_name") + similarity_to("department", text)
     # one tenth as a 4-byte float lies above the decimal 0.1, so it passes
-    return _ranked(joined, total.cast("double"), lambda s: s > F.lit(threshold), "job_id")
+    return _ranked(
+        joined, total.cast("double"), lambda s: s > F.lit(threshold), "job_id"
+    ).drop("_by_name")
 
 
 def search_companies(

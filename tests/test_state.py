@@ -244,3 +244,17 @@ def test_worked_scores(spark):
     assert [r["rule"] for r in got[6].trail] == ["blocked_domain"]
     assert {r["rule"] for r in got[4].trail} == {"career_path_keyword", "noise_path", "http_200",
                                                  "deep_path"}
+
+
+def test_search_similarity_equals_the_set_formula(spark):
+    from postwatch.functions.trigrams import trigram_similarity
+    from postwatch.operators.search import similarity_to
+
+    words = ["", "a", "Gear", "small gear", "Gear-small  ring!", "ring ring", "Überblick gear",
+             "x1 y2", "ge ar", "small"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    for text in ("small gear", "Über ring", "zzz", "a b"):
+        rows = df.select(
+            similarity_to("t", text).alias("a"), trigram_similarity("t", F.lit(text)).alias("b")
+        ).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
