@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -199,24 +201,25 @@ def is_own_host(host: Column, domain: Column) -> Column:
     return (domain != "") & ((host == domain) | host.endswith(F.concat(F.lit("."), domain)))
 
 
+def _any_text(values) -> str:
+    return "|".join(re.escape(value) for value in values)
+
+
 def _matches_suffix(host: Column, domains: tuple[str, ...]) -> Column:
-    """Host equals one of a short fixed list of domains or lies below it."""
-    return any_of([host.isin(*domains), *[host.endswith("." + d) for d in domains]])
+    """Host equals one of a short fixed list of domains or lies below it: one pattern, so the
+    expression stays small however the host is computed."""
+    return host.rlike(rf"(?:^|\.)(?:{_any_text(domains)})\z")
 
 
 def is_blocked_host(host: Column | str) -> Column:
     return _matches_suffix(F.lower(col(host)), BLOCKED_HOSTS)
 
 
-def _ats_match(host: Column, exact: tuple[str, ...], suffix: str | None) -> Column:
-    hit = host.isin(*exact)
-    return hit | host.endswith(suffix) if suffix else hit
-
-
 def is_registry_ats_host(host: Column | str) -> Column:
     """Host belongs to a tracked applicant-tracking service."""
-    h = F.lower(col(host))
-    return any_of([_ats_match(h, exact, suffix) for exact, suffix in ATS_HOSTS.values()])
+    exact = _any_text(name for names, _ in ATS_HOSTS.values() for name in names)
+    below = _any_text(suffix for _, suffix in ATS_HOSTS.values() if suffix)
+    return F.lower(col(host)).rlike(rf"^(?:{exact})\z|(?:{below})\z")
 
 
 def is_scoring_ats_host(host: Column | str) -> Column:

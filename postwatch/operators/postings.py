@@ -227,11 +227,10 @@ def _created(rows: DataFrame, jobs: DataFrame, firm: DataFrame, as_of: Column) -
         named = rows.withColumn("job_id", F.regexp_replace(
             digest, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
     else:
-        top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(-1)).alias("top"))
-        # one row, so the join moves nothing
+        top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(-1))).scalar()
         named = with_ordered_index(
             rows.drop("job_id"), ["company_id", "row_id"], "_at"
-        ).join(F.broadcast(top)).withColumn("job_id", F.col("_at") + F.col("top") + 1)
+        ).withColumn("job_id", F.col("_at") + top + 1)
     joined = named.join(firm, "company_id", "left")
     is_ats = F.coalesce("_is_ats", F.lit(False))
     confidence = (

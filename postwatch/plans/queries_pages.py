@@ -132,7 +132,10 @@ def _(v):
     return ranked.filter(F.col("rank") == 1).select("company_id", "url", "origin")
 
 
-@query("detection_results", "D13 A15 D15")
+@query("detection_results", "D8 D12 D13 D14 A15", """
+SELECT page_id AS company_id, CAST(CASE WHEN page_id % 3 = 0 THEN 55
+    WHEN page_id % 5 = 0 THEN 65 ELSE 35 END AS INTEGER) AS best_score,
+  CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS candidates_found FROM pages""")
 def _(v):
     companies, pages = marked_pages(v)
     facts = page_source.page_facts(pages)
@@ -360,3 +363,39 @@ def _(v):
     )
     _, _, runs = discovery.persist_detection(v.company(), stored, ranked, attempted, as_of())
     return runs.select("company_id", "status")
+
+
+@query("backfill_sanitized", "M29 F40", """
+SELECT count(*) AS scanned, count(*) AS updated, CAST(0 AS BIGINT) AS unchanged FROM pages""")
+def _(v):
+    from ..operators.backfills import backfill_sanitized
+
+    jobs = v.table("pages").select(
+        F.col("page_id").alias("job_id"), F.col("html").alias("description_html"),
+        F.lit("").alias("description_html_sanitized"),
+    )
+    _, counts = backfill_sanitized(jobs, dry_run=True)
+    return counts
+
+
+@query("backfill_slugs", "M28 F9", r"""
+SELECT job_id, CASE WHEN job_id % 2 = 0 THEN slug ELSE
+  trim(regexp_replace(regexp_replace(lower(title || '-' || c.name || '-'),
+    '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-_') || '-'
+  || left(CAST(job_id AS VARCHAR), 8) END AS slug
+FROM (SELECT * EXCLUDE slug, slug FROM v_job) j JOIN (SELECT company_id, name FROM v_company) c
+USING (company_id)""")
+def _(v):
+    from ..operators.backfills import backfill_slugs
+
+    jobs = v.job().withColumn("slug", F.when(F.col("job_id") % 2 == 0, F.col("slug")))
+    return backfill_slugs(jobs, v.company(), fold=False).select("job_id", "slug")
+
+
+@query("unverify_report", "M18e M31", """
+SELECT company_id, is_verified AND NOT (domain LIKE '%.org') AS is_verified FROM v_company""")
+def _(v):
+    from ..operators.companies import unverify_fixtures
+
+    state, _ = unverify_fixtures(v.company(), v.user(), suffixes=(".example", ".org"))
+    return state.select("company_id", "is_verified")

@@ -20,14 +20,14 @@ UNION ALL SELECT 'salary_range', CAST(job_id AS VARCHAR), '' FROM v_job
 UNION ALL SELECT 'confidence_range', CAST(job_id AS VARCHAR), '' FROM v_job
   WHERE extraction_confidence > 100
 UNION ALL SELECT 'job_source_id', company_id || '|' || sid, CAST(count(*) AS VARCHAR) FROM (
-  SELECT company_id, left(source_job_id, 3) AS sid FROM v_job
-  WHERE NOT is_deleted AND source_job_id <> '') GROUP BY company_id, sid HAVING count(*) > 1
+  SELECT company_id, department AS sid FROM v_job
+  WHERE NOT is_deleted AND department <> '') GROUP BY company_id, sid HAVING count(*) > 1
 UNION ALL SELECT 'job_title_url', company_id || '|' || lower(title) || '|' || 'u',
   CAST(count(*) AS VARCHAR) FROM v_job WHERE NOT is_deleted
   GROUP BY company_id, lower(title) HAVING count(*) > 1""")
 def _(v):
     jobs = v.job()
-    coarse = jobs.withColumn("source_job_id", F.substring("source_job_id", 1, 3)).withColumn(
+    coarse = jobs.withColumn("source_job_id", F.col("department")).withColumn(
         "title_normalized", texts.title_normalized("title")
     ).withColumn("normalized_source_url", F.lit("u"))
     return quality.union([quality.check_job_rows(jobs), quality.check_job_unique(coarse)])

@@ -356,9 +356,17 @@ def _(v):
     return dates.date_candidates(notices(v), "doc_id", "text", 2001)
 
 
-@query("date_candidates_documents", "F37")
+@query("date_candidates_documents", "F37", r"""
+WITH m AS (SELECT doc_id, unnest(list_concat(
+    regexp_extract_all(text, '\b\d{1,2}[-\s/]\d{1,2}[-\s/]\d{2,4}\b'),
+    regexp_extract_all(text, '\b\d{2,4}[-\s/]\d{1,2}[-\s/]\d{1,2}\b'),
+    regexp_extract_all(text, '(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b'),
+    regexp_extract_all(text, '(?i)\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4}\b')
+  )) AS raw FROM documents)
+SELECT DISTINCT doc_id, raw FROM m""")
 def _(v):
-    return dates.date_candidates(v.table("documents"), "doc_id", "text", 2024)
+    found = dates.date_candidates(v.table("documents"), "doc_id", "text", 2024)
+    return found.select("doc_id", "raw")
 
 
 @query("job_slugs", "F9 M28", r"""

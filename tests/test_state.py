@@ -258,3 +258,73 @@ def test_search_similarity_equals_the_set_formula(spark):
             similarity_to("t", text).alias("a"), trigram_similarity("t", F.lit(text)).alias("b")
         ).collect()
         assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_scrape_cycle_from_feed_to_schedule(spark):
+    import json
+
+    from postwatch.operators.cycle import scrape_cycle
+
+    jobs = stored(spark, {}, {}, {}, {"company_id": 2}, {"company_id": 3})
+    firms = spark.createDataFrame(
+        [(c, f"C{c}", "greenhouse", True, True, False, "unknown", 2, 60, PAST)
+         for c in (1, 2, 3)],
+        "company_id long, name string, career_source_type string, is_verified boolean, "
+        "is_active boolean, is_deleted boolean, scrape_health string, "
+        "consecutive_failures int, scrape_interval_minutes int, next_scrape_at timestamp_ntz")
+    firms = firms.withColumn("next_scrape_at", F.when(
+        F.col("company_id") < 3, F.col("next_scrape_at")))
+    items = [{"id": f"S{i}", "title": f"T{i}", "location": {"name": "L"}, "content": "D",
+              "absolute_url": f"https://a.com/{i}"} for i in (1, 9)]
+    feeds = spark.createDataFrame(
+        [(1, "greenhouse", json.dumps({"jobs": items})), (2, "greenhouse", "{}"),
+         (3, "greenhouse", json.dumps({"jobs": items}))],
+        "company_id long, source_type string, body string")
+    past_runs = spark.createDataFrame(
+        [(7, 1, PAST, "success", 2, 0, 0, "trusted", "")],
+        "run_id long, company_id long, finished_at timestamp_ntz, status string, "
+        "jobs_found int, jobs_added int, jobs_missing int, verdict string, notes string")
+    result = scrape_cycle(jobs, firms, past_runs, feeds, now())
+    runs = {r.company_id: r for r in result.runs.collect()}
+    assert set(runs) == {1, 2}  # company 3 is not scheduled
+    assert (runs[1].jobs_found, runs[1].jobs_added, runs[1].jobs_missing) == (2, 1, 2)
+    assert (runs[1].verdict, runs[2].verdict) == ("trusted", "untrusted")
+    state = {r.job_id: r.status for r in result.jobs.collect()}
+    assert state == {1: "open", 2: "possibly_closed", 3: "possibly_closed", 4: "open",
+                     5: "open", 6: "open"}
+    health = {r.company_id: (r.scrape_health, r.consecutive_failures)
+              for r in result.companies.collect()}
+    assert health == {1: ("healthy", 0), 2: ("degraded", 3), 3: ("unknown", 2)}
+
+
+def test_streamed_ingest_equals_batches(spark, tmp_path):
+    import json
+
+    from postwatch.streaming import jobs as streaming
+
+    def document(i):
+        return json.dumps({"jobs": [{"id": f"S{i}", "title": f"N{i}", "location": {"name": "L"},
+                                     "content": "D", "absolute_url": f"https://a.com/{i}"}]})
+
+    for i in (1, 5):
+        spark.createDataFrame(
+            [(1, "greenhouse", document(i), PAST)], streaming.RAW_SCHEMA
+        ).coalesce(1).write.parquet(str(tmp_path / f"feeds/{i}"))
+    query = streaming.stream_ingest(
+        spark, str(tmp_path / "feeds/*"), companies(spark), stored(spark, {}, {}),
+        str(tmp_path / "state"), str(tmp_path / "progress"), files_per_batch=1)
+    query.awaitTermination()
+    state = streaming.latest_version(spark, query, str(tmp_path / "state"), "jobs")
+    assert sorted((r.source_job_id, r.title) for r in state.collect()) == [
+        ("S1", "N1"), ("S2", "T2"), ("S5", "N5")]
+
+
+def test_repeated_runs_are_dropped_within_the_horizon(spark, tmp_path):
+    from postwatch.streaming import jobs as streaming
+
+    rows = [(1, PAST), (1, PAST + dt.timedelta(minutes=5)), (2, PAST)]
+    schema = "company_id long, finished_at timestamp_ntz"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "runs"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
+    kept = streaming.run_to_table(streaming.dedupe_runs(stream), "dedupe").collect()
+    assert sorted(r.company_id for r in kept) == [1, 2]
