@@ -127,11 +127,11 @@ def ats_candidates(
         "company_id", "_slug",
         F.explode(F.array(*[F.replace(F.lit(p), F.lit("{}"), F.col("_slug"))
                             for p in BOARD_PATTERNS])).alias("guess"),
-    ).filter(F.col("_slug") != "").withColumn("_key", candidate_url("guess"))
-    good = pages.filter(F.col("status").between(200, 299)).select(
-        candidate_url("url").alias("_key"), "page_id", "html"
-    )
-    hit = guesses.join(good, "_key").join(facts.select("page_id", "has_posting"), "page_id")
+    ).filter(F.col("_slug") != "").withColumn("url", candidate_url("guess"))
+    good = pages.filter(F.col("status").between(200, 299))
+    hit = guesses.join(_page_of_url(guesses, good), "url").join(
+        good.select("page_id", "html"), "page_id"
+    ).join(facts.select("page_id", "has_posting"), "page_id")
     shown = F.lower(F.concat_ws(
         " ", texts.page_title("html"), F.substring(texts.visible_text("html"), 1, TRACE_CHARS)))
     traced = hit.filter(F.col("has_posting") | shown.contains(F.lower("_slug"))).withColumn(
@@ -430,14 +430,21 @@ def rank_candidates(
     ).drop("_cost")
 
 
+def _page_of_url(urls_wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page that answered under each wanted address. Only addresses and ids are shuffled here;
+    the markup is fetched by page id afterwards."""
+    slim = pages.select(candidate_url("url").alias("url"), "page_id")
+    return slim.join(urls_wanted.select("url").distinct(), "url", "left_semi").groupBy(
+        "url"
+    ).agg(F.min("page_id").alias("page_id"))
+
+
 def _landed(rows: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
     """Candidates with the page that answered under their address."""
-    known = first_per_key(
-        pages.select(candidate_url("url").alias("url"), "page_id", "final_url", "status",
-                     F.col("html")),
-        ["url"], ["page_id"],
-    )
-    return rows.join(known, "url").join(facts, "page_id", "left")
+    placed = rows.join(_page_of_url(rows, pages), "url")
+    return placed.join(
+        pages.select("page_id", "final_url", "status", "html"), "page_id"
+    ).join(facts, "page_id", "left")
 
 
 def jsonld_evidence(scored: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
