@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .filters import is_due, is_live, live_jobs
 from .joins import with_company
 from .ordered import top_per_key
@@ -56,6 +57,7 @@ def job_facets(jobs: DataFrame, companies: DataFrame, top: int = TOP_FACETS) ->
         ~((F.col("facet") == "department") & (F.col("value") == ""))
         & F.col("value").isNotNull()
     )
+    rows = cut_lineage(rows)  # counts only; otherwise both uses below would scan the jobs
     ranked = top_per_key(rows, ["facet"], [F.col("jobs").desc(), F.col("value")], top)
     whole = rows.filter(F.col("facet").isin("work_mode", "job_type"))
     return ranked.filter(F.col("facet").isin("company_id", "department")).unionByName(
