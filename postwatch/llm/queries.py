@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality
+from . import byte_bpe, line_quality
 from .common import documents
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "removed_words")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_quality,)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_line_quality)}
 
 ORACLES = {"op5_line_quality": line_quality.ORACLE_SQL}
