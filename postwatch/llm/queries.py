@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_quality
+from . import byte_bpe, line_quality, token_store
 from .common import documents
 
 
+def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_locate(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -21,6 +26,6 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "removed_words")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_line_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op5_line_quality)}
 
 ORACLES = {"op5_line_quality": line_quality.ORACLE_SQL}
