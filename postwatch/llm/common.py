@@ -47,6 +47,11 @@ def fingerprint(*columns: str) -> Column:
     return F.xxhash64(*(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in columns))
 
 
+def doc_key() -> Column:
+    """doc_id as a value that plain equality joins on; null is a key of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text and source of ``docs`` only, so that other columns cannot clash; with ``fp``."""
     return docs.select("doc_id", "text", "source", fingerprint("text", "source").alias("fp"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fingerprint, identified, map_slices, split_words, stage
+from .common import doc_key, fingerprint, identified, map_slices, split_words, stage
 
 SYMBOLS = b"#*$%&|<>"
 #: A line is removed in a host when more documents than both of these hold it.
@@ -148,12 +148,11 @@ def clean(docs: DataFrame, **limits: float) -> DataFrame:
 
     ``n_chars``, where there is such a column, follows the text.
     """
-    verdicts = judge(docs, **limits).where("kept").groupBy("doc_id", "fp").agg(
+    verdicts = judge(docs, **limits).where("kept").groupBy(
+        doc_key().alias("__id"), F.col("fp").alias("__fp")).agg(
         F.first("removed_lines").alias("__gone"))
-    verdicts = verdicts.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "__gone")
-    joined = docs.withColumn("__key", fingerprint("text", "source")).join(
-        verdicts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__fp"))
-    ).select(*docs.columns, "__gone")
+    joined = docs.withColumns({"__id": doc_key(), "__fp": fingerprint("text", "source")}).join(
+        verdicts, ["__id", "__fp"]).select(*docs.columns, "__gone")
     out = map_slices(joined, _without_lines, docs.schema.simpleString()[7:-1])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if (
         "n_chars" in docs.columns) else out

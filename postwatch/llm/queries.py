@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_quality, token_store
+from . import byte_bpe, curriculum, line_quality, token_store
 from .common import documents
 
 
@@ -20,12 +20,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN)
 
 
+def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.in_training_order(curriculum.mix(documents(spark, sf_dir))).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "removed_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op5_line_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality)}
 
-ORACLES = {"op5_line_quality": line_quality.ORACLE_SQL}
+ORACLES = {
+    "op4_curriculum_mix": curriculum.ORACLE_SQL,
+    "op5_line_quality": line_quality.ORACLE_SQL,
+}
