@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, curriculum, line_quality, token_store
+from . import byte_bpe, curriculum, line_quality, substrings, token_store
 from .common import documents
 
 
@@ -31,9 +32,15 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "removed_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op8_substring_dedup)}
 
 ORACLES = {
     "op4_curriculum_mix": curriculum.ORACLE_SQL,
     "op5_line_quality": line_quality.ORACLE_SQL,
+    "op8_substring_dedup": substrings.ORACLE_SQL,
 }
