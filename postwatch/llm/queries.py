@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curriculum, line_quality, substrings, token_store
+from . import byte_bpe, curriculum, jaccard, line_quality, substrings, token_store
 from .common import documents
 
 
@@ -32,12 +32,16 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "removed_words")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op6_jaccard_join, op8_substring_dedup)}
 
 ORACLES = {
     "op4_curriculum_mix": curriculum.ORACLE_SQL,
