@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curriculum, jaccard, line_quality, substrings, token_store
+from . import byte_bpe, curriculum, jaccard, line_quality, substrings, token_store, warc
 from .common import documents
 
 
@@ -41,10 +41,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op6_jaccard_join, op8_substring_dedup)}
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_assemble(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op6_jaccard_join,
+    op8_substring_dedup, op9_warc_transactions)}
 
 ORACLES = {
     "op4_curriculum_mix": curriculum.ORACLE_SQL,
     "op5_line_quality": line_quality.ORACLE_SQL,
     "op8_substring_dedup": substrings.ORACLE_SQL,
+    "op9_warc_transactions": warc.ORACLE_SQL,
 }
