@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curriculum, jaccard, line_quality, substrings, token_store, warc
+from . import byte_bpe, cover_search, curriculum, jaccard, line_quality, substrings, token_store, warc
 from .common import documents
 
 
@@ -45,13 +45,18 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_assemble(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op6_jaccard_join,
-    op8_substring_dedup, op9_warc_transactions)}
+    op8_substring_dedup, op9_warc_transactions, op10_cover_tree_top_k)}
 
 ORACLES = {
     "op4_curriculum_mix": curriculum.ORACLE_SQL,
     "op5_line_quality": line_quality.ORACLE_SQL,
     "op8_substring_dedup": substrings.ORACLE_SQL,
     "op9_warc_transactions": warc.ORACLE_SQL,
+    "op10_cover_tree_top_k": cover_search.ORACLE_SQL,
 }
