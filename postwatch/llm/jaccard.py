@@ -311,12 +311,12 @@ def _candidates(holders: DataFrame, points: DataFrame, labels: DataFrame) -> Dat
     A block of more than TILE sets is cut into chunks by hash, and every pair of its chunks is a
     tile of its own; blocks of one component are settled and left out.
     """
-    owned = holders.join(labels, "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    open_blocks = owned.groupBy("token").agg(
+    owned = stage(holders.join(labels, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")), "jaccard-owned")
+    open_blocks = stage(owned.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.count(F.lit(1)).alias("uses")).where("low <> high").select(
-        "token", F.ceil(F.col("uses") / TILE).cast("int").alias("chunks"))
+        "token", F.ceil(F.col("uses") / TILE).cast("int").alias("chunks")), "jaccard-open")
     placed = owned.join(open_blocks, "token").withColumn(
         "chunk", F.pmod(F.xxhash64("component", "id"), F.col("chunks")).cast("int"))
     tiled = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
@@ -330,8 +330,9 @@ def _links(sets: DataFrame) -> DataFrame:
     """Components of the described sets: (id, component) of those with any link."""
     points = sets.select("id", "n", "counts")
     holders = sets.select("id", F.explode("prefix").alias("token"))
-    blocks = holders.groupBy("token").agg(
-        F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    blocks = stage(holders.groupBy("token").agg(
+        F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select(
+        "token", "leader"), "jaccard-leaders")
     holders = stage(holders.join(blocks, "token").select("token", "id", "leader"), "jaccard-blocks")
     first = holders.where("id <> leader").groupBy("id", "leader").agg(
         F.count(F.lit(1)).alias("uses")).groupBy("id").agg(

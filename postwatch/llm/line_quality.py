@@ -106,11 +106,11 @@ def judge(
         F.col("line.line_words").alias("words"))
     limits = measured.groupBy("host").agg(F.greatest(
         F.lit(float(min_line_docs)), F.count(F.lit(1)) * max_line_share).alias("limit"))
-    frequent = (
+    frequent = stage(  # plain tables on both sides of the join let a hot line be split
         lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs"))
         .where(F.col("docs") > min_line_docs)
-        .join(limits, "host").where("docs > limit").select("host", "hash")
-    )
+        .join(limits, "host").where("docs > limit").select("host", "hash"),
+        "frequent-lines")
     removed = lines.join(frequent, ["host", "hash"]).groupBy("row").agg(
         F.sum("words").alias("removed_words"),
         F.array_sort(F.collect_list("hash")).alias("removed_lines"))  # lines of one document

@@ -208,8 +208,10 @@ def repeated_spans(table: DataFrame, window: int) -> DataFrame:
         "anchors", "contents", "starts", "ends")).alias("p")).select(
         "row", F.col("p.anchors").alias("anchor"), F.col("p.contents").alias("content"),
         F.col("p.starts").alias("start"), F.col("p.ends").alias("end"))
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    hits = stage(found.join(again.select("anchor"), "anchor"), "span-hits")
+    # counts are written first: a join with plain tables on both sides can be split where it is hot
+    again = stage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).where(
+        "uses > 1").select("anchor"), "span-anchors")
+    hits = stage(found.join(again, "anchor"), "span-hits")
     pieces = stage(hits.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "end")).alias("at")),
         "span-paths")
@@ -221,8 +223,8 @@ def repeated_spans(table: DataFrame, window: int) -> DataFrame:
             "wanted"))  # paths of one document
     windows = stage(_windows(table.select("row", "text").join(wanted, "row"), window),
                     "span-windows")
-    twice = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("uses")).where(
-        "uses > 1").select("anchor", "hash")
+    twice = stage(windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("uses")).where(
+        "uses > 1").select("anchor", "hash"), "span-repeats")
     single = windows.where("single").join(twice, ["anchor", "hash"]).select(
         "row", "start", (F.col("start") + window).alias("end"))
     return whole.select("row", "start", "end").unionByName(single).groupBy("row").agg(
