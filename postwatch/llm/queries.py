@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cover_search, curriculum, jaccard, line_quality, substrings, token_store, warc
+from . import byte_bpe, class_lm, cover_search, curriculum, jaccard, line_quality, substrings, token_store, warc
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -51,7 +55,7 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op6_jaccard_join,
-    op8_substring_dedup, op9_warc_transactions, op10_cover_tree_top_k)}
+    op7_class_lm, op8_substring_dedup, op9_warc_transactions, op10_cover_tree_top_k)}
 
 ORACLES = {
     "op4_curriculum_mix": curriculum.ORACLE_SQL,
