@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, cover_search, curriculum, jaccard, line_quality, substrings, token_store, warc
+from . import (
+    byte_bpe, class_lm, cover_search, curriculum, jaccard, lang_ecoc, line_quality, substrings,
+    token_store, warc,
+)
 from .common import documents
 
 
@@ -15,6 +18,10 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_lang_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_ecoc.predict(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -54,8 +61,8 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_orc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality, op6_jaccard_join,
-    op7_class_lm, op8_substring_dedup, op9_warc_transactions, op10_cover_tree_top_k)}
+    op1_token_orc, op2_lang_ecoc, op3_byte_bpe, op4_curriculum_mix, op5_line_quality,
+    op6_jaccard_join, op7_class_lm, op8_substring_dedup, op9_warc_transactions, op10_cover_tree_top_k)}
 
 ORACLES = {
     "op4_curriculum_mix": curriculum.ORACLE_SQL,
