@@ -4,11 +4,14 @@ Two sets link when 100 * |intersection| >= 75 * |union|. Equal sets are one set
 the rest, linked sets of sizes n and m share at least 3/7 * (n + m) shingles, hence at least 3/4 of
 either. Four exact steps narrow the search; none drops a link:
 
-1. The smallest shingle hashes of a set, 45 % of it, are its filter prefix. Linked sets share a
-   known share of their prefixes, so a set with fewer prefix shingles that any other document has
-   too is alone. Prefixes travel as packed blocks of many documents, each shingle once per block.
-2. Of the sets left, those that share one of their smallest quarter of hashes meet in a block.
-   Every set is first compared with one common partner; verified links form components.
+1. Shingles are ordered by hash, those frequent in a bounded sample of documents last. The first
+   45 % of a set are its filter prefix. Linked sets share a known share of their prefixes, so a set
+   with fewer prefix shingles that any other document has too is alone. Prefixes travel as packed
+   blocks of many documents, each shingle once per block. The sample only shapes the order: any
+   order that all documents share is exact.
+2. Of the sets left, those that share one of the first quarter of their shingles meet in a block.
+   Every set is first compared with one partner, from the smallest block it is in; verified links
+   form components.
 3. In blocks that still hold several components, an R-tree over count vectors (shingles hashed
    into groups, counted by group) is joined with itself: the overlap of two points is at most the
    sum of their coordinate-wise minima, that of two nodes the sum over their upper corners.
@@ -24,19 +27,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, fingerprint, split_words, stage
+from .common import SLICE_ROWS, doc_key, fingerprint, split_words, stage
 from .substrings import SpanHasher, WordHasher
 
 WORDS = 5
 #: Similarity 75 / 100: of sizes n and m, 7 * overlap >= 3 * (n + m).
 NEAR, ALL = 75, 100
-GROUPS = 64
+GROUPS = 256
+#: Documents sampled for frequent shingles, and the sampled documents that make one frequent.
+SAMPLE, FREQUENT = 4096, 3
 #: Documents and words that one packed block holds at most.
 BLOCK_DOCS, BLOCK_WORDS = 1024, 300_000
 #: Input bytes for one partition of packed blocks.
 PART_BYTES = 24 << 20
 #: Points of an R-tree leaf, children of a node, and points of one tile of a large block.
 LEAF, FAN, TILE = 16, 8, 1024
+#: Groups of so few points are compared without a tree.
+PLAIN = 24
 _TOKEN_MASK = np.uint64((1 << 48) - 1)
 
 
@@ -49,6 +56,28 @@ def shingle_set(words: list[bytes], hasher: WordHasher, size: int = WORDS) -> np
     return np.unique(span(start, np.minimum(start + size, n)) ^ np.uint64(min(n, size)))
 
 
+def in_order(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Shingles as numbers in the common order: frequent ones behind all others."""
+    late = np.isin(members, frequent, assume_unique=True) if len(frequent) else np.zeros(
+        len(members), bool)
+    return np.sort((members >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63)))
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of at least FREQUENT of SAMPLE documents, chosen by hash."""
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            for text in batch.column(0):
+                own = shingle_set(lowered(text.as_py()), hasher)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["token"])
+
+    some = docs.orderBy(F.xxhash64("doc_id", "fp"), "doc_id", "fp").limit(SAMPLE).select("text")
+    found = some.mapInArrow(run, "token long").groupBy("token").count().where(
+        F.col("count") >= FREQUENT).select("token").toArrow()
+    return np.sort(found.column("token").to_numpy().view(np.uint64))
+
+
 def prefix_size(n: np.ndarray | int, extra: np.ndarray | int = 1):
     """Members of a prefix such that linked sets share ``extra`` of theirs."""
     return n - -(-NEAR * n // ALL) + extra
@@ -63,7 +92,7 @@ def lowered(text: str | None) -> list[bytes]:
     return [w.lower() for w in split_words(text)]
 
 
-def _pack(docs: DataFrame, parts: int) -> DataFrame:
+def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
     """One row per block of documents: their keys, set sizes, set identities, and the prefix
     shingles of the block by part, each with the number of its documents and their places."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -106,7 +135,7 @@ def _pack(docs: DataFrame, parts: int) -> DataFrame:
                 own = lowered(batch.column(2)[at].as_py())
                 if held and (len(held) >= BLOCK_DOCS or words + len(own) > BLOCK_WORDS):
                     rows.append(block())
-                members = shingle_set(own, hasher)
+                members = in_order(shingle_set(own, hasher), frequent)
                 n = len(members)
                 identity = xxhash.xxh3_128_hexdigest(members.tobytes()) if n else None
                 keep = min(n, int(prefix_size(n, _slack(n)))) if n else 0
@@ -162,21 +191,23 @@ def _count_shared(batches):
                 ["block", "slot", "shared"])
 
 
-def _describe(batches):
-    """(id, n, members, prefix, counts) of each wanted set from its text."""
+def _describe(batches, frequent: np.ndarray):
+    """(set, n, members, prefix, counts) of each wanted set from its text."""
     hasher = WordHasher()
     for batch in batches:
-        ids, sets = batch.column(0), [
-            shingle_set(lowered(t), hasher) for t in batch.column(1).to_pylist()]
-        counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                  for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-             pa.array([s[:int(prefix_size(len(s)))].view(np.int64) for s in sets],
-                      pa.list_(pa.int64())),
-             pa.array([c.astype(np.int32) for c in counts], pa.list_(pa.int32()))],
-            ["id", "n", "members", "prefix", "counts"])
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            sets = [in_order(shingle_set(lowered(t), hasher), frequent)
+                    for t in part.column(1).to_pylist()]
+            counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+                      for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([s[:int(prefix_size(len(s)))].view(np.int64) for s in sets],
+                          pa.list_(pa.int64())),
+                 pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())],
+                ["set", "n", "members", "prefix", "counts"])
 
 
 def _verify(batches):
@@ -184,7 +215,8 @@ def _verify(batches):
         left, right = batch.column(2), batch.column(3)
         keep = []
         for i in range(batch.num_rows):
-            a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
+            a = np.frombuffer(left[i].as_py(), np.uint64)
+            b = np.frombuffer(right[i].as_py(), np.uint64)
             n, m = len(a), len(b)
             if 7 * min(n, m) < 3 * (n + m):
                 keep.append(False)
@@ -201,7 +233,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select(
-        "a", "b", "left", "right").mapInArrow(_verify, "a string, b string, linked boolean")
+        "a", "b", "left", "right").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -283,26 +315,69 @@ class _Tree:
         return i, j
 
 
-def _tile_pairs(key, table):
-    """Candidate pairs of one tile: points of two chunks of a block, or of one with itself."""
-    chunk = table.column("chunk").to_numpy()
-    ids = np.array(table.column("id").to_pylist(), object)
-    sizes = table.column("n").to_numpy()
-    owner = np.unique(np.array(table.column("component").to_pylist(), object),
-                      return_inverse=True)[1]
-    counts = np.array(table.column("counts").to_pylist(), np.int32).reshape(len(ids), -1)
+def _near_in_group(owner, sizes, counts, chunk):
+    """Index pairs of different owners, of two chunks or of one with itself, that may link."""
+    n = len(owner)
+    if n <= PLAIN:
+        a, b = np.triu_indices(n, 1)
+        if chunk[0] != chunk[-1]:
+            cross = chunk[a] != chunk[b]
+            a, b = a[cross], b[cross]
+        bound = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64)
+        near = (7 * bound >= 3 * (sizes[a] + sizes[b])) & (owner[a] != owner[b])
+        return a[near], b[near]
     trees, rows = [], []
-    for own in np.unique(chunk):
+    for own in (chunk[0], chunk[-1]) if chunk[0] != chunk[-1] else (chunk[0],):
         at = np.flatnonzero(chunk == own)
         at = at[np.lexsort((sizes[at], owner[at]))]
         trees.append(_Tree(counts[at], sizes[at], owner[at]))
         rows.append(at)
     a, b = trees[0].pairs(trees[-1])
-    x, y = ids[rows[0][a]], ids[rows[-1][b]]
-    differ = owner[rows[0][a]] != owner[rows[-1][b]]
-    low = [min(p, q) for p, q in zip(x[differ], y[differ])]
-    high = [max(p, q) for p, q in zip(x[differ], y[differ])]
-    return pa.table({"a": pa.array(low, pa.string()), "b": pa.array(high, pa.string())})
+    a, b = rows[0][a], rows[-1][b]
+    differ = owner[a] != owner[b]
+    return a[differ], b[differ]
+
+
+def _near_pairs(batches):
+    """Candidate pairs of the groups (token, one, two) that follow each other in sorted rows; a
+    pair comes once per task, however many groups it is in."""
+    seen: set[tuple[int, int]] = set()
+    held: list[tuple] = []
+
+    def pairs_of(ids, owner, sizes, counts, chunk):
+        a, b = _near_in_group(owner, sizes, counts, chunk)
+        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        for pair in zip(low.tolist(), high.tolist(), strict=True):
+            if pair not in seen:
+                seen.add(pair)
+                yield pair
+
+    def close():
+        parts = [np.concatenate([h[i] for h in held]) for i in range(5)]
+        held.clear()
+        return list(pairs_of(*parts))
+
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+        ids, owner, sizes, chunk = (batch.column(i).to_numpy() for i in (4, 5, 6, 3))
+        counts = np.stack([np.frombuffer(c.as_py(), "<u4") for c in batch.column(7)])
+        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        found: list[tuple[int, int]] = []
+        for begin, end in zip(cut, np.r_[cut[1:], len(key)], strict=True):
+            if held and tuple(key[begin]) != last:
+                found += close()
+            last = tuple(key[begin])
+            part = slice(begin, end)
+            held.append((ids[part], owner[part], sizes[part], counts[part], chunk[part]))
+        if len(seen) > 1_000_000:
+            seen.clear()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
+                                             ["a", "b"])
+    if held and (found := close()):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
+                                         ["a", "b"])
 
 
 def _candidates(holders: DataFrame, points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -318,12 +393,15 @@ def _candidates(holders: DataFrame, points: DataFrame, labels: DataFrame) -> Dat
         F.count(F.lit(1)).alias("uses")).where("low <> high").select(
         "token", F.ceil(F.col("uses") / TILE).cast("int").alias("chunks")), "jaccard-open")
     placed = owned.join(open_blocks, "token").withColumn(
-        "chunk", F.pmod(F.xxhash64("component", "id"), F.col("chunks")).cast("int"))
-    tiled = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "chunk", F.pmod(F.xxhash64("component", "id"), F.col("chunks")))
+    tiled = placed.withColumn("with", F.explode(F.sequence(
+        F.lit(0).cast("long"), (F.col("chunks") - 1).cast("long")))).select(
         "token", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("two"),
-        "chunk", "component", "id")
-    return tiled.join(points, "id").groupBy("token", "one", "two").applyInArrow(
-        _tile_pairs, "a string, b string").distinct()
+        "chunk", "id", "component")
+    return tiled.join(points, "id").repartition("token", "one", "two").sortWithinPartitions(
+        "token", "one", "two", "chunk").select(
+        "token", "one", "two", "chunk", "id", "component", "n", "counts").mapInArrow(
+        _near_pairs, "a long, b long").distinct()
 
 
 def _links(sets: DataFrame) -> DataFrame:
@@ -331,12 +409,11 @@ def _links(sets: DataFrame) -> DataFrame:
     points = sets.select("id", "n", "counts")
     holders = sets.select("id", F.explode("prefix").alias("token"))
     blocks = stage(holders.groupBy("token").agg(
-        F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select(
-        "token", "leader"), "jaccard-leaders")
-    holders = stage(holders.join(blocks, "token").select("token", "id", "leader"), "jaccard-blocks")
-    first = holders.where("id <> leader").groupBy("id", "leader").agg(
-        F.count(F.lit(1)).alias("uses")).groupBy("id").agg(
-        F.max_by("leader", F.struct("uses", "leader")).alias("leader")).select(
+        F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1"),
+        "jaccard-leaders")
+    holders = stage(holders.join(blocks, "token"), "jaccard-blocks")
+    first = holders.where("id <> leader").groupBy("id").agg(
+        F.min_by("leader", F.struct("uses", "token")).alias("leader")).select(
         F.col("leader").alias("a"), F.col("id").alias("b"))
     seen = stage(_verified(first, sets), "jaccard-pairs")
     holders = holders.select("token", "id")
@@ -367,7 +444,8 @@ def join(docs: DataFrame) -> DataFrame:
     size = int(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 min(100_000, size // PART_BYTES))
-    packed = stage(_pack(own, parts), "jaccard-blocks")
+    frequent = frequent_shingles(own)
+    packed = stage(_pack(own, parts, frequent), "jaccard-blocks")
     counts = packed.select("block", F.explode("packed").alias("p")).select(
         "block", "p.tokens", "p.uses", "p.slots", "p.part").repartition(parts, "part").select(
         "block", "tokens", "uses", "slots").mapInArrow(
@@ -376,24 +454,28 @@ def join(docs: DataFrame) -> DataFrame:
     rows = packed.select("block", F.posexplode(F.arrays_zip(
         "doc_ids", "fps", "sizes", "sets")).alias("slot", "d")).select(
         "block", F.col("slot").cast("long").alias("slot"), F.col("d.doc_ids").alias("doc_id"),
-        F.col("d.fps").alias("fp"), F.col("d.sizes").alias("n"), F.col("d.sets").alias("id"))
+        F.col("d.fps").alias("fp"), F.col("d.sizes").alias("n"), F.col("d.sets").alias("set"))
     least = F.col("n") - F.floor(F.col("n") / 4)
     rows = stage(rows.join(counts, ["block", "slot"], "left").withColumn(
         "open", F.coalesce("shared", F.lit(0)) >= F.greatest(F.lit(1), F.floor(least / 5))
-    ).select("doc_id", "fp", "n", "id", "open"), "jaccard-rows")
-    wanted = rows.where("open").groupBy("id").agg(F.min(F.struct(
+    ).select("doc_id", "fp", "n", "set", "open"), "jaccard-rows")
+    wanted = rows.where("open").groupBy("set").agg(F.min(F.struct(
         doc_key().alias("k"), F.col("fp").alias("f"))).alias("at")).select(
-        "id", F.col("at.k").alias("__id"), F.col("at.f").alias("fp"))
-    texts = own.withColumn("__id", doc_key()).join(wanted, ["__id", "fp"]).select("id", "text")
+        "set", F.col("at.k").alias("__id"), F.col("at.f").alias("fp"))
+    texts = own.withColumn("__id", doc_key()).join(wanted, ["__id", "fp"]).select(
+        "set", "text").dropDuplicates(["set"])
     sets = stage(texts.mapInArrow(
-        _describe, "id string, n long, members array<long>, prefix array<long>, counts array<int>"
-    ).dropDuplicates(["id"]), "jaccard-sets")
-    smallest = rows.groupBy("id").agg(F.min("doc_id").alias("low"))
-    labels = stage(smallest.where("id IS NOT NULL").join(_links(sets), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component"), "low"), "jaccard-final")
-    lowest = labels.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = labels.join(lowest, "component").select("id", "component_id")
-    return rows.join(ids, "id", "left").select(
+        lambda batches: _describe(batches, frequent),
+        "set string, n long, members binary, prefix array<long>, counts binary").withColumn(
+        "id", F.monotonically_increasing_id()), "jaccard-sets")
+    smallest = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("low"))
+    grouped = sets.select("set", "id").join(_links(sets), "id").select("set", "component")
+    labels = stage(smallest.join(grouped, "set", "left"), "jaccard-final")
+    lowest = labels.where("component IS NOT NULL").groupBy("component").agg(
+        F.min("low").alias("lowest"))
+    ids = stage(labels.join(lowest, "component", "left").select(
+        "set", F.coalesce("lowest", "low").alias("component_id")), "jaccard-ids")
+    return rows.join(ids, "set", "left").select(
         "doc_id", "fp", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias(
             "component_id"))
