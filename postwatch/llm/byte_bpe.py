@@ -23,6 +23,10 @@ from .chunks import ChunkEncoder
 from .common import SLICE_ROWS
 
 
+#: Pre-tokens remembered in each of two generations.
+PIECES = 200_000
+
+
 class ByteBpe:
     """Vocabulary of byte strings with merge ranks; a rank is the id."""
 
@@ -130,20 +134,24 @@ def load_ranks(path: str, pattern: str) -> ByteBpe:
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
     bpe = load_ranks(path, pattern)
-    pieces: dict[str, list[int]] = {}
+    recent: dict[str, list[int]] = {}
+    older: dict[str, list[int]] = {}
 
     def many(chunks: list[str]) -> list[list[int]]:
-        if len(pieces) > 100_000:
-            pieces.clear()
+        nonlocal recent, older
+        if len(recent) > PIECES:
+            recent, older = {}, recent
         out = []
         for chunk in chunks:
             ids: list[int] = []
             for piece in bpe.pattern.findall(chunk):
-                known = pieces.get(piece)
+                known = recent.get(piece)
                 if known is None:
-                    known = bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                    known = older.get(piece)
+                    if known is None:
+                        known = bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))
                     if len(piece) < 64:
-                        pieces[piece] = known
+                        recent[piece] = known
                 ids += known
             out.append(ids)
         return out
@@ -171,8 +179,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _id_lists([encoder.encode(t) for t in
-                                                part.column(1).to_pylist()])], ["doc_id", "ids"])
+                    [part.column(0), _id_lists(encoder.encode_all(part.column(1).to_pylist()))],
+                    ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 #: Estimated bytes of the chunks remembered since the last change of generations; the generation
 #: before is kept too, so that frequent chunks outlive a change.
-CACHE_BYTES = 90_000_000
+CACHE_BYTES = 60_000_000
 _ENTRY_BYTES = 190
 
 
@@ -54,38 +54,35 @@ class ChunkEncoder:
         self.older: dict[str, bytes | None] = {}
         self.held = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        known, older = self.known, self.older
-        new = []
-        for chunk in dict.fromkeys(chunks):
-            if chunk not in known:
-                if chunk in older:
-                    known[chunk] = ids = older[chunk]
-                    self.held += _ENTRY_BYTES + len(chunk) + len(ids or b"")
-                elif separable(chunk):
-                    new.append(chunk)
-                else:
-                    known[chunk] = None
+    def _learn(self, chunks: set[str]) -> None:
+        if self.held > self.limit:
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older, new = self.known, self.older, []
+        for chunk in chunks.difference(known):
+            if chunk in older:
+                known[chunk] = ids = older[chunk]
+                self.held += _ENTRY_BYTES + len(chunk) + len(ids or b"")
+            elif separable(chunk):
+                new.append(chunk)
+            else:
+                known[chunk] = None
         for chunk, ids in zip(new, self.encode_many(new), strict=True):
             known[chunk] = held = array("i", ids).tobytes()
             self.held += _ENTRY_BYTES + len(chunk) + len(held)
 
-    def _look_up(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            if self.held > self.limit:
-                self.known, self.older, self.held = {}, self.known, 0
-            self._learn(chunks)
-            return b"".join(map(self.known.__getitem__, chunks))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        chunks = cut(text)
-        if chunks is not None:
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        cuts = [cut(text) if text else [] for text in texts]
+        self._learn(set().union(*filter(None, cuts)))
+        look_up, out = self.known.__getitem__, []
+        for text, chunks in zip(texts, cuts, strict=True):
             try:
-                return self._look_up(chunks)
+                if chunks is not None:
+                    out.append(b"".join(map(look_up, chunks)))
+                    continue
             except TypeError:  # a chunk that is not separable
                 pass
-        return array("i", self.encode_whole(text)).tobytes()
+            out.append(array("i", self.encode_whole(text)).tobytes())
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]

@@ -7,6 +7,7 @@ the place of a document in the whole id sequence is the sum of what lies before
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ def _byte_letters() -> dict[int, str]:
 def _encoder(path: str) -> ChunkEncoder:
     """The tokenizers library behind a memory of chunks. A chunk of Latin letters, with at most a
     comma or full stop behind it, goes straight to the library's merge model."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Spark task
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     model, letters = tokenizer.model, _byte_letters()
@@ -81,7 +83,7 @@ def encode_ordered(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Dat
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 piece = batch.slice(start, SLICE_ROWS)
-                held = [encoder.encode(t) + end for t in piece.column(1).to_pylist()]
+                held = [ids + end for ids in encoder.encode_all(piece.column(1).to_pylist())]
                 offsets = np.zeros(len(held) + 1, dtype=np.int32)
                 np.cumsum([len(b) // 4 for b in held], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(
