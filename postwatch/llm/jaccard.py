@@ -15,7 +15,8 @@ either. Four exact steps narrow the search; none drops a link:
 3. In blocks that still hold several components, an R-tree over count vectors (shingles hashed
    into groups, counted by group) is joined with itself: the overlap of two points is at most the
    sum of their coordinate-wise minima, that of two nodes the sum over their upper corners.
-4. Surviving pairs of different components are verified on the whole sets, until none is left.
+4. Surviving pairs of different components are verified on the whole sets: first one for each set
+   and foreign component, then all that still join different components.
 """
 
 from __future__ import annotations
@@ -58,8 +59,9 @@ def shingle_set(words: list[bytes], hasher: WordHasher, size: int = WORDS) -> np
 
 def in_order(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Shingles as numbers in the common order: frequent ones behind all others."""
-    late = np.isin(members, frequent, assume_unique=True) if len(frequent) else np.zeros(
-        len(members), bool)
+    late = np.zeros(len(members), bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] == members
     return np.sort((members >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63)))
 
 
@@ -417,17 +419,20 @@ def _links(sets: DataFrame) -> DataFrame:
         F.col("leader").alias("a"), F.col("id").alias("b"))
     seen = stage(_verified(first, sets), "jaccard-pairs")
     holders = holders.select("token", "id")
-    while True:
-        labels = components(seen.where("linked"), "jaccard-labels")
-        fresh = stage(_candidates(holders, points, labels).join(
-            seen.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-candidates")
-        if fresh.isEmpty():
-            return labels
-        # one pair for each set and foreign component at a time: most others become needless
-        near = labels.select(F.col("id").alias("b"), F.col("component").alias("to"))
-        some = fresh.join(near, "b", "left").groupBy("a", F.coalesce("to", "b").alias("to")).agg(
-            F.min("b").alias("b")).select("a", "b")
-        seen = stage(seen.unionByName(_verified(some, sets)), "jaccard-pairs")
+
+    def fresh(labels: DataFrame) -> DataFrame:
+        return _candidates(holders, points, labels).join(
+            seen.select("a", "b"), ["a", "b"], "left_anti")
+
+    # one pair for each set and foreign component makes most others needless; then all the rest
+    labels = components(seen.where("linked"), "jaccard-labels")
+    near = labels.select(F.col("id").alias("b"), F.col("component").alias("to"))
+    some = fresh(labels).join(near, "b", "left").groupBy("a", F.coalesce("to", "b").alias("to")
+                                                         ).agg(F.min("b").alias("b"))
+    seen = stage(seen.unionByName(_verified(some, sets)), "jaccard-pairs")
+    labels = components(seen.where("linked"), "jaccard-labels")
+    seen = stage(seen.unionByName(_verified(fresh(labels), sets)), "jaccard-pairs")
+    return components(seen.where("linked"), "jaccard-labels")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -236,7 +236,7 @@ def archive_and_assemble(
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(pages.select("page_id", "url", "html"), path)
+    write_archives(pages.select("page_id", "url", "html"), path, min_revisit_bytes)
     records = stage(read_archives(spark, path).drop("payload"), "warc-records")
     captures = transactions(records)
     originals = captures.where("response.record_type = 'response'").groupBy(
