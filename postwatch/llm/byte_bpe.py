@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import ENCODE_ROWS, ChunkEncoder
 from .common import SLICE_ROWS
 
 
@@ -176,8 +176,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for start in range(0, batch.num_rows, ENCODE_ROWS):
+                part = batch.slice(start, ENCODE_ROWS)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), _id_lists(encoder.encode_all(part.column(1).to_pylist()))],
                     ["doc_id", "ids"])

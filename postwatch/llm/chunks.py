@@ -14,8 +14,10 @@ from collections.abc import Callable
 
 #: Estimated bytes of the chunks remembered since the last change of generations; the generation
 #: before is kept too, so that frequent chunks outlive a change.
-CACHE_BYTES = 60_000_000
+CACHE_BYTES = 90_000_000
 _ENTRY_BYTES = 190
+#: Texts that are encoded at a time.
+ENCODE_ROWS = 1024
 
 
 def cut(text: str) -> list[str] | None:
@@ -57,18 +59,24 @@ class ChunkEncoder:
     def _learn(self, chunks: set[str]) -> None:
         if self.held > self.limit:
             self.known, self.older, self.held = {}, self.known, 0
-        known, older, new = self.known, self.older, []
-        for chunk in chunks.difference(known):
-            if chunk in older:
-                known[chunk] = ids = older[chunk]
-                self.held += _ENTRY_BYTES + len(chunk) + len(ids or b"")
-            elif separable(chunk):
-                new.append(chunk)
+        known, older, size = self.known, self.older, 0
+        new = chunks.difference(known)
+        if older:
+            again = {c: older[c] for c in new if c in older}
+            known.update(again)
+            size += sum(len(c) + len(ids or b"") for c, ids in again.items())
+            new = new.difference(again)
+        good = []
+        for chunk in new:
+            body = chunk[1:] if chunk[:1] == " " else chunk
+            if body.isalpha() or separable(chunk):
+                good.append(chunk)
             else:
                 known[chunk] = None
-        for chunk, ids in zip(new, self.encode_many(new), strict=True):
+        for chunk, ids in zip(good, self.encode_many(good), strict=True):
             known[chunk] = held = array("i", ids).tobytes()
-            self.held += _ENTRY_BYTES + len(chunk) + len(held)
+            size += len(chunk) + len(held)
+        self.held += size + _ENTRY_BYTES * len(new)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         cuts = [cut(text) if text else [] for text in texts]

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunks import ChunkEncoder
-from .common import SLICE_ROWS, new_path, stage
+from .chunks import ENCODE_ROWS, ChunkEncoder
+from .common import new_path, stage
 
 #: Rows per entry of the row index, and bytes of a stripe before compression.
 INDEX_ROWS = 1000
@@ -40,8 +40,8 @@ def _encoder(path: str) -> ChunkEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Spark task
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    model, letters = tokenizer.model, _byte_letters()
-    marks = {m: [t.id for t in model.tokenize(m)] for m in ".,"}
+    tokenize, letters = tokenizer.model.tokenize, _byte_letters()
+    space, marks = letters[0x20], {m: [t.id for t in tokenize(m)] for m in ".,"}
 
     def whole(text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
@@ -50,12 +50,19 @@ def _encoder(path: str) -> ChunkEncoder:
         out: list[list[int] | None] = []
         hard: list[int] = []
         for at, chunk in enumerate(chunks):
-            tail = marks.get(chunk[-1])
-            word = chunk[:-1] if tail else chunk
-            body = word[1:] if word[:1] == " " else word
-            if body.isalpha() and max(body) < "ɐ":
-                ids = [t.id for t in model.tokenize(
-                    word.encode().decode("latin-1").translate(letters))]
+            word, tail = chunk, None
+            body = chunk[1:] if chunk[0] == " " else chunk
+            if not body.isalpha():
+                tail = marks.get(chunk[-1])
+                word, body = chunk[:-1], body[:-1]
+            if body.isascii():
+                plain = body.isalpha() and (tail or word is chunk)
+                shown = f"{space}{body}" if word[0:1] == " " else body
+            else:
+                plain = body.isalpha() and max(body) < "ɐ" and (tail or word is chunk)
+                shown = plain and word.encode().decode("latin-1").translate(letters)
+            if plain:
+                ids = [t.id for t in tokenize(shown)]
                 out.append(ids + tail if tail else ids)
             else:
                 hard.append(at)
@@ -81,8 +88,8 @@ def encode_ordered(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Dat
     def run(batches):
         encoder, part, pos = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(start, SLICE_ROWS)
+            for start in range(0, batch.num_rows, ENCODE_ROWS):
+                piece = batch.slice(start, ENCODE_ROWS)
                 held = [ids + end for ids in encoder.encode_all(piece.column(1).to_pylist())]
                 offsets = np.zeros(len(held) + 1, dtype=np.int32)
                 np.cumsum([len(b) // 4 for b in held], out=offsets[1:])
@@ -108,7 +115,7 @@ def write_orc(tokens: DataFrame, path: str) -> None:
         .option("orc.row.index.stride", str(INDEX_ROWS))
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.compress", "ZSTD").orc(path)
+        .option("orc.compress", "LZ4").orc(path)
     )
 
 
