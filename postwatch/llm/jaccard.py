@@ -5,7 +5,7 @@ the rest, linked sets of sizes n and m share at least 3/7 * (n + m) shingles, he
 either. Four exact steps narrow the search; none drops a link:
 
 1. Shingles are ordered by hash, those frequent in a bounded sample of documents last. The first
-   45 % of a set are its filter prefix. Linked sets share a known share of their prefixes, so a set
+   3/8 of a set are its filter prefix. Linked sets share a known share of their prefixes, so a set
    with fewer prefix shingles that any other document has too is alone. Prefixes travel as packed
    blocks of many documents, each shingle once per block. The sample only shapes the order: any
    order that all documents share is exact.
@@ -57,6 +57,18 @@ def shingle_set(words: list[bytes], hasher: WordHasher, size: int = WORDS) -> np
     return np.unique(span(start, np.minimum(start + size, n)) ^ np.uint64(min(n, size)))
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit numbers, byte by byte: zero bytes then compress away."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(raw: bytes, width: int) -> np.ndarray:
+    own = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    wide = np.zeros((own.shape[1], 8), np.uint8)
+    wide[:, :width] = own.T
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def in_order(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Shingles as numbers in the common order: frequent ones behind all others."""
     late = np.zeros(len(members), bool)
@@ -87,7 +99,7 @@ def prefix_size(n: np.ndarray | int, extra: np.ndarray | int = 1):
 
 def _slack(n):
     """Shared prefix members asked for, by set size."""
-    return np.maximum(1, n // 5)
+    return np.maximum(1, n // 8)
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -122,8 +134,8 @@ def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
                     n = uses[mine].astype(np.int64)
                     at = np.repeat(first[mine], n) + np.arange(n.sum()) - np.repeat(
                         np.cumsum(n) - n, n)
-                    raw = own[mine].view(np.uint8).reshape(-1, 8)[:, :6]
-                    packed.append({"part": p, "tokens": raw.tobytes(),
+                    packed.append({"part": p, "tokens": planes(np.diff(
+                        own[mine], prepend=np.uint64(0)), 6),
                                    "uses": uses[mine].tobytes(), "slots": slot[at].tobytes()})
             row = {"block": (task << 40) + serial, "doc_ids": [h[0] for h in held],
                    "fps": [h[1] for h in held], "sizes": [h[2] for h in held],
@@ -165,11 +177,8 @@ def _count_shared(batches):
     blocks, tokens, uses, slots = [], [], [], []
     for batch in batches:
         for i in range(batch.num_rows):
-            raw = np.frombuffer(batch.column(1)[i].as_py(), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :6] = raw
             blocks.append(batch.column(0)[i].as_py())
-            tokens.append(wide.reshape(-1).view(np.uint64))
+            tokens.append(np.cumsum(from_planes(batch.column(1)[i].as_py(), 6), dtype=np.uint64))
             uses.append(np.frombuffer(batch.column(2)[i].as_py(), np.uint16))
             slots.append(np.frombuffer(batch.column(3)[i].as_py(), np.uint16))
     if not blocks:
@@ -208,7 +217,7 @@ def _describe(batches, frequent: np.ndarray):
                  pa.array([s.tobytes() for s in sets], pa.binary()),
                  pa.array([s[:int(prefix_size(len(s)))].view(np.int64) for s in sets],
                           pa.list_(pa.int64())),
-                 pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary())],
+                 pa.array([planes(c, 4) for c in counts], pa.binary())],
                 ["set", "n", "members", "prefix", "counts"])
 
 
@@ -340,19 +349,23 @@ def _near_in_group(owner, sizes, counts, chunk):
     return a[differ], b[differ]
 
 
-def _near_pairs(batches):
+def _near_pairs(batches, one_each: bool):
     """Candidate pairs of the groups (token, one, two) that follow each other in sorted rows; a
-    pair comes once per task, however many groups it is in."""
+    pair comes once per task, however many groups it is in. With ``one_each``, a task gives one
+    pair for each point and foreign component, as long as it remembers them."""
     seen: set[tuple[int, int]] = set()
     held: list[tuple] = []
 
     def pairs_of(ids, owner, sizes, counts, chunk):
         a, b = _near_in_group(owner, sizes, counts, chunk)
-        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        for pair in zip(low.tolist(), high.tolist(), strict=True):
-            if pair not in seen:
-                seen.add(pair)
-                yield pair
+        swap = ids[a] > ids[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        keys = np.stack([ids[a], owner[b] if one_each else ids[b]], axis=1)
+        keys, first = np.unique(keys, axis=0, return_index=True)
+        for key, at in zip(map(tuple, keys.tolist()), first.tolist(), strict=True):
+            if key not in seen:
+                seen.add(key)
+                yield int(ids[a[at]]), int(ids[b[at]])
 
     def close():
         parts = [np.concatenate([h[i] for h in held]) for i in range(5)]
@@ -363,7 +376,7 @@ def _near_pairs(batches):
     for batch in batches:
         key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
         ids, owner, sizes, chunk = (batch.column(i).to_numpy() for i in (4, 5, 6, 3))
-        counts = np.stack([np.frombuffer(c.as_py(), "<u4") for c in batch.column(7)])
+        counts = np.stack([from_planes(c.as_py(), 4).astype(np.int32) for c in batch.column(7)])
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         found: list[tuple[int, int]] = []
         for begin, end in zip(cut, np.r_[cut[1:], len(key)], strict=True):
@@ -382,7 +395,9 @@ def _near_pairs(batches):
                                          ["a", "b"])
 
 
-def _candidates(holders: DataFrame, points: DataFrame, labels: DataFrame) -> DataFrame:
+def _candidates(
+    holders: DataFrame, points: DataFrame, labels: DataFrame, one_each: bool
+) -> DataFrame:
     """Pairs (a, b) of different components that share a block and pass the overlap bound.
 
     A block of more than TILE sets is cut into chunks by hash, and every pair of its chunks is a
@@ -403,7 +418,7 @@ def _candidates(holders: DataFrame, points: DataFrame, labels: DataFrame) -> Dat
     return tiled.join(points, "id").repartition("token", "one", "two").sortWithinPartitions(
         "token", "one", "two", "chunk").select(
         "token", "one", "two", "chunk", "id", "component", "n", "counts").mapInArrow(
-        _near_pairs, "a long, b long").distinct()
+        lambda batches: _near_pairs(batches, one_each), "a long, b long").distinct()
 
 
 def _links(sets: DataFrame) -> DataFrame:
@@ -420,18 +435,18 @@ def _links(sets: DataFrame) -> DataFrame:
     seen = stage(_verified(first, sets), "jaccard-pairs")
     holders = holders.select("token", "id")
 
-    def fresh(labels: DataFrame) -> DataFrame:
-        return _candidates(holders, points, labels).join(
+    def fresh(labels: DataFrame, one_each: bool) -> DataFrame:
+        return _candidates(holders, points, labels, one_each).join(
             seen.select("a", "b"), ["a", "b"], "left_anti")
 
     # one pair for each set and foreign component makes most others needless; then all the rest
     labels = components(seen.where("linked"), "jaccard-labels")
     near = labels.select(F.col("id").alias("b"), F.col("component").alias("to"))
-    some = fresh(labels).join(near, "b", "left").groupBy("a", F.coalesce("to", "b").alias("to")
+    some = fresh(labels, True).join(near, "b", "left").groupBy("a", F.coalesce("to", "b").alias("to")
                                                          ).agg(F.min("b").alias("b"))
     seen = stage(seen.unionByName(_verified(some, sets)), "jaccard-pairs")
     labels = components(seen.where("linked"), "jaccard-labels")
-    seen = stage(seen.unionByName(_verified(fresh(labels), sets)), "jaccard-pairs")
+    seen = stage(seen.unionByName(_verified(fresh(labels, False), sets)), "jaccard-pairs")
     return components(seen.where("linked"), "jaccard-labels")
 
 
@@ -462,7 +477,7 @@ def join(docs: DataFrame) -> DataFrame:
         F.col("d.fps").alias("fp"), F.col("d.sizes").alias("n"), F.col("d.sets").alias("set"))
     least = F.col("n") - F.floor(F.col("n") / 4)
     rows = stage(rows.join(counts, ["block", "slot"], "left").withColumn(
-        "open", F.coalesce("shared", F.lit(0)) >= F.greatest(F.lit(1), F.floor(least / 5))
+        "open", F.coalesce("shared", F.lit(0)) >= F.greatest(F.lit(1), F.floor(least / 8))
     ).select("doc_id", "fp", "n", "set", "open"), "jaccard-rows")
     wanted = rows.where("open").groupBy("set").agg(F.min(F.struct(
         doc_key().alias("k"), F.col("fp").alias("f"))).alias("at")).select(
