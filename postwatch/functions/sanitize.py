@@ -19,7 +19,6 @@ ALLOWED_TAGS = (
 ALLOWED_LINK_ATTRIBUTES = ("href", "title", "target")
 ALLOWED_SCHEMES = ("http", "https", "mailto")
 LINK_REL = "nofollow noopener noreferrer"
-INPUT_CAP_BYTES = 512 * 1024
 
 _DROPPED_WITH_CONTENT = ("script", "style")
 _SCHEME = re.compile(r"^([a-z][a-z0-9+.\-]*):", re.I)
@@ -87,9 +86,6 @@ def clean_html(text: str | None) -> str:
     """Allowed markup of one text. Whatever is not understood comes out as escaped text."""
     if not text:
         return ""
-    raw = text.encode("utf-8")
-    if len(raw) > INPUT_CAP_BYTES:
-        text = raw[:INPUT_CAP_BYTES].decode("utf-8", errors="replace")
     cleaner = _Cleaner()
     cleaner.feed(text)
     cleaner.close()

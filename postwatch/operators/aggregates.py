@@ -105,10 +105,16 @@ def ops_dashboard(companies: DataFrame, as_of: Column) -> DataFrame:
         F.count_if(status == "pending").alias("pending"),
         F.count_if(status == "needs_review").alias("needs_review"),
         F.count_if(is_due(as_of)).alias("due_now"),
-        F.min(F.when(F.col("is_active"), F.col("next_scrape_at"))).alias("next_scrape_at"),
+        F.min(F.when(is_due(as_of), F.col("next_scrape_at"))).alias("next_scrape_at"),
     )
 
 
+def jobs_by_status(jobs: DataFrame) -> DataFrame:
+    """Alive jobs per status, the dashboard's second block."""
+    return jobs.filter(~F.col("is_deleted")).groupBy("status").agg(
+        F.count(F.lit(1)).alias("jobs"))
+
+
 def latest_runs(runs: DataFrame, n: int = 10) -> DataFrame:
     return runs.orderBy(F.col("finished_at").desc(), "run_id").limit(n)
 

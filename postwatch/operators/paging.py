@@ -76,7 +76,8 @@ def paginate(
     df: DataFrame, order: list[Column], page: int = 1, size: int = DEFAULT_PAGE_SIZE
 ) -> DataFrame:
     """One page; Spark keeps only the leading rows of every task instead of sorting all."""
-    size = max(1, min(size, MAX_PAGE_SIZE))
+    if not 1 <= size <= MAX_PAGE_SIZE or page < 1:
+        raise ValueError(f"pages count from 1 and have 1 to {MAX_PAGE_SIZE} rows")
     return df.orderBy(*order).limit(page * size).offset((page - 1) * size)
 
 

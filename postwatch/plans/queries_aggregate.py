@@ -88,12 +88,19 @@ SELECT count(*) AS companies, count(*) FILTER (is_verified) AS verified,
   count(*) FILTER (detection_status = 'needs_review') AS needs_review,
   count(*) FILTER (is_verified AND is_active AND career_url <> '' AND scrape_health <> 'paused'
     AND (next_scrape_at IS NULL OR next_scrape_at <= TIMESTAMP '2001-11-05')) AS due_now,
-  min(next_scrape_at) FILTER (is_active) AS next_scrape_at
+  min(next_scrape_at) FILTER (is_verified AND is_active AND career_url <> ''
+    AND scrape_health <> 'paused' AND next_scrape_at <= TIMESTAMP '2001-11-05') AS next_scrape_at
 FROM v_company WHERE NOT is_deleted""")
 def _(v):
     return aggregates.ops_dashboard(v.company(), as_of())
 
 
+@query("jobs_by_status", "A9", """
+SELECT status, count(*) AS jobs FROM v_job WHERE NOT is_deleted GROUP BY status""")
+def _(v):
+    return aggregates.jobs_by_status(v.job())
+
+
 @query("latest_runs", "A9", """
 SELECT run_id, company_id, finished_at, status FROM v_run
 ORDER BY finished_at DESC, run_id LIMIT 10""")

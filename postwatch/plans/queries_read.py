@@ -466,7 +466,7 @@ def _(v):
 SELECT job_id, posted_at FROM v_job WHERE status = 'open' AND is_published AND NOT is_deleted
 ORDER BY posted_at DESC NULLS FIRST, job_id LIMIT 100""")
 def _(v):
-    page = paging.paginate(filters.live_jobs(v.job()), paging.job_order(), size=500)
+    page = paging.paginate(filters.live_jobs(v.job()), paging.job_order(), size=100)
     return page.select("job_id", "posted_at")
 
 

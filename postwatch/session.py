@@ -27,12 +27,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names.
 
     ``spark.checkpoint.dir`` is shared storage on a cluster, so the result survives the loss of
-    executors. Only where neither it nor a programmatic folder is set (single machine tests) a
-    temporary folder is used.
+    executors. Where neither it nor a programmatic folder is set, a local master gets a temporary
+    folder and any other an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="postwatch-checkpoint-"))
     return df.checkpoint(eager=True)

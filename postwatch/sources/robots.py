@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_BODY_CHARS = 256 * 1024
-
 
 def _strip(value: Column) -> Column:
     return F.regexp_replace(value, r"^\s+|\s+$", "")
@@ -16,11 +14,11 @@ def _strip(value: Column) -> Column:
 def robots_lines(bodies: DataFrame) -> DataFrame:
     """Directive lines of every body with the number of the user-agent block they belong to.
 
-    The block number is a running count inside one body; a body is cut at 256 KiB, which bounds
-    the group.
+    The block number is a running count inside one body, which is read whole: a rule cut short
+    would allow or forbid more than was written.
     """
     lines = bodies.select(
-        "domain", F.posexplode(F.split(F.substring("body", 1, MAX_BODY_CHARS), r"\r\n|\n|\r"))
+        "domain", F.posexplode(F.split("body", r"\r\n|\n|\r"))
         .alias("line_no", "line")
     ).withColumn("line", _strip(F.col("line")))
     kept = lines.filter(

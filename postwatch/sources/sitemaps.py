@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BODY_CHARS = 5 * 1024 * 1024
-
 
 def sitemap_locs(bodies: DataFrame) -> DataFrame:
     """Locations of every document ``(doc_url, body)`` in document order, each once; documents
     stay in their row."""
-    body = F.substring("body", 1, MAX_BODY_CHARS)
+    body = F.col("body")
     found = F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
     locs = F.array_distinct(F.filter(found, lambda loc: loc.rlike(r"(?i)^https?://")))
     return bodies.select(
