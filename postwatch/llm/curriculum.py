@@ -65,7 +65,7 @@ def source_targets(
     Sources are ranked by code point, null last, and repeat ``schedules``. Where a target would
     exceed ``max_epochs`` times its source, it stops there and the others share the rest by weight:
     sources are taken in the order in which they fill up, and the first that does not fill up at
-    the level of those before it sets the level of all behind it. The windows run over one row per
+    the level of those before it sets the level of all behind it, the highest of such levels. The windows run over one row per
     source.
     """
     weights = F.array(*(F.lit(float(integral(s))) for s in schedules))
@@ -83,7 +83,7 @@ def source_targets(
         .withColumn("level", (
             F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
         ) / F.sum("weight").over(behind))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(
             everything))
         .withColumn("target", F.least(
             F.col("cap").cast("double"), F.coalesce(F.col("level"), F.col("fill"))
@@ -209,7 +209,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fil
         / sum(weight) OVER (ORDER BY fill, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
         AS lev FROM f),
 m AS (SELECT *, least(cap::DOUBLE, coalesce(
-          min(CASE WHEN lev <= fill THEN lev END) OVER (), fill) * weight) AS target FROM l),
+          max(CASE WHEN lev <= fill THEN lev END) OVER (), fill) * weight) AS target FROM l),
 g AS (SELECT *, CAST(round(target) AS BIGINT) AS goal FROM m),
 o AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)

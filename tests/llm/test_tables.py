@@ -69,7 +69,7 @@ def test_search_equals_brute_force(spark, monkeypatch):
     rows = [(i, (centers[i % 8] + 0.1 * draw.normal(size=6)).astype(np.float32).tolist())
             for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(120)]  # ties
-    rows += [(1000, None), (1050, [1.0, None, 0, 0, 0, 0]), (1100, [float("nan")] * 6),
+    rows += [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6),
              (1150, [float("inf")] + [0.0] * 5), (None, rows[0][1])]
     df = spark.createDataFrame([(i, v, "x", "x") for i, v in rows],
                                "vec_id long, embedding array<float>, cell string, rank string")
