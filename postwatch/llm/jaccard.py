@@ -10,13 +10,14 @@ either. Four exact steps narrow the search; none drops a link:
    blocks of many documents, each shingle once per block. The sample only shapes the order: any
    order that all documents share is exact.
 2. Of the sets left, those that share one of the first quarter of their shingles meet in a block.
-   Every set is first compared with one partner, from the smallest block it is in; verified links
-   form components.
-3. In blocks that still hold several components, an R-tree over count vectors (shingles hashed
-   into groups, counted by group) is joined with itself: the overlap of two points is at most the
-   sum of their coordinate-wise minima, that of two nodes the sum over their upper corners.
-4. Surviving pairs of different components are verified on the whole sets: first one for each set
-   and foreign component, then all that still join different components.
+   Blocks of one leader, the smallest set in them, are worked on together, so that a pair in many
+   of them is found once.
+3. An R-tree over count vectors (shingles hashed into groups, counted by group) is joined with
+   itself: the overlap of two points is at most the sum of their coordinate-wise minima, that of two
+   nodes the sum over their upper corners. Of the pairs found, those stay that share a prefix
+   shingle with enough members behind it in both sets.
+4. Every pair of different sets that is left is verified once on the whole sets, in tiles that hold
+   each set once. Components and numbers of links are derived from these links.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ PART_BYTES = 24 << 20
 LEAF, FAN, TILE = 16, 8, 1024
 #: Groups of so few points are compared without a tree.
 PLAIN = 24
+#: Sets of one side of a tile in which pairs are verified.
+VERIFY_TILE = 256
 _TOKEN_MASK = np.uint64((1 << 48) - 1)
 
 
@@ -143,12 +146,12 @@ def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
             held, words, serial = [], 0, serial + 1
             return row
 
+        pa.default_memory_pool().release_unused()  # of earlier tasks of this worker
         for batch in batches:
-            rows = []
             for at in range(batch.num_rows):
                 own = lowered(batch.column(2)[at].as_py())
                 if held and (len(held) >= BLOCK_DOCS or words + len(own) > BLOCK_WORDS):
-                    rows.append(block())
+                    yield from pa.Table.from_pylist([block()], schema=schema).to_batches()
                 members = in_order(shingle_set(own, hasher), frequent)
                 n = len(members)
                 identity = xxhash.xxh3_128_hexdigest(members.tobytes()) if n else None
@@ -156,8 +159,6 @@ def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
                 held.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), n, identity,
                              np.unique(members[:keep] & _TOKEN_MASK)))
                 words += len(own)
-            if rows:
-                yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
         if held:
             yield from pa.Table.from_pylist([block()], schema=schema).to_batches()
 
@@ -174,6 +175,7 @@ def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
 def _count_shared(batches):
     """Of the packed blocks of one partition: how many of each document's prefix shingles occur in
     any other document. A shingle comes once per block, however many documents there hold it."""
+    pa.default_memory_pool().release_unused()
     blocks, tokens, uses, slots = [], [], [], []
     for batch in batches:
         for i in range(batch.num_rows):
@@ -222,29 +224,56 @@ def _describe(batches, frequent: np.ndarray):
 
 
 def _verify(batches):
+    """Linked pairs of sorted rows (tile, a, b, members): a tile's sets, without b, come first."""
+    held: dict[int, np.ndarray] = {}
+    last = None
     for batch in batches:
-        left, right = batch.column(2), batch.column(3)
-        keep = []
-        for i in range(batch.num_rows):
-            a = np.frombuffer(left[i].as_py(), np.uint64)
-            b = np.frombuffer(right[i].as_py(), np.uint64)
-            n, m = len(a), len(b)
+        tile, left, right = (batch.column(i).to_pylist() for i in range(3))
+        found: list[tuple[int, int]] = []
+        for i, (at, a, b) in enumerate(zip(tile, left, right, strict=True)):
+            if at != last:
+                held, last = {}, at
+            if b is None:
+                held[a] = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
+                continue
+            n, m = len(held[a]), len(held[b])
             if 7 * min(n, m) < 3 * (n + m):
-                keep.append(False)
                 continue
-            both = np.concatenate([a, b])
+            both = np.concatenate([held[a], held[b]])
             both.sort()
-            keep.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * (n + m))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            if 7 * np.count_nonzero(both[1:] == both[:-1]) >= 3 * (n + m):
+                found.append((a, b))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
+                                             ["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of pairs, by their whole sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select(
-        "a", "b", "left", "right").mapInArrow(_verify, "a long, b long, linked boolean")
+    """Those of the distinct pairs (a, b) that link, by their whole sets.
+
+    The home of a set is the smallest partner it has, or itself. A tile holds the sets of two cells
+    (home, chunk) that any of its pairs needs, each once, however many pairs there are.
+    """
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(
+        pairs.select("b", "a"))
+    homes = stage(ends.groupBy("id").agg(F.min("other").alias("other")).select(
+        "id", F.least("id", "other").alias("home")), "jaccard-homes")
+    chunks = homes.groupBy("home").agg(
+        F.ceil(F.count(F.lit(1)) / VERIFY_TILE).cast("int").alias("chunks"))
+    cells = stage(homes.join(chunks, "home").select("id", F.struct(
+        "home", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk")).alias("cell")),
+        "jaccard-cells")
+    tiled = stage(
+        pairs.join(cells.select(F.col("id").alias("a"), F.col("cell").alias("of_a")), "a")
+        .join(cells.select(F.col("id").alias("b"), F.col("cell").alias("of_b")), "b")
+        .select(F.xxhash64(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).alias("tile"),
+                "a", "b"), "jaccard-tiles")
+    needed = tiled.select("tile", F.col("a").alias("id")).union(tiled.select("tile", "b")).distinct()
+    rows = needed.join(sets.select("id", "members"), "id").select(
+        "tile", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "members").unionByName(
+        tiled.withColumn("members", F.lit(None).cast("binary")))
+    return rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()
+                                                         ).mapInArrow(_verify, "a long, b long")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -340,7 +369,7 @@ def _near_in_group(owner, sizes, counts, chunk):
     trees, rows = [], []
     for own in (chunk[0], chunk[-1]) if chunk[0] != chunk[-1] else (chunk[0],):
         at = np.flatnonzero(chunk == own)
-        at = at[np.lexsort((sizes[at], owner[at]))]
+        at = at[np.lexsort((owner[at], sizes[at]))]
         trees.append(_Tree(counts[at], sizes[at], owner[at]))
         rows.append(at)
     a, b = trees[0].pairs(trees[-1])
@@ -349,115 +378,104 @@ def _near_in_group(owner, sizes, counts, chunk):
     return a[differ], b[differ]
 
 
-def _near_pairs(batches, one_each: bool):
-    """Candidate pairs of the groups (token, one, two) that follow each other in sorted rows; a
-    pair comes once per task, however many groups it is in. With ``one_each``, a task gives one
-    pair for each point and foreign component, as long as it remembers them."""
-    seen: set[tuple[int, int]] = set()
-    held: list[tuple] = []
+def _sharing(a, b, sizes, tokens, places):
+    """Of index pairs, those with a common token behind which either set has members enough. The
+    smallest common shingle of linked sets is such a token."""
+    if len(a) <= 2 * len(sizes):
+        keep = np.zeros(len(a), bool)
+        for at, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            _, x, y = np.intersect1d(tokens[i], tokens[j], True, return_indices=True)
+            rest = np.minimum(sizes[i] - places[i][x], sizes[j] - places[j][y])
+            keep[at] = (7 * rest >= 3 * (sizes[i] + sizes[j])).any()
+        return keep
+    share = np.zeros((len(sizes), len(sizes)), bool)
+    every, place = np.concatenate(tokens), np.concatenate(places)
+    slot = np.repeat(np.arange(len(sizes)), [len(t) for t in tokens])
+    order = np.argsort(every, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(every[order])) + 1):
+        if len(run) > 1:
+            own = slot[run]
+            n, rest = sizes[own], sizes[own] - place[run]
+            share[np.ix_(own, own)] |= (
+                7 * np.minimum(rest[:, None], rest) >= 3 * (n[:, None] + n))
+    return share[a, b]
+
 
-    def pairs_of(ids, owner, sizes, counts, chunk):
-        a, b = _near_in_group(owner, sizes, counts, chunk)
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        keys = np.stack([ids[a], owner[b] if one_each else ids[b]], axis=1)
-        keys, first = np.unique(keys, axis=0, return_index=True)
-        for key, at in zip(map(tuple, keys.tolist()), first.tolist(), strict=True):
-            if key not in seen:
-                seen.add(key)
-                yield int(ids[a[at]]), int(ids[b[at]])
+def _near_pairs(batches):
+    """Candidate pairs of the tiles (leader, one, two) that follow each other in sorted rows."""
+    held: list[tuple] = []
 
     def close():
-        parts = [np.concatenate([h[i] for h in held]) for i in range(5)]
+        ids, sizes, counts, chunk = (np.concatenate([h[i] for h in held]) for i in range(4))
+        tokens, places = ([x for h in held for x in h[i]] for i in (4, 5))
         held.clear()
-        return list(pairs_of(*parts))
+        a, b = _near_in_group(ids, sizes, counts, chunk)
+        if len(a):
+            near = _sharing(a, b, sizes, tokens, places)
+            a, b = ids[a[near]], ids[b[near]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)])
 
     last = None
     for batch in batches:
         key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-        ids, owner, sizes, chunk = (batch.column(i).to_numpy() for i in (4, 5, 6, 3))
-        counts = np.stack([from_planes(c.as_py(), 4).astype(np.int32) for c in batch.column(7)])
+        chunk, ids, sizes = (batch.column(i).to_numpy() for i in (3, 4, 5))
+        counts = np.stack([from_planes(c.as_py(), 4).astype(np.int32) for c in batch.column(6)])
+        tokens, places = ([x.values.to_numpy() for x in batch.column(i)] for i in (7, 8))
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        found: list[tuple[int, int]] = []
+        found = []
         for begin, end in zip(cut, np.r_[cut[1:], len(key)], strict=True):
             if held and tuple(key[begin]) != last:
-                found += close()
+                found.append(close())
             last = tuple(key[begin])
             part = slice(begin, end)
-            held.append((ids[part], owner[part], sizes[part], counts[part], chunk[part]))
-        if len(seen) > 1_000_000:
-            seen.clear()
+            held.append((ids[part], sizes[part], counts[part], chunk[part], tokens[part],
+                         places[part]))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
-                                             ["a", "b"])
-    if held and (found := close()):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
-                                         ["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(np.int64)) for c in np.concatenate(found, axis=1)], ["a", "b"])
+    if held:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c.astype(np.int64)) for c in close()], ["a", "b"])
 
 
-def _candidates(
-    holders: DataFrame, points: DataFrame, labels: DataFrame, one_each: bool
-) -> DataFrame:
-    """Pairs (a, b) of different components that share a block and pass the overlap bound.
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets that share a block and pass the bounds.
 
-    A block of more than TILE sets is cut into chunks by hash, and every pair of its chunks is a
-    tile of its own; blocks of one component are settled and left out.
+    A leader with more than TILE sets in its blocks has them cut into chunks by hash, and every pair
+    of its chunks is a tile of its own.
     """
-    owned = stage(holders.join(labels, "id", "left").withColumn(
-        "component", F.coalesce("component", "id")), "jaccard-owned")
-    open_blocks = stage(owned.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count(F.lit(1)).alias("uses")).where("low <> high").select(
-        "token", F.ceil(F.col("uses") / TILE).cast("int").alias("chunks")), "jaccard-open")
-    placed = owned.join(open_blocks, "token").withColumn(
-        "chunk", F.pmod(F.xxhash64("component", "id"), F.col("chunks")))
-    tiled = placed.withColumn("with", F.explode(F.sequence(
-        F.lit(0).cast("long"), (F.col("chunks") - 1).cast("long")))).select(
-        "token", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("two"),
-        "chunk", "id", "component")
-    return tiled.join(points, "id").repartition("token", "one", "two").sortWithinPartitions(
-        "token", "one", "two", "chunk").select(
-        "token", "one", "two", "chunk", "id", "component", "n", "counts").mapInArrow(
-        lambda batches: _near_pairs(batches, one_each), "a long, b long").distinct()
+    holders = sets.select("id", F.posexplode("prefix").alias("place", "token"))
+    blocks = stage(holders.groupBy("token").agg(
+        F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select(
+        "token", "leader"), "jaccard-leaders")
+    met = stage(holders.join(blocks, "token").groupBy("leader", "id").agg(
+        F.array_sort(F.collect_list(F.struct("token", "place"))).alias("at")), "jaccard-blocks")
+    chunks = met.groupBy("leader").agg(
+        F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
+    tiled = met.join(chunks, "leader").withColumn(
+        "chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn(
+        "with", F.explode(F.sequence(
+            F.lit(0).cast("long"), (F.col("chunks") - 1).cast("long")))).select(
+        "leader", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("two"),
+        "chunk", "id", "at")
+    return tiled.join(sets.select("id", "n", "counts"), "id").repartition(
+        "leader", "one", "two").sortWithinPartitions("leader", "one", "two", "chunk").select(
+        "leader", "one", "two", "chunk", "id", "n", "counts", "at.token", "at.place").mapInArrow(
+        _near_pairs, "a long, b long").distinct()
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """Components of the described sets: (id, component) of those with any link."""
-    points = sets.select("id", "n", "counts")
-    holders = sets.select("id", F.explode("prefix").alias("token"))
-    blocks = stage(holders.groupBy("token").agg(
-        F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1"),
-        "jaccard-leaders")
-    holders = stage(holders.join(blocks, "token"), "jaccard-blocks")
-    first = holders.where("id <> leader").groupBy("id").agg(
-        F.min_by("leader", F.struct("uses", "token")).alias("leader")).select(
-        F.col("leader").alias("a"), F.col("id").alias("b"))
-    seen = stage(_verified(first, sets), "jaccard-pairs")
-    holders = holders.select("token", "id")
-
-    def fresh(labels: DataFrame, one_each: bool) -> DataFrame:
-        return _candidates(holders, points, labels, one_each).join(
-            seen.select("a", "b"), ["a", "b"], "left_anti")
-
-    # one pair for each set and foreign component makes most others needless; then all the rest
-    labels = components(seen.where("linked"), "jaccard-labels")
-    near = labels.select(F.col("id").alias("b"), F.col("component").alias("to"))
-    some = fresh(labels, True).join(near, "b", "left").groupBy("a", F.coalesce("to", "b").alias("to")
-                                                         ).agg(F.min("b").alias("b"))
-    seen = stage(seen.unionByName(_verified(some, sets)), "jaccard-pairs")
-    labels = components(seen.where("linked"), "jaccard-labels")
-    seen = stage(seen.unionByName(_verified(fresh(labels, False), sets)), "jaccard-pairs")
-    return components(seen.where("linked"), "jaccard-labels")
+    """(a, b) of all pairs of described sets that link, each once with a < b."""
+    pairs = stage(_candidates(sets), "jaccard-candidates")
+    return stage(_verified(pairs, sets), "jaccard-pairs")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n_shingles and component_id of every row of ``docs``.
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole join: members, pairs and identities.
 
-    A set holds the distinct 5-word shingles of the text in lower case (A-Z); with fewer words the
-    whole sequence is one shingle. Null, empty and blank texts have no shingles and link with
-    nothing. ``component_id`` is the smallest doc_id reachable by links; rows of equal sets are
-    linked, repeated rows too. A null doc_id counts as larger than any. An empty table gives no
-    rows. Only doc_id, text and source are read.
+    Members are all rows of ``docs`` as (doc_id, fp, n, set), where rows of equal sets have equal
+    ``set`` and rows without shingles none. Pairs (a, b) are all links between different sets, each
+    once, by the numbers of the identities (id, set); sets without a number have no link.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", fingerprint("text", "source").alias("fp"), "text")
@@ -488,17 +506,46 @@ def join(docs: DataFrame) -> DataFrame:
         lambda batches: _describe(batches, frequent),
         "set string, n long, members binary, prefix array<long>, counts binary").withColumn(
         "id", F.monotonically_increasing_id()), "jaccard-sets")
-    smallest = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("low"))
-    grouped = sets.select("set", "id").join(_links(sets), "id").select("set", "component")
-    labels = stage(smallest.join(grouped, "set", "left"), "jaccard-final")
+    return rows.select("doc_id", "fp", "n", "set"), _links(sets), sets.select("id", "set")
+
+
+def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, fp, n_shingles, set) of every row, and all links (set_a, set_b) between
+    different sets, each once: together every link of the join, copies not multiplied out."""
+    rows, links, names = linked_sets(docs)
+    named = links.join(names.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
+        names.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    return rows.withColumnRenamed("n", "n_shingles"), named.select("set_a", "set_b")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, n_shingles, component_id and n_links of every row of ``docs``.
+
+    A set holds the distinct 5-word shingles of the text in lower case (A-Z); with fewer words the
+    whole sequence is one shingle. Null, empty and blank texts have no shingles and link with
+    nothing. ``component_id`` is the smallest doc_id reachable by links, ``n_links`` the number of
+    other rows that a row links with; rows of equal sets are linked, repeated rows too. A null
+    doc_id counts as larger than any. An empty table gives no rows. Only doc_id, text and source
+    are read.
+    """
+    rows, links, names = linked_sets(docs)
+    smallest = stage(rows.where("set IS NOT NULL").groupBy("set").agg(
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).join(names, "set", "left"),
+        "jaccard-copies")
+    partners = links.union(links.select("b", "a")).join(
+        smallest.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(
+        F.sum("copies").alias("others"))
+    grouped = components(links, "jaccard-labels").join(partners, "id")
+    labels = stage(smallest.join(grouped, "id", "left"), "jaccard-final")
     lowest = labels.where("component IS NOT NULL").groupBy("component").agg(
         F.min("low").alias("lowest"))
     ids = stage(labels.join(lowest, "component", "left").select(
-        "set", F.coalesce("lowest", "low").alias("component_id")), "jaccard-ids")
+        "set", F.coalesce("lowest", "low").alias("component_id"),
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-ids")
     return rows.join(ids, "set", "left").select(
         "doc_id", "fp", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias(
-            "component_id"))
+            "component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard.join(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

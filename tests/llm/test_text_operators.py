@@ -74,6 +74,30 @@ def test_jaccard_at_the_limit(spark):
         dict(enumerate(brute.components(rows))))
 
 
+def test_jaccard_gives_every_link(spark, docs, rows, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    many = [" ".join(base[:i] + ["z"] + base[i + 1:]) for i in range(0, 60, 2)]
+    texts = [r["text"] for r in rows] + many + many[:3]
+    near = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(
+        [(1000 + i, t, "a") for i, t in enumerate(many + many[:3])],
+        "doc_id long, text string, source string"))
+    near.write.parquet(str(tmp_path / "near"))
+    near = spark.read.parquet(str(tmp_path / "near"))
+    sets = [brute.shingles(t) for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+             if i != j and 100 * len(a & b) >= 75 * len(a | b) > 0]
+    count = Counter(i for i, _ in links)
+    ids = [r["doc_id"] for r in rows] + [1000 + i for i in range(33)]
+    assert table(jaccard.join(near), "doc_id", "n_links") == Counter(
+        (ids[i], count[i]) for i in range(len(ids)))
+    members, pairs = jaccard.pairs(near)
+    by_id = {r.doc_id: r.set for r in members.collect()}
+    got = Counter(frozenset((r.set_a, r.set_b)) for r in pairs.collect())
+    assert got == Counter({frozenset((by_id[ids[i]], by_id[ids[j]])) for i, j in links
+                           if sets[i] != sets[j] and None not in (ids[i], ids[j])})
+    assert len(got) > 100
+
+
 def test_tree_join_equals_all_pairs():
     draw = np.random.default_rng(3)
     near = draw.integers(0, 9, (6, 32))
