@@ -44,13 +44,16 @@ class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit integers.
 
     ``encode_whole(text)`` gives the ids of any text, ``encode_many(chunks)`` those of several
-    separable chunks; both must agree with the vocabulary's own tokenizer.
+    separable chunks; both must agree with the vocabulary's own tokenizer. A text that holds one of
+    the strings ``unsplit`` is encoded whole.
     """
 
     def __init__(
         self, encode_whole: Callable[[str], list[int]],
         encode_many: Callable[[list[str]], list[list[int]]], cache_bytes: int = CACHE_BYTES,
+        unsplit: tuple[str, ...] = (),
     ):
+        self.unsplit = unsplit
         self.encode_whole, self.encode_many, self.limit = encode_whole, encode_many, cache_bytes
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
@@ -78,8 +81,14 @@ class ChunkEncoder:
             size += len(chunk) + len(held)
         self.held += size + _ENTRY_BYTES * len(new)
 
+    def _cut(self, text: str) -> list[str] | None:
+        for held in self.unsplit:
+            if held in text:
+                return None
+        return cut(text)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [cut(text) if text else [] for text in texts]
+        cuts = [self._cut(text) if text else [] for text in texts]
         self._learn(set().union(*filter(None, cuts)))
         look_up, out = self.known.__getitem__, []
         for text, chunks in zip(texts, cuts, strict=True):

@@ -36,10 +36,11 @@ def _byte_letters() -> dict[int, str]:
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> ChunkEncoder:
     """The tokenizers library behind a memory of chunks. A chunk of Latin letters, with at most a
-    comma or full stop behind it, goes straight to the library's merge model."""
+    comma or full stop behind it, goes straight to the library's merge model. A text that holds an
+    added token of the vocabulary goes to the library whole, which gives that token its own id."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Spark task
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     tokenize, letters = tokenizer.model.tokenize, _byte_letters()
     space, marks = letters[0x20], {m: [t.id for t in tokenize(m)] for m in ".,"}
 
@@ -72,7 +73,7 @@ def _encoder(path: str) -> ChunkEncoder:
             out[at] = encoding.ids
         return out
 
-    return ChunkEncoder(whole, many)
+    return ChunkEncoder(whole, many, unsplit=added)
 
 
 def encode_ordered(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

@@ -216,6 +216,17 @@ def test_token_files(spark, docs, rows, nothing, tmp_path):
     assert one.count() == 1
 
 
+def test_added_tokens_are_encoded_as_the_library_does(spark):
+    texts = ["a<|endoftext|>b", "one two <|endoftext|> three.\n<|endoftext|>", "<|endoftext|>",
+             "a <|endoftext |> b", "plain text, twice. plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    got = {r.doc_id: r.ids for r in token_store.encode_ordered(docs, VOCABULARY, 0).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [0]
+                   for i, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def test_class_model(docs, rows, nothing):
     held = [brute.crc(r["doc_id"]) % 7 == 2 for r in rows]
     tokens = [[*brute.lowered(r["text"]), None] for r in rows]
