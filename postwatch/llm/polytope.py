@@ -33,8 +33,8 @@ PROBES, NEXT = 4, 3
 MISS = 1e-5
 #: Random pairs by which a table's share is measured.
 TRIALS = 2000
-#: Vectors of one side of a tile.
-TILE = 1024
+#: Vectors of one side of a tile; tiles of so few rows are compared together.
+TILE, SMALL = 1024, 16
 #: Cosines this near to the threshold are worked out again from the vectors themselves.
 BORDER = 1e-9
 
@@ -147,20 +147,26 @@ def _read(batch: pa.RecordBatch, column: str, kind: str, rows: int) -> np.ndarra
     return np.frombuffer(raw, kind).reshape(rows, -1)
 
 
+def _above(cosine: np.ndarray, units: np.ndarray, a: np.ndarray, b: np.ndarray,
+           threshold: float) -> np.ndarray:
+    """Whether each cosine reaches the threshold; those at the border are worked out exactly."""
+    keep = cosine >= threshold
+    for at in np.flatnonzero(np.abs(cosine - threshold) <= BORDER):
+        x, y = units[a[at]], units[b[at]]
+        keep[at] = math.fsum(x * y) >= threshold * math.sqrt(math.fsum(x * x) * math.fsum(y * y))
+    return keep
+
+
 def _near(vectors: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: float):
-    """(i, j) of pairs between the places ``one`` and ``two`` (i < j) with enough cosine."""
-    units = unit(vectors)
-    cosine = units[one] @ units[two].T
+    """(i, j) of pairs between the places ``one`` and ``two`` (i < j where they are the same) with
+    enough cosine."""
+    left, right = unit(vectors[one]), unit(vectors[two])
+    cosine = left @ right.T
     a, b = np.nonzero(cosine >= threshold - BORDER)
-    value, a, b = cosine[a, b], one[a], two[b]
-    ahead = a < b if one is two else np.ones(len(a), bool)
-    a, b, value = a[ahead], b[ahead], value[ahead]
-    keep = value >= threshold
-    for at in np.flatnonzero(np.abs(value - threshold) <= BORDER):
-        x, y = units[a[at]], units[b[at]]
-        keep[at] = math.fsum(x * y) >= threshold * math.sqrt(
-            math.fsum(x * x) * math.fsum(y * y))
-    return a[keep], b[keep]
+    if one is two:
+        a, b = a[a < b], b[a < b]
+    keep = _above(cosine[a, b], np.concatenate([left, right]), a, b + len(one), threshold)
+    return one[a[keep]], two[b[keep]]
 
 
 def _first_key(a: np.ndarray, b: np.ndarray, posted: int) -> np.ndarray:
@@ -174,8 +180,8 @@ def _first_key(a: np.ndarray, b: np.ndarray, posted: int) -> np.ndarray:
     return least
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph with the edges (a, b)."""
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges (rows of two) of a spanning forest of the graph with the edges (a, b)."""
     both, edges = np.argsort(np.r_[a, b], kind="stable"), []
     tip, ends = np.r_[a, b][both], np.r_[b, a][both]
     begin = np.searchsorted(tip, np.arange(n + 1))
@@ -191,59 +197,70 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             seen[near] = True
             edges += [(int(at), int(x)) for x in near]
             waiting += near.tolist()
-    return edges
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
+def _pairs(tile: np.ndarray, chunk: np.ndarray, vectors: np.ndarray, threshold: float):
+    """Places (i, j) of all near pairs within tiles; rows of a tile follow each other. Pairs of one
+    chunk belong to the tile of that chunk alone."""
+    begin = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
+    size = np.diff(np.r_[begin, len(tile)])
+    number = np.repeat(np.arange(len(begin)), size)
+    inner = tile[:, 1] == tile[:, 2]
+    found = []
+    for at in np.flatnonzero(size > SMALL):
+        places = np.arange(begin[at], begin[at] + size[at])
+        one = places[chunk[places] == tile[begin[at], 1]]
+        two = one if inner[begin[at]] else places[chunk[places] == tile[begin[at], 2]]
+        found.append(_near(vectors, one, two, threshold))
+    few = np.flatnonzero((size <= SMALL)[number])
+    units = unit(vectors[few])
+    for shift in range(1, SMALL):  # tiles of few rows, all at once
+        a = np.arange(max(0, len(few) - shift))
+        a = a[(number[few[a]] == number[few[a + shift]]) & (
+            inner[few[a]] | (chunk[few[a]] != chunk[few[a + shift]]))]
+        if not len(a):
+            break
+        cosine = np.einsum("ij,ij->i", units[a], units[a + shift])
+        keep = _above(cosine, units, a, a + shift, threshold)
+        found.append((few[a[keep]], few[a[keep] + shift]))
+    return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in (0, 1)]
 
 
 def _verify(batches, threshold: float, posted: int, kind: str):
     """Links of the tiles (key, one, two) that follow each other in sorted rows: (id, links) for
     every linked vector, and (id, other) for the edges of a forest."""
-    names = ("chunk", "id", "label", "copies")
-    held: list[tuple] = []
-
-    def close(key: int) -> list[tuple]:
-        chunk, ids, labels, copies = (np.concatenate([h[i] for h in held]) for i in range(4))
-        keys, vectors = (np.concatenate([h[i] for h in held]) for i in (4, 5))
-        held.clear()
-        _, first = np.unique(ids, return_index=True)
-        chunk, ids, labels, copies, keys, vectors = (
-            x[first] for x in (chunk, ids, labels, copies, keys, vectors))
-        if len(ids) < 2:
-            return []
-        halves = np.unique(chunk)
-        one = np.flatnonzero(chunk == halves[0])
-        a, b = _near(vectors.astype(np.float64), one,
-                     one if len(halves) == 1 else np.flatnonzero(chunk == halves[1]), threshold)
-        mine = (labels[a] == labels[b]) & (_first_key(keys[a], keys[b], posted) == key)
+    def close(tile, chunk, ids, labels, copies, keys, raw) -> pa.RecordBatch:
+        a, b = _pairs(tile, chunk, raw.astype(np.float64), threshold)
+        mine = (labels[a] == labels[b]) & (_first_key(keys[a], keys[b], posted) == tile[a, 0])
         a, b = a[mine], b[mine]
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        return [(int(ids[i]), int(links[i]), None) for i in np.flatnonzero(links)] + [
-            (int(ids[i]), None, int(ids[j])) for i, j in _forest(len(ids), a, b)]
-
-    def packed(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([f[i] for f in found], pa.int64()) for i in range(3)],
-            ["id", "links", "other"])
+        some, edges = np.flatnonzero(links), _forest(len(ids), a, b)
+        return pa.RecordBatch.from_pydict({
+            "id": pa.array(np.r_[ids[some], ids[edges[:, 0]]], pa.int64()),
+            "links": pa.array(links[some].tolist() + [None] * len(edges), pa.int64()),
+            "other": pa.array([None] * len(some) + ids[edges[:, 1]].tolist(), pa.int64())})
 
-    last = None
+    held = None
     for batch in batches:
         rows = batch.num_rows
         if not rows:
             continue
-        tile = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-        columns = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names]
+        columns = [np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)]
+        columns += [batch.column(batch.schema.get_field_index(n)).to_numpy()
+                    for n in ("chunk", "id", "label", "copies")]
         columns += [_read(batch, "keys", "<i8", rows), _read(batch, "raw", kind, rows)]
-        cut, found = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)]), []
-        for begin, end in zip(cut, np.r_[cut[1:], rows], strict=True):
-            if held and tuple(tile[begin]) != last:
-                found += close(last[0])
-            last = tuple(tile[begin])
-            held.append(tuple(c[begin:end] for c in columns))
-        if found:
-            yield packed(found)
-    if held:
-        yield packed(close(last[0]))
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        tile = columns[0]
+        last = int(np.flatnonzero((tile != tile[-1]).any(axis=1)).max(initial=-1)) + 1
+        held = [c[last:] for c in columns]  # the tile that may go on
+        if last:
+            yield close(*(c[:last] for c in columns))
+    if held is not None:
+        yield close(*held)
 
 
 def _distinct(valid: DataFrame, width: int, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -278,17 +295,21 @@ def _found(sets: DataFrame, hashing: Hashing, width: int, kind: str, threshold:
             for part in slices(batch, hashing.signs.shape[3] * hashing.posted):
                 vectors = unit(_read(part, "raw", kind, part.num_rows).astype(np.float64))
                 keys = bucket_keys(hashing, vectors, part.column(1).to_numpy())
+                tables = keys.reshape(len(keys), -1, posted)
+                again = (tables == tables[:, :, :1]) & (np.arange(posted) > 0)
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(i) for i in range(4)),
                     pa.array([row.tobytes() for row in keys], pa.binary()),
-                    pa.array(keys.tolist(), pa.list_(pa.int64()))],
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()),
+                        pa.array(keys.reshape(-1), mask=again.reshape(-1)))],
                     ["id", "label", "copies", "raw", "keys", "all"])
 
     keyed = stage(sets.select("id", F.col("label").cast("long").alias("label"), "copies", "raw")
                   .mapInArrow(post, "id long, label long, copies long, raw binary, keys binary, "
                                     "all array<long>"), "polytope-keys")
     postings = keyed.select("id", F.posexplode("all").alias("at", "key")).select(
-        "id", "key", (F.col("at") % posted == 0).alias("home"))
+        "id", "key", (F.col("at") % posted == 0).alias("home")).where("key IS NOT NULL")
     chunks = F.ceil(F.col("n") / TILE).cast("int")
     buckets = postings.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where(
