@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import new_folder
 from .filters import alive
 from .ordered import first_per_key
 
@@ -129,32 +129,76 @@ def find_duplicate_companies(existing: DataFrame, incoming: DataFrame) -> DataFr
     ).withColumn("match_id", F.col("_best.match_id")).drop("_best")
 
 
-def resolve_duplicates(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_duplicates(edges: DataFrame) -> DataFrame:
     """Final target of every ``(job_id, duplicate_of)`` chain, and whether it runs in a circle.
 
-    Pointer jumping: each round joins the pointers with themselves and doubles the length they
-    cover, so a chain of n links needs log2(n) rounds. A job on or before a circle never reaches
-    an end and is flagged once the pointers have covered more links than there are.
+    Pointer jumping over the unfinished rows alone: each round doubles the links a pointer covers,
+    and rows that reach an end or a finished row leave the state. A row also carries the smallest
+    id it has passed. One that passes itself is the smallest of a circle; it and all rows that have
+    passed it are finished without a target. Each round writes finished and unfinished rows apart,
+    and counts them while it writes.
     """
-    links = edges.filter(F.col("duplicate_of").isNotNull()).select("job_id", "duplicate_of")
-    state = cut_lineage(
-        links.select("job_id", F.col("duplicate_of").alias("root"), F.lit(False).alias("done"))
-    )
-    total = state.count()
-    covered = 1
-    for _ in range(max_rounds):
-        nxt = state.select(F.col("job_id").alias("root"), F.col("root").alias("_next"))
-        state = cut_lineage(
-            state.join(nxt, "root", "left").select(
-                "job_id",
-                F.coalesce("_next", "root").alias("root"),
-                F.col("_next").isNull().alias("done"),
-            )
-        )
-        covered *= 2
-        if covered > total or state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select(
-        "job_id", F.when(F.col("done"), F.col("root")).alias("root"),
-        (~F.col("done")).alias("in_circle"),
-    )
+    spark, kind = edges.sparkSession, edges.schema["job_id"].dataType
+    none = F.lit(None).cast(kind)
+    chains = _Chains(spark, kind.simpleString())
+    chains.write(edges.filter(F.col("duplicate_of").isNotNull()).select(
+        "job_id", F.col("duplicate_of").alias("at"), F.col("duplicate_of").alias("low"),
+        none.alias("root"), F.lit(False).alias("circle")))
+    while chains.left:
+        waiting, passed = chains.waiting(), F.least("low", "next_low")
+        known = waiting.select(
+            F.col("job_id").alias("at"), F.col("at").alias("next"), F.col("low").alias("next_low"),
+            none.alias("end"), F.lit(False).alias("lost")
+        ).unionByName(chains.finished().select(
+            F.col("job_id").alias("at"), none.alias("next"), none.alias("next_low"),
+            F.col("root").alias("end"), F.col("circle").alias("lost")))
+        round_trip = F.coalesce(passed == F.col("job_id"), F.lit(False))
+        step = waiting.join(known, "at", "left").select(
+            "job_id", F.coalesce("next", "at").alias("at"), passed.alias("low"),
+            F.when(round_trip, F.col("job_id")).when(
+                F.col("next").isNull(), F.coalesce("end", "at")).alias("root"),
+            (round_trip | F.coalesce("lost", F.lit(False))).alias("circle"))
+        if chains.write(step) and chains.left:  # circles were found: free what has passed them
+            heads = chains.heads().select(F.col("job_id").alias("low"), F.col("job_id").alias("root"))
+            chains.write(chains.waiting().drop("root").join(heads, "low", "left").select(
+                "job_id", "at", "low", "root", F.col("root").isNotNull().alias("circle")))
+    return chains.finished().select(
+        "job_id", F.when(~F.col("circle"), F.col("root")).alias("root"),
+        F.col("circle").alias("in_circle"))
+
+
+class _Chains:
+    """The rows of ``resolve_duplicates`` in the shared folder, by round, finished ones apart."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.left, self._open, self._done = spark, 0, "", []
+        self.schema = f"job_id {kind}, at {kind}, low {kind}, root {kind}, circle boolean"
+
+    def write(self, step: DataFrame) -> int:
+        """Add a round; the number of circles whose smallest row it has found."""
+        path, seen = new_folder(self.spark, "duplicates"), Observation()
+        closed = F.col("root").isNotNull()
+        head = closed & F.col("circle") & (F.col("root") == F.col("job_id"))
+        step.observe(
+            seen, F.count_if(~closed).alias("open"), F.count_if(closed).alias("closed"),
+            F.count_if(head).alias("heads"),
+        ).withColumn("closed", closed.cast("int")).write.partitionBy("closed").parquet(path)
+        self.left, self._open = seen.get["open"], f"{path}/closed=0"
+        if seen.get["closed"]:
+            self._done.append(f"{path}/closed=1")
+        return seen.get["heads"]
+
+    def _read(self, *paths: str) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def waiting(self) -> DataFrame:
+        return self._read(self._open)
+
+    def finished(self) -> DataFrame:
+        return self._read(*self._done)
+
+    def heads(self) -> DataFrame:
+        """Smallest rows of the circles found in the last round."""
+        return self._read(self._done[-1]).filter("circle AND root = job_id")

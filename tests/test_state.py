@@ -204,6 +204,25 @@ def test_duplicate_chains_and_circles(spark):
                    5: (None, True), 6: (None, True), 7: (None, True)}
 
 
+def test_long_chains_and_circles_of_any_length(spark):
+    """A chain of 100 000 links, circles of 1 to 40 jobs with tails, and many jobs on one end."""
+    edges = [(i, i + 1) for i in range(100_000)]
+    expected = {i: (100_000, False) for i in range(100_000)}
+    for size in range(1, 41):
+        base = 1_000_000 + 1000 * size
+        ring = [base + (7 * i) % 997 for i in range(size)]
+        edges += list(zip(ring, ring[1:] + ring[:1], strict=True))
+        edges += [(base + 998, ring[size // 2]), (base + 999, base + 998), (size - 500, base + 999)]
+        expected |= {i: (None, True) for i in (*ring, base + 998, base + 999, size - 500)}
+    edges += [(2_000_000 + i, 5) for i in range(3000)] + [(3_000_000, None)]
+    expected |= {2_000_000 + i: (100_000, False) for i in range(3000)}
+    got = joins.resolve_duplicates(
+        spark.createDataFrame(edges, "job_id long, duplicate_of long")).collect()
+    assert {r.job_id: (r.root, r.in_circle) for r in got} == expected and len(got) == len(expected)
+    nothing = spark.createDataFrame([(1, None)], "job_id long, duplicate_of long")
+    assert joins.resolve_duplicates(nothing).count() == 0
+
+
 def test_saves(spark):
     at = [PAST + dt.timedelta(days=i) for i in range(9)]
     saved = spark.createDataFrame([(1, 1, at[0]), (1, 2, at[0])],
