@@ -13,7 +13,7 @@ from ..functions.urls import ATS_TYPES, normalize_url
 from ..session import cut_lineage
 from .joins import resolve_duplicates
 from .merge import HIT, assign, with_hits
-from .ordered import with_ordered_index
+from .ordered import number_chunk, with_neighbour, with_ordered_index
 
 # Columns a feed may change on a stored job.
 UPDATABLE = (
@@ -65,53 +65,93 @@ def match_keys(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def match_postings(jobs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Stored job of every posting row: the best rule decides, the earliest seen job wins.
+    """Stored job of every posting row that has one: the first rule that finds a job decides.
 
-    Only slim key rows are joined. The stored side is reduced to one job per key first, so many
-    copies of one text meet one row, never each other.
+    Among several jobs with the source id or the URL the newest ``posted_at`` wins, a job without
+    a date before all others, then the newest ``first_seen_at``; among equal texts the job that was
+    seen first. Only slim key rows are joined, and the stored side is reduced to one job per key
+    before, so many copies of one text meet one row, never each other.
     """
-    owners = match_keys(
-        jobs.filter(~F.col("is_deleted")), "job_id", "first_seen_at"
-    ).groupBy("company_id", "rule", "match_key").agg(
-        F.min(F.struct("first_seen_at", "job_id")).alias("_owner")
-    )
+    posted = F.col("posted_at") if "posted_at" in jobs.columns else F.lit(None)
+    posted, seen = (F.unix_micros(c.cast("timestamp")) for c in (posted, F.col("first_seen_at")))
+    by_text = F.col("rule") == 3
+    order = F.struct(
+        F.when(by_text, 0).when(posted.isNotNull(), -posted).otherwise(F.lit(-(1 << 63))).alias("a"),
+        F.when(by_text, seen).otherwise(-seen).alias("b"), "job_id")
+    live = jobs.filter(~F.col("is_deleted"))
+    carried = [c for c in ("posted_at", "first_seen_at") if c in jobs.columns]
+    owners = match_keys(live, "job_id", *carried).groupBy(
+        "company_id", "rule", "match_key").agg(F.min(order)["job_id"].alias("job_id"))
     hits = match_keys(postings, "row_id").join(owners, ["company_id", "rule", "match_key"])
-    best = hits.groupBy("row_id").agg(F.min(F.struct("rule", "_owner")).alias("_best"))
+    best = hits.groupBy("row_id").agg(F.min(F.struct("rule", "job_id")).alias("_best"))
     return best.select(
-        "row_id", F.col("_best.rule").alias("match_rule"),
-        F.col("_best._owner.job_id").alias("job_id"),
-    )
+        "row_id", F.col("_best.rule").alias("match_rule"), F.col("_best.job_id").alias("job_id"))
 
 
-def collapse_batch(postings: DataFrame) -> DataFrame:
-    """Rows of one batch that mean the same posting become one: identity of the first row,
-    values of the last. Chains of shared keys are followed by pointer jumping."""
+def group_new(postings: DataFrame) -> DataFrame:
+    """(row_id, root) of postings without a stored job: those that share a key mean one new job,
+    named by its first row. Chains of shared keys are followed by pointer jumping."""
     keyed = match_keys(postings, "row_id")
     first = keyed.groupBy("company_id", "rule", "match_key").agg(
         F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n")
     ).filter(F.col("_n") > 1).drop("_n")
-    earlier = keyed.join(first, ["company_id", "rule", "match_key"]).filter(
+    parents = keyed.join(first, ["company_id", "rule", "match_key"]).filter(
         F.col("_first") < F.col("row_id")
-    )
-    parents = earlier.groupBy("row_id").agg(
-        F.min(F.struct("rule", "_first")).alias("_p")
-    ).select(F.col("row_id").alias("job_id"), F.col("_p._first").alias("duplicate_of"))
-    if parents.isEmpty():  # the usual case: every posting occurs once
-        return postings.withColumn("rows_merged", F.lit(1).cast("long"))
+    ).groupBy("row_id").agg(F.min(F.struct("rule", "_first")).alias("_p")).select(
+        F.col("row_id").alias("job_id"), F.col("_p._first").alias("duplicate_of"))
     roots = resolve_duplicates(parents).select(F.col("job_id").alias("row_id"), "root")
-    placed = postings.join(roots, "row_id", "left").withColumn(
-        "_root", F.coalesce("root", "row_id")
-    ).drop("root")
-    identity = ("source_job_id",)
-    values = [c for c in postings.columns if c not in (*identity, "row_id", "company_id")]
-    return placed.groupBy("company_id", "_root").agg(
-        *[F.min_by(c, "row_id").alias(c) for c in identity],
-        F.max_by(F.struct(*values), "row_id").alias("_v"),
-        F.count(F.lit(1)).alias("rows_merged"),
-    ).select(
-        "company_id", F.col("_root").alias("row_id"), *identity,
-        *[F.col("_v")[c].alias(c) for c in values], "rows_merged",
-    )
+    return postings.select("row_id").join(roots, "row_id", "left").select(
+        "row_id", F.coalesce("root", "row_id").alias("root"))
+
+
+def _value_hashes(fields: list[str], kinds: dict, columns: list[str]) -> Column:
+    """One number per field, so that values are compared without being carried along."""
+    return F.array(*[
+        F.xxhash64(F.lit(f), F.col(f).cast(kinds[f])) if f in columns else F.lit(0).cast("long")
+        for f in fields])
+
+
+def _sequence(
+    targets: DataFrame, jobs: DataFrame, fields: list[str], material: list[int]
+) -> DataFrame:
+    """What every posting does to its job, given what the postings before it have done: columns
+    ``outcome`` and ``changed`` (title, place or text differ). Slim rows only; the postings of one
+    job follow each other by position, a job with very many is cut into chunks of positions."""
+    kinds = {f.name: f.dataType for f in jobs.schema.fields}
+    protected = (F.col("manually_edited_fields") if "manually_edited_fields" in jobs.columns
+                 else F.array().cast("array<string>"))
+    version = F.col("parser_version") if "parser_version" in jobs.columns else F.lit("")
+    stored = jobs.select(
+        "job_id", "status", "is_manual_status", F.struct(
+            _value_hashes(fields, kinds, jobs.columns).alias("values"),
+            F.col("source_url").alias("url"), F.coalesce(version, F.lit("")).alias("version"),
+        ).alias("_stored"),
+        F.transform(F.array(*map(F.lit, fields)), lambda f: F.array_contains(
+            F.coalesce(protected, F.array().cast("array<string>")), f)).alias("_edited"),
+    ).join(targets.filter("job_id IS NOT NULL").select("job_id").distinct(), "job_id", "left_semi")
+    placed = targets.withColumn("_own", F.struct("values", "url", "version"))
+    chained = with_neighbour(placed, ["job_id", "root"], ["at"], "_own", "_before",
+                             number_chunk("at"))
+    met = chained.join(stored, "job_id", "left").withColumn("_first", F.col("_before").isNull())
+    before, own = F.coalesce("_before", "_stored"), F.col("_own")
+    differs = F.transform(F.sequence(F.lit(0), F.lit(len(fields) - 1)), lambda i: (
+        F.get(before["values"], i) != F.get(own["values"], i)) & ~F.coalesce(
+        F.get("_edited", i), F.lit(False))) if fields else F.array().cast("array<boolean>")
+    met = met.withColumn("_differs", differs)
+    changed = F.coalesce(any_of([F.get("_differs", i) for i in material]), F.lit(False))
+    moved = (
+        F.exists("_differs", lambda d: d) | (own["url"] != before["url"])
+        | ((own["version"] != "") & (own["version"] != before["version"])))
+    fresh = F.col("job_id").isNull()
+    reopened = F.col("_first") & F.col("status").isin(*CLOSING) & ~F.col("is_manual_status")
+    stays_open = fresh | (F.col("status") == "open") | (
+        ~F.col("_first") & F.col("status").isin(*CLOSING) & ~F.col("is_manual_status"))
+    outcome = (
+        F.when(fresh & F.col("_first"), "created").when(reopened, "reopened")
+        .when(stays_open & ~moved, "unchanged").otherwise("updated"))
+    return met.select(
+        "row_id", "at", "company_id", "job_id", "root", "sid", "confidence", "status",
+        outcome.alias("outcome"), (changed & ~(fresh & F.col("_first"))).alias("changed"))
 
 
 def upsert_postings(
@@ -119,24 +159,53 @@ def upsert_postings(
 ) -> UpsertResult:
     """Merge a batch of postings (with unique, ordered ``row_id``) into the job table.
 
-    Outcome per posting: created, reopened, unchanged or updated. Fields a person edited are
-    kept. Jobs a batch does not mention are carried over untouched.
+    Postings are matched with the stored jobs first, rule by rule; only those that match none are
+    grouped among themselves and make new jobs. So jobs of equal text stay apart where each has its
+    own posting. Outcome per posting: created, reopened, unchanged or updated, in the order of
+    ``row_id``: a posting is compared with what the one before it has left. The values of a job's
+    last posting count; fields a person edited are kept. Jobs a batch does not mention are carried
+    over untouched.
     """
     firm = companies.select(
         "company_id", F.col("career_source_type").isin(*ATS_TYPES).alias("_is_ats")
     )
-    # the batch is used several times below: parse it once, match it once
-    rows = collapse_batch(cut_lineage(with_identity(batch)))
-    matched = cut_lineage(rows.join(match_postings(jobs, rows), "row_id", "left"))
-    known = matched.filter(F.col("job_id").isNotNull())
-    # two postings may lead to one stored job: the later one counts
-    payload = [c for c in known.columns if c not in ("job_id", "company_id")]
-    latest = known.groupBy("job_id").agg(
-        F.max_by(F.struct(*payload), "row_id").alias("c")
-    )
+    kinds = {f.name: f.dataType for f in jobs.schema.fields}
     fields = [c for c in UPDATABLE if c in jobs.columns and c in batch.columns]
-    merged = jobs.join(latest, "job_id", "left").join(firm, "company_id", "left")
+    material = [i for i, f in enumerate(fields) if f in ("title", "location_raw", "description")]
+    version = text_or_blank(F.col("parser_version")) if "parser_version" in batch.columns else F.lit(
+        "")
+    confidence = (
+        texts.clamp_confidence("extraction_confidence")
+        if "extraction_confidence" in batch.columns else F.lit(0)
+    )
+    # the batch is used several times below: it is parsed, numbered and written once
+    rows = with_ordered_index(with_identity(batch), ["row_id"], "at")
+    slim = rows.select(
+        "row_id", "at", "company_id", "source_job_id", "normalized_source_url", "content_hash",
+        F.col("source_job_id").alias("sid"), confidence.alias("confidence"),
+        _value_hashes(fields, kinds, fields).alias("values"), F.col("source_url").alias("url"),
+        version.alias("version"))
+    matched = cut_lineage(slim.join(match_postings(jobs, slim), "row_id", "left"))
+    new = matched.filter("job_id IS NULL")
+    grouped = matched.filter("job_id IS NOT NULL").withColumn(
+        "root", F.lit(None).cast(rows.schema["row_id"].dataType)
+    ).unionByName(new.join(group_new(new), "row_id"))
+    done = cut_lineage(_sequence(grouped, jobs, fields, material))
+
+    latest = done.groupBy("job_id", "root").agg(
+        F.max("at").alias("at"), F.min_by(F.struct("sid", "confidence"), "at").alias("_first"),
+        F.max(F.col("changed").cast("int")).alias("_changed"),
+        F.max((F.col("outcome") != "unchanged").cast("int")).alias("_writes"),
+        F.max((F.col("outcome") == "reopened").cast("int")).alias("_again"),
+    )
+    payload = rows.drop("company_id", "job_id", "root").withColumn("version", version)
+    known = latest.filter("job_id IS NOT NULL").drop("root").join(payload, "at")
+    posting = [c for c in known.columns if c != "job_id"]
+    merged = jobs.join(
+        known.select("job_id", F.struct(*posting).alias("c")), "job_id", "left"
+    ).join(firm, "company_id", "left")
     hit = F.col("c").isNotNull()
+    writes, again = F.col("c._writes") == 1, F.col("c._again") == 1
 
     def kept(name: str) -> Column:
         if "manually_edited_fields" not in jobs.columns:
@@ -152,25 +221,7 @@ def upsert_postings(
         return after(name) if name in batch.columns else F.lit("")
 
     new_hash = texts.content_hash(either("title"), either("location_raw"), either("description"))
-    material = new_hash != F.col("content_hash")
-    moved = [~F.col(f).eqNullSafe(after(f)) for f in fields]
-    moved.append(F.col("c")["source_url"] != F.col("source_url"))
-    moved.append(material)
-    if "parser_version" in jobs.columns and "parser_version" in batch.columns:
-        version = text_or_blank(F.col("c")["parser_version"])
-        moved.append((version != "") & (version != F.col("parser_version")))
-    reopened = F.col("status").isin(*CLOSING) & ~F.col("is_manual_status")
-    same = (F.col("status") == "open") & ~any_of(moved)
-    outcome = F.when(reopened, "reopened").when(same, "unchanged").otherwise("updated")
-    merged = merged.withColumn("_outcome", F.when(hit, outcome)).withColumn(
-        "_new_hash", F.when(hit, new_hash)
-    )
-    was = F.col("_outcome")
-    writes = was.isin("reopened", "updated")
-    again = was == "reopened"
-    review = writes & (F.col("_new_hash") != F.col("content_hash")) & ~F.coalesce(
-        "_is_ats", F.lit(False)
-    )
+    review = writes & (F.col("c._changed") == 1) & ~F.coalesce("_is_ats", F.lit(False))
     values: dict[str, Column] = {f: F.when(writes, after(f)).otherwise(F.col(f)) for f in fields}
     values |= {
         "source_url": F.when(writes, F.col("c")["source_url"]).otherwise(F.col("source_url")),
@@ -179,7 +230,7 @@ def upsert_postings(
         ).otherwise(F.col("normalized_source_url")),
         "title_normalized": texts.title_normalized(F.when(writes, after("title")).otherwise(
             F.col("title"))),
-        "content_hash": F.when(writes, F.col("_new_hash")).otherwise(F.col("content_hash")),
+        "content_hash": F.when(writes, new_hash).otherwise(F.col("content_hash")),
         "status": F.when(again, "open").otherwise(F.col("status")),
         "closed_at": F.when(~again, F.col("closed_at")),
         "reopened_count": F.col("reopened_count") + F.when(again, 1).otherwise(0),
@@ -192,34 +243,33 @@ def upsert_postings(
             F.col("review_reason")
         )
     if "parser_version" in batch.columns and "parser_version" in jobs.columns:
-        version = text_or_blank(F.col("c")["parser_version"])
-        values["parser_version"] = F.when(writes & (version != ""), version).otherwise(
-            F.col("parser_version")
-        )
+        values["parser_version"] = F.when(
+            writes & (F.col("c.version") != ""), F.col("c.version")
+        ).otherwise(F.col("parser_version"))
     updated = assign(merged, hit, values, jobs.columns)
-    created = _created(matched.filter(F.col("job_id").isNull()), jobs, firm, as_of)
-
-    known_outcomes = merged.filter(hit).select(
-        "company_id", "job_id", F.col("_outcome").alias("outcome"), F.col("status").alias(
-            "from_status")
-    )
-    new_outcomes = created.select(
-        "company_id", "job_id", F.lit("created").alias("outcome"), F.lit("").alias("from_status")
-    )
-    outcomes = known_outcomes.unionByName(new_outcomes)
+    fresh = latest.filter("job_id IS NULL").drop("job_id").join(
+        rows.withColumnsRenamed({"source_job_id": "_last_id"}).drop("root", "job_id"), "at")
+    created = cut_lineage(_created(
+        fresh.withColumn("source_job_id", F.col("_first.sid")).withColumn(
+            "extraction_confidence", F.col("_first.confidence")), jobs, firm, as_of))
+    names = created.select("root", "job_id")
+    outcomes = done.filter("job_id IS NOT NULL").drop("root").unionByName(
+        done.filter("job_id IS NULL").drop("job_id").join(names, "root").drop("root")
+    ).select("row_id", "company_id", "job_id", "outcome",
+             F.coalesce("status", F.lit("")).alias("from_status"))
     events = outcomes.filter(F.col("outcome").isin("created", "reopened")).select(
         "job_id", "from_status", F.lit("open").alias("to_status"),
         F.when(F.col("outcome") == "created", "scrape").otherwise("reopen").alias("trigger"),
         as_of.alias("created_at"),
     )
     return UpsertResult(
-        updated.unionByName(created), events, outcomes.drop("from_status")
+        updated.unionByName(created.select(*jobs.columns)), events, outcomes.drop("from_status")
     )
 
 
 def _created(rows: DataFrame, jobs: DataFrame, firm: DataFrame, as_of: Column) -> DataFrame:
-    """New jobs in the shape of the job table. Text ids are derived from the identity of the
-    posting; number ids continue after the highest one."""
+    """New jobs in the shape of the job table, with ``root``, the first posting of each. Text ids
+    are derived from the identity of the posting; number ids continue after the highest one."""
     kinds = {field.name: field.dataType for field in jobs.schema.fields}
     if kinds["job_id"].simpleString() == "string":
         digest = F.md5(F.concat_ws("|", F.col("company_id").cast("string"), "source_job_id",
@@ -229,23 +279,21 @@ def _created(rows: DataFrame, jobs: DataFrame, firm: DataFrame, as_of: Column) -
     else:
         top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(-1))).scalar()
         named = with_ordered_index(
-            rows.drop("job_id"), ["company_id", "row_id"], "_at"
+            rows.drop("job_id"), ["company_id", "root"], "_at"
         ).withColumn("job_id", F.col("_at") + top + 1)
     joined = named.join(firm, "company_id", "left")
     is_ats = F.coalesce("_is_ats", F.lit(False))
-    confidence = (
-        texts.clamp_confidence("extraction_confidence")
-        if "extraction_confidence" in rows.columns else F.lit(0)
-    )
+    confidence = F.col("extraction_confidence")
     publish = is_ats & (confidence >= PUBLISH_CONFIDENCE)
+    changed = (F.col("_changed") == 1) & ~is_ats
     values: dict[str, Column] = {
         "status": F.lit("open"), "missing_count": F.lit(0), "first_seen_at": as_of,
         "last_seen_at": as_of, "reopened_count": F.lit(0), "is_manual_status": F.lit(False),
         "is_deleted": F.lit(False), "extraction_confidence": confidence,
         "is_published": publish, "published_at": F.when(publish, as_of),
         "needs_review": ~publish,
-        "review_reason": F.when(publish, "").when(is_ats, "low confidence").otherwise(
-            "custom source"),
+        "review_reason": F.when(publish, "").when(is_ats, "low confidence").when(
+            changed, "content changed").otherwise("custom source"),
         "save_count": F.lit(0), "report_count": F.lit(0),
         "manually_edited_fields": F.array().cast("array<string>"),
     }
@@ -257,7 +305,7 @@ def _created(rows: DataFrame, jobs: DataFrame, firm: DataFrame, as_of: Column) -
             column = F.col(name) if name in joined.columns else F.lit(None)
         return column.cast(kinds[name]).alias(name)
 
-    return joined.select(*[value(c) for c in jobs.columns])
+    return joined.select("root", *[value(c) for c in jobs.columns])
 
 
 def touch_unmodified(jobs: DataFrame, runs: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ def run(spark, jobs, *rows):
 
 
 def outcome(result):
-    return {r.job_id: r.outcome for r in result.outcomes.collect()}
+    """By posting; postings of the tests carry the number of their job where it is stored."""
+    return {r.row_id: r.outcome for r in result.outcomes.collect()}
 
 
 def test_upsert_outcomes(spark):
@@ -96,11 +97,68 @@ def test_matching_rules_and_batch_copies(spark):
         posting(13, sid=78, url="https://a.com/n1", title="Same"),  # copy inside the batch
     )
     got = outcome(result)
-    assert got[1] == "updated" and got[2] == "updated"
-    assert sorted(got.values()).count("created") == 1
+    assert got == {10: "updated", 11: "updated", 12: "created", 13: "unchanged"}
+    places = {r.row_id: r.job_id for r in result.outcomes.collect()}
+    assert (places[10], places[11]) == (1, 2) and places[12] == places[13]
     assert result.jobs.count() == 3
 
 
+def test_equal_texts_with_their_own_postings_stay_apart(spark):
+    text = dict(title="Same", description="D")
+    jobs = stored(spark, text, text, dict(text, status="possibly_closed"), {})
+    result = run(spark, jobs, posting(1, title="Same"), posting(2, title="Same"),
+                 posting(3, title="Same"), posting(5, title="Same", url="https://a.com/5"))
+    assert outcome(result) == {1: "unchanged", 2: "unchanged", 3: "reopened", 5: "updated"}
+    assert {r.row_id: r.job_id for r in result.outcomes.collect()} == {1: 1, 2: 2, 3: 3, 5: 1}
+    seen = result.outcomes.select("company_id", "job_id")
+    struck = strikes.apply_strikes(result.jobs, seen, now())
+    assert [r.job_id for r in struck.events.collect()] == [4]
+
+
+def test_ties_between_stored_jobs(spark):
+    """One URL on several jobs: the newest posting date wins, no date counts as newest; one text
+    on several jobs: the first seen."""
+    old, new = PAST - dt.timedelta(days=9), PAST + dt.timedelta(days=9)
+    url = "https://a.com/shared"
+    jobs = stored(
+        spark, {"source_url": url, "first_seen_at": new}, {"source_url": url},
+        {"source_url": url, "is_deleted": True}, {"title": "Twin", "first_seen_at": new},
+        {"title": "Twin", "first_seen_at": old})
+    dates = {1: PAST, 2: new, 3: None, 4: None, 5: new}
+    dated = jobs.join(spark.createDataFrame(
+        list(dates.items()), "job_id long, posted_at timestamp_ntz"), "job_id")
+    rows = [posting(50, sid=900, url=url, title="X"), posting(51, sid=901, title="Twin",
+                                                             url="https://a.com/none")]
+    places = {r.row_id: r.job_id for r in run(spark, dated, *rows).outcomes.collect()}
+    assert places == {50: 2, 51: 5}
+    undated = dated.withColumn("posted_at", F.when(F.col("job_id") != 1, F.col("posted_at")))
+    places = {r.row_id: r.job_id for r in run(spark, undated, *rows).outcomes.collect()}
+    assert places[50] == 1
+
+
+def test_postings_of_one_job_follow_each_other(spark):
+    jobs = stored(spark, {"status": "closed"}, {"company_id": 2}, {"title": "Kept",
+                  "manually_edited_fields": ["title"]})
+    result = run(
+        spark, jobs, posting(1, title="A"), posting(10, sid=1, url="https://a.com/1", title="A"),
+        posting(11, sid=1, url="https://a.com/1", title="B"),
+        posting(2, company=2), posting(12, company=2, sid=2, url="https://a.com/2", title="Z"),
+        posting(13, company=2, sid=2, url="https://a.com/2", title="T2"),
+        posting(3, title="other"), posting(14, sid=3, url="https://a.com/3", title="third"),
+        posting(20, sid=70, url="https://n.com/1", title="N", conf=30),
+        posting(21, sid=70, url="https://n.com/2", title="N2", conf=99),
+        posting(22, sid="", url="https://n.com/2", title="N2", conf=99))
+    assert outcome(result) == {
+        1: "reopened", 10: "unchanged", 11: "updated", 2: "unchanged", 12: "updated",
+        13: "updated", 3: "unchanged", 14: "unchanged", 20: "created", 21: "updated",
+        22: "unchanged"}
+    after = {r.job_id: r for r in result.jobs.collect()}
+    assert (after[1].title, after[1].reopened_count, after[3].title) == ("B", 1, "Kept")
+    assert after[2].title == "T2" and after[2].review_reason == "content changed"
+    assert (after[4].source_job_id, after[4].title, after[4].is_published) == ("S70", "N2", False)
+    assert after[4].review_reason == "low confidence" and len(after) == 4
+
+
 def test_review_reasons(spark):
     rows = [posting(1, company=2), posting(2, conf=50), posting(3)]
     jobs = run(spark, stored(spark, {"company_id": 9}), *[
