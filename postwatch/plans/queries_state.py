@@ -46,74 +46,84 @@ def posting_batch(v):
     )
 
 
-UPSERT_SQL = """
+UPSERT_COLUMNS = (
+    "company_id", "title", "url", "location_raw", "description", "department", "work_mode",
+    "job_type", "posted_at",
+)
+_OWN = ", ".join(f"'{c}': {c}" for c in UPSERT_COLUMNS)
+
+#: The matching rules over ``stored`` and ``batch`` (with row_id, sid, url, norm, hash and the
+#: columns above), one row per posting in ``steps``. Stored jobs are matched by source id, then
+#: URL, then text; what is left is grouped by text (the batches share no other key there).
+UPSERT_STEPS_SQL = f"""
+alive AS (SELECT * FROM stored WHERE NOT is_deleted),
+own AS (SELECT company_id, sid, job_id FROM alive WHERE sid <> '' QUALIFY row_number() OVER (
+  PARTITION BY company_id, sid ORDER BY posted_at DESC NULLS FIRST, first_seen_at DESC, job_id) = 1),
+by_url AS (SELECT company_id, norm, job_id FROM alive WHERE norm <> '' QUALIFY row_number() OVER (
+  PARTITION BY company_id, norm ORDER BY posted_at DESC NULLS FIRST, first_seen_at DESC, job_id) = 1),
+by_hash AS (SELECT company_id, hash, job_id FROM alive QUALIFY row_number() OVER (
+  PARTITION BY company_id, hash ORDER BY first_seen_at, job_id) = 1),
+matched AS (SELECT b.*, coalesce(own.job_id, by_url.job_id, by_hash.job_id) AS match
+  FROM batch b LEFT JOIN own ON own.company_id = b.company_id AND own.sid = b.sid
+  LEFT JOIN by_url ON by_url.company_id = b.company_id AND by_url.norm = b.norm
+  LEFT JOIN by_hash ON by_hash.company_id = b.company_id AND by_hash.hash = b.hash),
+placed AS (SELECT *, CASE WHEN match IS NULL THEN min(row_id) OVER (
+    PARTITION BY company_id, hash, match IS NULL) END AS root, {{{_OWN}}} AS now FROM matched),
+ordered AS (SELECT *, row_number() OVER w AS nth, lag(now) OVER w AS before,
+    row_number() OVER (PARTITION BY match, root ORDER BY row_id DESC) AS back
+  FROM placed WINDOW w AS (PARTITION BY match, root ORDER BY row_id)),
+was AS (SELECT *, {{{_OWN}}} AS then FROM stored),
+fresh AS (SELECT root, row_number() OVER (ORDER BY company_id, root) - 1
+  + (SELECT max(job_id) + 1 FROM stored) AS new_id FROM ordered WHERE nth = 1 AND match IS NULL),
+steps AS (SELECT o.*, coalesce(o.match, f.new_id) AS job_id, CASE
+    WHEN match IS NULL AND nth = 1 THEN 'created'
+    WHEN nth = 1 AND w.status IN ('possibly_closed', 'likely_closed', 'closed')
+      AND NOT w.is_manual_status THEN 'reopened'
+    WHEN (match IS NULL OR w.status = 'open' OR (nth > 1 AND NOT w.is_manual_status
+        AND w.status IN ('possibly_closed', 'likely_closed', 'closed')))
+      AND now IS NOT DISTINCT FROM CASE WHEN nth = 1 THEN w.then ELSE before END THEN 'unchanged'
+    ELSE 'updated' END AS outcome
+  FROM ordered o LEFT JOIN was w ON w.job_id = o.match LEFT JOIN fresh f USING (root))"""
+
+UPSERT_SQL = f"""
 stored AS (SELECT *, 'https://c' || company_id || '.example.org/jobs/' || job_id AS norm,
+    source_url AS url, 'about ' || title AS description,
     CASE WHEN job_id % 5 = 0 THEN '' ELSE 'J' || job_id END AS sid,
     sha256(title || chr(31) || location_raw || chr(31) || 'about ' || title) AS hash
   FROM v_job WHERE job_id % 4 <> 3),
-alive AS (SELECT * FROM stored WHERE NOT is_deleted),
-batch AS (SELECT j.company_id, j.job_id AS row_id,
+raw AS (SELECT j.* EXCLUDE (title), j.job_id AS row_id,
     CASE WHEN j.job_id % 8 = 0 THEN '' ELSE 'J' || j.job_id END AS sid,
     source_url || CASE WHEN j.job_id % 9 = 0 THEN '/moved' ELSE '/?utm_source=feed' END AS url,
     source_url || CASE WHEN j.job_id % 9 = 0 THEN '/moved' ELSE '' END AS norm,
     title || CASE WHEN j.job_id % 5 = 1 THEN ' senior' ELSE '' END AS title,
-    location_raw, 'about ' || title AS description, posted_at
-  FROM v_job j WHERE j.job_id IN (SELECT job_id FROM v_sighting)),
-hashed AS (SELECT *, sha256(title || chr(31) || location_raw || chr(31) || description) AS hash
-  FROM batch),
-own AS (SELECT company_id, sid, min((first_seen_at, job_id)) AS o FROM alive WHERE sid <> ''
-  GROUP BY ALL),
-by_url AS (SELECT company_id, norm, min((first_seen_at, job_id)) AS o FROM alive GROUP BY ALL),
-by_hash AS (SELECT company_id, hash, min((first_seen_at, job_id)) AS o FROM alive GROUP BY ALL),
-first_in_batch AS (
-  SELECT row_id, min(row_id) OVER (PARTITION BY company_id, hash) AS head FROM hashed),
-merged AS (SELECT f.head AS row_id, arg_max(h.title, h.row_id) AS title,
-    arg_max(h.url, h.row_id) AS url, arg_max(h.norm, h.row_id) AS norm,
-    arg_min(h.sid, h.row_id) AS sid, arg_max(h.hash, h.row_id) AS hash,
-    any_value(h.company_id) AS company_id, arg_max(h.row_id, h.row_id) AS last_id
-  FROM hashed h JOIN first_in_batch f USING (row_id) GROUP BY f.head),
-matched AS (SELECT m.*, coalesce(own.o, by_url.o, by_hash.o)[2] AS job_id
-  FROM merged m LEFT JOIN own ON own.company_id = m.company_id AND own.sid = m.sid
-  LEFT JOIN by_url ON by_url.company_id = m.company_id AND by_url.norm = m.norm
-  LEFT JOIN by_hash ON by_hash.company_id = m.company_id AND by_hash.hash = m.hash),
-latest AS (SELECT * FROM matched WHERE job_id IS NOT NULL QUALIFY row_number() OVER (
-  PARTITION BY job_id ORDER BY row_id DESC) = 1),
-fresh AS (SELECT company_id, row_id, row_number() OVER (ORDER BY company_id, row_id) - 1
-  + (SELECT max(job_id) + 1 FROM stored) AS job_id FROM matched WHERE job_id IS NULL)"""
+    'about ' || title AS description
+  FROM v_job j SEMI JOIN v_sighting USING (job_id)),
+batch AS (SELECT * EXCLUDE (job_id), sha256(
+  title || chr(31) || location_raw || chr(31) || description) AS hash FROM raw),
+{UPSERT_STEPS_SQL}"""
 
 
 @query("upsert_outcomes", "M1 J8", f"""
-WITH {UPSERT_SQL},
-b AS (SELECT l.*, j.department AS d2, j.work_mode AS w2, j.job_type AS t2, j.posted_at AS p2,
-    j.location_raw AS l2, 'about ' || j.title AS description
-  FROM latest l JOIN v_job j ON j.job_id = l.last_id)
-SELECT s.company_id, s.job_id, CASE
-  WHEN status IN ('possibly_closed', 'likely_closed', 'closed') AND NOT is_manual_status
-    THEN 'reopened'
-  WHEN status = 'open' AND s.title = b.title AND s.source_url = b.url AND s.hash = b.hash
-    AND department = d2 AND work_mode = w2 AND job_type = t2 AND location_raw = l2
-    AND posted_at IS NOT DISTINCT FROM p2 AND 'about ' || s.title = b.description
-    THEN 'unchanged'
-  ELSE 'updated' END AS outcome
-FROM stored s JOIN b USING (job_id)
-UNION ALL SELECT company_id, job_id, 'created' FROM fresh""")
+WITH {UPSERT_SQL}
+SELECT row_id, company_id, job_id, outcome FROM steps""")
 def _(v):
     return postings.upsert_postings(
         stored_jobs(v), v.company(), posting_batch(v), as_of()
     ).outcomes
 
 
-@query("upsert_state", "M1 T10 T11", f"""
-WITH {UPSERT_SQL}
-SELECT s.job_id, CASE WHEN l.job_id IS NOT NULL
-    AND status IN ('possibly_closed', 'likely_closed', 'closed') AND NOT is_manual_status
-    THEN 'open' ELSE status END AS status,
-  CASE WHEN l.job_id IS NULL THEN missing_count ELSE 0 END AS missing_count,
-  CASE WHEN l.job_id IS NULL THEN last_seen_at ELSE {NOW} END AS last_seen_at,
+UPSERT_STATE_SQL = f"""
+SELECT s.job_id, CASE WHEN r.match IS NOT NULL THEN 'open' ELSE s.status END AS status,
+  CASE WHEN l.match IS NULL THEN s.missing_count ELSE 0 END AS missing_count,
+  CASE WHEN l.match IS NULL THEN s.last_seen_at ELSE {NOW} END AS last_seen_at,
   coalesce(l.title, s.title) AS title, coalesce(l.norm, s.norm) AS normalized_source_url
-FROM stored s LEFT JOIN latest l USING (job_id)
-UNION ALL SELECT f.job_id, 'open', 0, {NOW}, m.title, m.norm
-FROM fresh f JOIN matched m USING (row_id)""")
+FROM stored s LEFT JOIN (SELECT * FROM steps WHERE back = 1) l ON l.match = s.job_id
+LEFT JOIN (SELECT match FROM steps WHERE outcome = 'reopened') r ON r.match = s.job_id
+UNION ALL SELECT job_id, 'open', 0, {NOW}, title, norm FROM steps
+  WHERE match IS NULL AND back = 1"""
+
+
+@query("upsert_state", "M1 T10 T11", f"WITH {UPSERT_SQL}{UPSERT_STATE_SQL}")
 def _(v):
     result = postings.upsert_postings(stored_jobs(v), v.company(), posting_batch(v), as_of())
     return result.jobs.select(
@@ -121,20 +131,76 @@ def _(v):
     )
 
 
-@query("run_tally", "A13", f"""
-WITH {UPSERT_SQL},
-o AS (SELECT s.company_id, CASE
-  WHEN status IN ('possibly_closed', 'likely_closed', 'closed') AND NOT is_manual_status
-    THEN 'reopened' ELSE 'other' END AS outcome
-  FROM stored s JOIN latest l USING (job_id)
-  UNION ALL SELECT company_id, 'created' FROM fresh)
+TALLY_SQL = """
 SELECT company_id, count(*) AS jobs_found, count(*) FILTER (outcome = 'created') AS jobs_created,
-  count(*) FILTER (outcome = 'reopened') AS jobs_reopened FROM o GROUP BY company_id""")
+  count(*) FILTER (outcome = 'updated') AS jobs_updated,
+  count(*) FILTER (outcome = 'unchanged') AS jobs_unchanged,
+  count(*) FILTER (outcome = 'reopened') AS jobs_reopened FROM steps GROUP BY company_id"""
+
+
+@query("run_tally", "A13", f"WITH {UPSERT_SQL}{TALLY_SQL}")
 def _(v):
     result = postings.upsert_postings(stored_jobs(v), v.company(), posting_batch(v), as_of())
-    return aggregates.run_tally(result.outcomes, "company_id").select(
-        "company_id", "jobs_found", "jobs_created", "jobs_reopened"
-    )
+    return aggregates.run_tally(result.outcomes, "company_id")
+
+
+def same_text_jobs(v):
+    """Stored jobs of few different texts: title and text are the department, so that many jobs of
+    a company read the same; every ninth has lost its source id."""
+    k, url = F.col("job_id"), F.concat(F.lit("https://s.example.org/"), F.col("job_id").cast("string"))
+    plain = v.job().withColumns({
+        "title": F.col("department"), "location_raw": F.lit("here"), "source_url": url,
+        "description": F.concat(F.lit("about "), F.col("department")),
+        "source_job_id": F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("S"), k.cast("string"))),
+    })
+    return postings.with_identity(plain).filter(k % 4 != 3).withColumn("review_reason", F.lit(""))
+
+
+def same_text_batch(v):
+    """Every job as a posting, a part of them twice: the second time without source id and under
+    another address, so that only the text can tell."""
+    k = F.col("job_id")
+    base = v.job().select(
+        "company_id", F.concat(F.lit("S"), k.cast("string")).alias("source_job_id"),
+        F.concat(F.lit("https://s.example.org/"), k.cast("string")).alias("source_url"),
+        F.col("department").alias("title"), F.lit("here").alias("location_raw"),
+        F.concat(F.lit("about "), F.col("department")).alias("description"), "department",
+        "work_mode", "job_type", "posted_at", F.lit(90).alias("extraction_confidence"),
+        (2 * k).alias("row_id"), k.alias("_job"))
+    again = base.filter(F.col("_job") % 3 == 0).withColumns({
+        "source_job_id": F.lit(""), "row_id": F.col("row_id") + 1,
+        "source_url": F.concat(F.col("source_url"), F.lit("/again"))})
+    return base.unionByName(again).drop("_job")
+
+
+SAME_TEXT_SQL = f"""
+plain AS (SELECT * EXCLUDE (title, location_raw, source_url), department AS title,
+    'here' AS location_raw, 'about ' || department AS description,
+    'https://s.example.org/' || job_id AS url, 'https://s.example.org/' || job_id AS norm,
+    sha256(department || chr(31) || 'here' || chr(31) || 'about ' || department) AS hash
+  FROM v_job),
+stored AS (SELECT *, CASE WHEN job_id % 9 = 0 THEN '' ELSE 'S' || job_id END AS sid FROM plain
+  WHERE job_id % 4 <> 3),
+batch AS (SELECT * EXCLUDE (job_id), 2 * job_id AS row_id, 'S' || job_id AS sid FROM plain
+  UNION ALL BY NAME SELECT * EXCLUDE (job_id) REPLACE (url || '/again' AS url,
+    norm || '/again' AS norm), 2 * job_id + 1 AS row_id, '' AS sid FROM plain WHERE job_id % 3 = 0),
+{UPSERT_STEPS_SQL}"""
+
+
+@query("upsert_same_text", "M1 J8 A13", f"""
+WITH {SAME_TEXT_SQL}
+SELECT row_id, company_id, job_id, outcome FROM steps""")
+def _(v):
+    return postings.upsert_postings(
+        same_text_jobs(v), v.company(), same_text_batch(v), as_of()).outcomes
+
+
+@query("upsert_same_text_state", "M1", f"WITH {SAME_TEXT_SQL}{UPSERT_STATE_SQL}")
+def _(v):
+    result = postings.upsert_postings(
+        same_text_jobs(v), v.company(), same_text_batch(v), as_of())
+    return result.jobs.select(
+        "job_id", "status", "missing_count", "last_seen_at", "title", "normalized_source_url")
 
 
 SEEN_SQL = """seen AS (SELECT DISTINCT job_id, company_id FROM v_sighting JOIN v_job
@@ -165,12 +231,13 @@ def _(v):
 
 
 @query("strike_events", "M2", f"""
-WITH {SEEN_SQL}
+WITH {SEEN_SQL},
+firms AS (SELECT DISTINCT company_id FROM seen)
 SELECT job_id, status AS from_status, CASE missing_count WHEN 0 THEN 'possibly_closed'
     WHEN 1 THEN 'likely_closed' ELSE 'closed' END AS to_status,
   CAST(least(missing_count + 1, 3) AS INTEGER) AS missing_count
-FROM v_job WHERE company_id IN (SELECT company_id FROM seen)
-  AND job_id NOT IN (SELECT job_id FROM seen) AND NOT is_deleted AND NOT is_manual_status
+FROM v_job SEMI JOIN firms USING (company_id) ANTI JOIN seen USING (job_id)
+WHERE NOT is_deleted AND NOT is_manual_status
   AND status IN ('open', 'possibly_closed', 'likely_closed')
   AND status <> CASE missing_count WHEN 0 THEN 'possibly_closed' WHEN 1 THEN 'likely_closed'
     ELSE 'closed' END""")

@@ -454,7 +454,9 @@ def with_views(sql: str) -> str:
     needed = [name for name in VIEW_SQL if name in sql]
     if not needed:
         return sql
-    tables = ",\n".join(f"{name} AS ({VIEW_SQL[name]})" for name in needed)
+    # a table that is read more than once is made once
+    kept = {name: " MATERIALIZED" if sql.count(name) > 1 else "" for name in needed}
+    tables = ",\n".join(f"{name} AS{kept[name]} ({VIEW_SQL[name]})" for name in needed)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {tables},\n{body[len('WITH RECURSIVE'):]}"
