@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ENCODE_ROWS, ChunkEncoder
-from .common import SLICE_ROWS
+from .chunks import ChunkEncoder
+from .common import SLICE_ROWS, text_slices
 
 
 #: Pre-tokens remembered in each of two generations.
-PIECES = 200_000
+PIECES = 50_000
 
 
 class ByteBpe:
@@ -176,8 +176,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, ENCODE_ROWS):
-                part = batch.slice(start, ENCODE_ROWS)
+            for part in text_slices(batch, 1):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), _id_lists(encoder.encode_all(part.column(1).to_pylist()))],
                     ["doc_id", "ids"])

@@ -14,10 +14,8 @@ from collections.abc import Callable
 
 #: Estimated bytes of the chunks remembered since the last change of generations; the generation
 #: before is kept too, so that frequent chunks outlive a change.
-CACHE_BYTES = 90_000_000
+CACHE_BYTES = 40_000_000
 _ENTRY_BYTES = 190
-#: Texts that are encoded at a time.
-ENCODE_ROWS = 1024
 
 
 def cut(text: str) -> list[str] | None:

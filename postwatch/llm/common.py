@@ -6,14 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows that one Python step holds at a time.
-SLICE_ROWS = 256
+#: Rows, and bytes of text, that one Python step holds at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,6 +64,24 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts; partition counts follow it, whatever ``docs`` is made of."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most SLICE_ROWS rows and about SLICE_BYTES of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(
+        zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        room = (ends[start - 1] if start else 0) + SLICE_BYTES
+        stop = int(np.searchsorted(ends, room, side="right"))
+        stop = max(start + 1, min(stop, start + SLICE_ROWS, batch.num_rows))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def map_slices(
     df: DataFrame, step: Callable[..., dict[str, list]], schema: str, *setup: object
 ) -> DataFrame:

@@ -100,10 +100,11 @@ def mix(
 
     Size is the number of words (null text: 0). A source's queue is ordered by the MD5 of doc_id,
     then size, so that reruns agree; it is gone through as often as its goal needs, the last time
-    up to the word that meets the goal, which cuts one document per source. ``taken`` is the sum
-    over the copies, which come in order of epoch. Rows of equal doc_id and size are
-    interchangeable; null sources are one source, null doc_ids one key; a mix of no words has
-    targets of 0. Only doc_id, text and source are read.
+    up to the document that meets the goal. Documents are taken whole: that one is taken if at
+    least half of it lies before the goal. ``taken`` is the sum over the copies, which come in order
+    of epoch. Rows of equal doc_id and size are
+    interchangeable; null sources are one source, null doc_ids one key; a source without words,
+    and a mix of no words, has targets of 0 and no copies. Only doc_id, text and source are read.
 
     The text is read once, for its size. A source of any size is spread over the buckets of the
     key: running sums are taken within (source, bucket), over one row per bucket across buckets.
@@ -130,14 +131,15 @@ def mix(
         .join(plan, F.col("source").eqNullSafe(F.col("b_source"))
               & (F.col("bucket") == F.col("b_bucket")))
         .withColumn("before", F.col("offset") + F.col("inside"))
-        .withColumn("epochs", F.coalesce(F.expr("goal div source_size"), F.lit(0)))
-        .withColumn("last", F.greatest(F.lit(0), F.least(
-            F.col("size"), F.coalesce(F.col("goal") % F.col("source_size"), F.lit(0))
-            - F.col("before"))))
+        .withColumn("epochs", F.coalesce(F.expr("goal div nullif(source_size, 0)"), F.lit(0)))
+        .withColumn("rest", F.coalesce(F.expr("goal % nullif(source_size, 0)"), F.lit(0)))
+        .withColumn("last", F.when(2 * (F.col("rest") - F.col("before")) >= F.col("size"),
+                                   F.col("size")).otherwise(F.lit(0).cast("long")))
     )
 
     def position(epoch: Column) -> Column:
-        u = (epoch * F.col("source_size") + F.col("before")) / F.col("goal")
+        begin = epoch * F.col("source_size") + F.col("before")
+        u = F.least(F.lit(1.0), begin / F.nullif(F.col("goal"), F.lit(0)))
         out = due_time(u, schedules[0])
         for at in range(1, len(schedules)):
             out = F.when(F.col("rank") % len(schedules) == at, due_time(u, schedules[at])
@@ -168,30 +170,20 @@ def training_stream(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES)
     """The documents as they are trained on: one row per copy with all columns of ``docs``, range-
     sorted by position.
 
-    A document that the mix does not take is left out. The one copy per source that is cut holds
-    its first words, joined by single spaces. ``n_chars``, where there is such a column, follows
-    the text.
+    A document that the mix does not take is left out; texts are whole. Nulls and empty tables: see
+    ``mix``; columns of any name pass through.
     """
     copies = mix(docs, schedules).where(F.size("copies") > 0).groupBy(
-        doc_key().alias("__id"), F.col("fp").alias("__fp")).agg(
-        F.max("size").alias("__size"), F.flatten(F.collect_list("copies")).alias("__copies"))
+        doc_key().alias("id"), "fp").agg(F.flatten(F.collect_list("copies")).alias("copies"))
     # rows that repeat (doc_id, text, source) share their copies: one of them carries all
-    one = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("__fp"))
-    taken = (
-        docs.withColumns({"__id": doc_key(), "__fp": fingerprint("text", "source")})
-        .join(copies, ["__id", "__fp"]).withColumn("__row", one).where("__row = 1")
-        .select(*docs.columns, "__size", F.explode("__copies").alias("__copy"))
-    )
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("__copy.words") < F.col("__size"), F.array_join(
-        F.slice(words, F.lit(1), F.col("__copy.words").cast("int")), " ")).otherwise(F.col("text"))
-    out = taken.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    one = F.row_number().over(Window.partitionBy("id", "fp").orderBy("fp"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("id"),
+                       fingerprint("text", "source").alias("fp"))
     return (
-        out.withColumn("__at", F.col("__copy.position"))
-        .repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id")
-        .select(*docs.columns)
+        rows.join(copies, ["id", "fp"]).withColumn("nth", one).where("nth = 1")
+        .select("row", F.explode("copies").alias("copy"))
+        .select("row", F.col("copy.position").alias("at"), F.col("row.doc_id").alias("id"))
+        .repartitionByRange("at", "id").sortWithinPartitions("at", "id").select("row.*")
     )
 
 
@@ -214,7 +206,7 @@ g AS (SELECT *, CAST(round(target) AS BIGINT) AS goal FROM m),
 o AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT doc_id, size, source_size, target, CAST(coalesce(goal // nullif(source_size, 0), 0) * size
-       + greatest(0, least(size, coalesce(goal % nullif(source_size, 0), 0) - before)) AS BIGINT)
-       AS taken
+       + CASE WHEN 2 * (coalesce(goal % nullif(source_size, 0), 0) - before) >= size THEN size
+         ELSE 0 END AS BIGINT) AS taken
 FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source
 """

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, doc_key, fingerprint, split_words, stage
+from .common import SLICE_ROWS, doc_key, fingerprint, split_words, stage, text_bytes
 from .substrings import SpanHasher, WordHasher
 
 WORDS = 5
@@ -479,9 +479,8 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", fingerprint("text", "source").alias("fp"), "text")
-    size = int(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                min(100_000, size // PART_BYTES))
+                text_bytes(own) // PART_BYTES)
     frequent = frequent_shingles(own)
     packed = stage(_pack(own, parts, frequent), "jaccard-blocks")
     counts = packed.select("block", F.explode("packed").alias("p")).select(
@@ -557,9 +556,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("at")).select(
         F.coalesce(F.concat(F.lit("="), F.col("at.doc_id").cast("string")), F.lit("")).alias(
             "__id"), F.col("at.fp").alias("fp"))
-    kept = firsts.withColumn("__one", F.lit(True)).unionByName(
-        ones.withColumn("__one", F.lit(False))).withColumnRenamed("fp", "__fp")
-    nth = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("__fp"))
-    return docs.withColumns({"__id": doc_key(), "__fp": fingerprint("text", "source")}).join(
-        kept, ["__id", "__fp"]).withColumn("__nth", nth).where("NOT __one OR __nth = 1").select(
-        *docs.columns)
+    kept = firsts.withColumn("one", F.lit(True)).unionByName(ones.withColumn("one", F.lit(False)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("id"),
+                       fingerprint("text", "source").alias("fp"))
+    nth = F.row_number().over(Window.partitionBy("id", "fp").orderBy("fp"))
+    return rows.join(kept.withColumnRenamed("__id", "id"), ["id", "fp"]).withColumn(
+        "nth", nth).where("NOT one OR nth = 1").select("row.*")

@@ -25,7 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, doc_key, fingerprint, new_path, split_words, stage
+from .common import (
+    SLICE_ROWS, doc_key, fingerprint, new_path, split_words, stage, text_bytes,
+)
 
 WINDOW = 35
 ANCHOR = 8
@@ -36,6 +38,10 @@ _BASE = 0x9E3779B97F4A7C15
 _MAX_WORDS = 200_000
 
 
+#: Words that a hasher remembers.
+WORDS_KNOWN = 120_000
+
+
 class WordHasher:
     """64-bit hashes of words; those seen lately are remembered."""
 
@@ -44,7 +50,7 @@ class WordHasher:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > WORDS_KNOWN:
             known.clear()
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -163,13 +169,11 @@ def _with_paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(run, _PATHS.format(kind=kind))
 
 
-def _bucketed(df: DataFrame, name: str) -> DataFrame:
+def _bucketed(df: DataFrame, size: int, name: str) -> DataFrame:
     """Write ``df`` with a row number, in buckets by it, so that joins on ``row`` move only the
-    other side. The number of buckets follows the size of the input."""
+    other side. The number of buckets follows ``size``, the bytes of the texts."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                min(100_000, size // BUCKET_BYTES))
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     df.withColumn("row", F.monotonically_increasing_id()).write.bucketBy(count, "row").option(
@@ -272,7 +276,7 @@ def remove_repeats(
     if not 1 <= anchor <= window:
         raise ValueError("an anchor has 1 to window words")
     own = docs.select("doc_id", fingerprint("text", "source").alias("fp"), "text")
-    table = _bucketed(_with_paths(own, window, anchor), "span-table")
+    table = _bucketed(_with_paths(own, window, anchor), text_bytes(own), "span-table")
     return _cut(table.join(repeated_spans(table, window), "row", "left"), join_words)
 
 

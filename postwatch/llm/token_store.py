@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunks import ENCODE_ROWS, ChunkEncoder
-from .common import new_path, stage
+from .chunks import ChunkEncoder
+from .common import new_path, stage, text_slices
 
 #: Rows per entry of the row index, and bytes of a stripe before compression.
 INDEX_ROWS = 1000
@@ -89,8 +89,7 @@ def encode_ordered(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Dat
     def run(batches):
         encoder, part, pos = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, ENCODE_ROWS):
-                piece = batch.slice(start, ENCODE_ROWS)
+            for piece in text_slices(batch, 1):
                 held = [ids + end for ids in encoder.encode_all(piece.column(1).to_pylist())]
                 offsets = np.zeros(len(held) + 1, dtype=np.int32)
                 np.cumsum([len(b) // 4 for b in held], out=offsets[1:])

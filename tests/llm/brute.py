@@ -114,7 +114,7 @@ def mix(rows, weights=(5.0, 2.0, 1.0), cap=3):
         s = rows[i]["source"]
         goal = round(target[s])
         if total[s]:
-            last = max(0, min(size[i], goal % total[s] - before[s]))
+            last = size[i] if 2 * (goal % total[s] - before[s]) >= size[i] else 0
             taken[i] = goal // total[s] * size[i] + last
         before[s] += size[i]
     return [(size[i], total[r["source"]], target[r["source"]], taken[i])
