@@ -26,6 +26,7 @@ def ladder_status(strikes: Column) -> Column:
 class StrikeResult:
     jobs: DataFrame
     events: DataFrame
+    struck: DataFrame
 
 
 def apply_strikes(jobs: DataFrame, seen: DataFrame, as_of: Column) -> StrikeResult:
@@ -52,12 +53,12 @@ def apply_strikes(jobs: DataFrame, seen: DataFrame, as_of: Column) -> StrikeResu
         },
         jobs.columns,
     )
-    events = marked.filter(F.col("_struck") & (F.col("status") != F.col("_to"))).select(
+    struck_rows = marked.filter(F.col("_struck")).select(
         "job_id", "company_id", F.col("status").alias("from_status"),
         F.col("_to").alias("to_status"), F.col("_n").alias("missing_count"),
         F.lit("ladder").alias("trigger"), as_of.alias("created_at"),
     )
-    return StrikeResult(state, events)
+    return StrikeResult(state, struck_rows.filter("from_status <> to_status"), struck_rows)
 
 
 def strike_counts(jobs: DataFrame, result: StrikeResult) -> DataFrame:

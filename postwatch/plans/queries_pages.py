@@ -28,8 +28,7 @@ ok AS (SELECT page_id, pos, {ORIGIN_SQL} || href AS source_url, text AS title FR
   WHERE length(text) BETWEEN 5 AND 120 AND starts_with(href, '/')),
 first AS (SELECT *, row_number() OVER (PARTITION BY page_id, source_url ORDER BY pos) AS n
   FROM ok)
-SELECT page_id, source_url, title FROM first WHERE n = 1
-QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 200""")
+SELECT page_id, source_url, title FROM first WHERE n = 1""")
 def _(v):
     pages = v.table("pages").withColumn("career_url", F.col("url"))
     return page_source.harvest_postings(pages).select("page_id", "source_url", "title")

@@ -50,12 +50,16 @@ UPSERT_COLUMNS = (
     "company_id", "title", "url", "location_raw", "description", "department", "work_mode",
     "job_type", "posted_at",
 )
-_OWN = ", ".join(f"'{c}': {c}" for c in UPSERT_COLUMNS)
+
+
+def _packed(*more: str) -> str:
+    return "{" + ", ".join(f"'{c}': {c}" for c in (*UPSERT_COLUMNS, *more)) + "}"
+
 
 #: The matching rules over ``stored`` and ``batch`` (with row_id, sid, url, norm, hash and the
 #: columns above), one row per posting in ``steps``. Stored jobs are matched by source id, then
 #: URL, then text; what is left is grouped by text (the batches share no other key there).
-UPSERT_STEPS_SQL = f"""
+_STEPS_SQL = """
 alive AS (SELECT * FROM stored WHERE NOT is_deleted),
 own AS (SELECT company_id, sid, job_id FROM alive WHERE sid <> '' QUALIFY row_number() OVER (
   PARTITION BY company_id, sid ORDER BY posted_at DESC NULLS FIRST, first_seen_at DESC, job_id) = 1),
@@ -68,11 +72,11 @@ matched AS (SELECT b.*, coalesce(own.job_id, by_url.job_id, by_hash.job_id) AS m
   LEFT JOIN by_url ON by_url.company_id = b.company_id AND by_url.norm = b.norm
   LEFT JOIN by_hash ON by_hash.company_id = b.company_id AND by_hash.hash = b.hash),
 placed AS (SELECT *, CASE WHEN match IS NULL THEN min(row_id) OVER (
-    PARTITION BY company_id, hash, match IS NULL) END AS root, {{{_OWN}}} AS now FROM matched),
+    PARTITION BY company_id, hash, match IS NULL) END AS root, PACKED AS now FROM matched),
 ordered AS (SELECT *, row_number() OVER w AS nth, lag(now) OVER w AS before,
     row_number() OVER (PARTITION BY match, root ORDER BY row_id DESC) AS back
   FROM placed WINDOW w AS (PARTITION BY match, root ORDER BY row_id)),
-was AS (SELECT *, {{{_OWN}}} AS then FROM stored),
+was AS (SELECT *, PACKED AS then FROM stored),
 fresh AS (SELECT root, row_number() OVER (ORDER BY company_id, root) - 1
   + (SELECT max(job_id) + 1 FROM stored) AS new_id FROM ordered WHERE nth = 1 AND match IS NULL),
 steps AS (SELECT o.*, coalesce(o.match, f.new_id) AS job_id, CASE
@@ -85,6 +89,8 @@ steps AS (SELECT o.*, coalesce(o.match, f.new_id) AS job_id, CASE
     ELSE 'updated' END AS outcome
   FROM ordered o LEFT JOIN was w ON w.job_id = o.match LEFT JOIN fresh f USING (root))"""
 
+UPSERT_STEPS_SQL = _STEPS_SQL.replace("PACKED", _packed())
+
 UPSERT_SQL = f"""
 stored AS (SELECT *, 'https://c' || company_id || '.example.org/jobs/' || job_id AS norm,
     source_url AS url, 'about ' || title AS description,
@@ -814,9 +820,9 @@ def _(v):
 
 
 def feed_documents(v):
-    """One feed document per job, in the dialect of its company."""
-    kinds = feeds.READERS
-    jobs = v.job().join(v.company().select("company_id", "career_source_type"), "company_id")
+    """One feed document, or page with one link, per job, in the dialect of its company."""
+    firms = v.company().select("company_id", "career_source_type", "career_url")
+    jobs = v.job().join(firms, "company_id")
     sid, url = F.col("job_id").cast("string"), F.col("source_url")
     stamp = F.date_format("first_seen_at", "yyyy-MM-dd'T'HH:mm:ss")
     html = F.concat(F.lit("<p>About <b>"), F.col("title"), F.lit("</b></p>"))
@@ -851,12 +857,14 @@ def feed_documents(v):
         )).alias("content")),
     }
     kind = F.col("career_source_type")
-    text = F.lit(None).cast("string")
-    for name in kinds:
+    text = F.concat(F.lit("<p>Open: <a href='/jobs/"), sid, F.lit("'>"), F.col("title"),
+                    F.lit("</a></p>"))
+    for name in feeds.JSON_TYPES:
         text = F.when(kind == name, F.to_json(bodies[name])).otherwise(text)
-    return jobs.select("company_id", kind.alias("source_type"), text.alias("body")).filter(
-        F.col("body").isNotNull()
-    )
+    return jobs.select(
+        "company_id", kind.alias("source_type"), text.alias("body"), "career_url",
+        F.concat(F.lit("https://c"), F.col("company_id").cast("string"),
+                 F.lit(".example.org/careers?job="), sid).alias("url"))
 
 
 @query("ingest_feeds", "S1 S2 S3 S4 S6 F12 F13 F20 F21 F22", """
@@ -875,7 +883,11 @@ SELECT j.company_id, career_source_type AS source_type, CAST(job_id AS VARCHAR)
   CASE WHEN career_source_type = 'smartrecruiters' THEN 60 ELSE 90 END AS extraction_confidence,
   career_source_type || '@1' AS parser_version
 FROM v_job j JOIN v_company c USING (company_id)
-WHERE career_source_type IN ('greenhouse', 'lever', 'ashby', 'smartrecruiters')""")
+WHERE career_source_type IN ('greenhouse', 'lever', 'ashby', 'smartrecruiters')
+UNION ALL
+SELECT company_id, career_source_type, '', source_url, source_url, title, '', '', '', '', '', NULL,
+  40, 'static@1' FROM v_job JOIN v_company USING (company_id)
+WHERE career_source_type IN ('own_career_page', 'unknown') AND career_url <> ''""")
 def _(v):
     rows = feeds.ingest_postings(feed_documents(v))
     return rows.select(
@@ -885,17 +897,113 @@ def _(v):
     )
 
 
-@query("scrape_cycle", "M23 A13 F36 M2 M21 M24")
+def cycle_fetches(v):
+    """What a cycle has fetched: documents of most companies; some fetches failed, found nothing
+    new, need a browser, or brought broken documents."""
+    k = F.col("company_id")
+    rows = feed_documents(v).drop("career_url")
+    return rows.withColumns({
+        "error": F.when(k % 17 == 3, "timeout"),
+        "escalation": k % 19 == 4,
+        "http_status": F.when(k % 23 == 5, 304).otherwise(200),
+        "body": F.when(k % 29 == 6, "{broken").otherwise(F.col("body")),
+    })
+
+
+def cycle_result(v):
+    return cycle.scrape_cycle(stored_jobs(v), v.company(), v.run(), cycle_fetches(v), as_of())
+
+
+CYCLE_SQL = f"""
+stored AS (SELECT *, 'https://c' || company_id || '.example.org/jobs/' || job_id AS norm,
+    source_url AS url, 'about ' || title AS description,
+    CASE WHEN job_id % 5 = 0 THEN '' ELSE 'J' || job_id END AS sid,
+    sha256(title || chr(31) || location_raw || chr(31) || 'about ' || title) AS hash
+  FROM v_job WHERE job_id % 4 <> 3),
+firms AS (SELECT *, career_source_type IN ('greenhouse', 'lever', 'ashby', 'smartrecruiters') AS ats
+  FROM v_company SEMI JOIN v_job USING (company_id) WHERE NOT is_deleted AND is_verified
+  AND is_active AND scrape_health <> 'failing' AND next_scrape_at <= {NOW}),
+modes AS (SELECT *, CASE WHEN company_id % 17 = 3 THEN 'failed' WHEN company_id % 19 = 4
+    THEN 'deferred' WHEN company_id % 23 = 5 THEN 'unmodified' WHEN company_id % 29 = 6 AND ats
+    THEN 'unreadable' WHEN company_id % 29 = 6 OR (NOT ats AND career_url = '') THEN 'empty'
+    ELSE 'parsed' END AS mode FROM firms),
+raw AS (SELECT j.company_id, j.source_url AS row_id, source_url AS url, source_url AS norm,
+    source_url AS apply_url, CASE WHEN ats THEN CAST(job_id AS VARCHAR) ELSE '' END AS sid, title,
+    CASE career_source_type WHEN 'smartrecruiters' THEN location_raw || ', IN'
+      || CASE WHEN job_id % 2 = 0 THEN ' (Remote)' ELSE '' END
+      ELSE CASE WHEN ats THEN location_raw ELSE '' END END AS location_raw,
+    CASE WHEN ats AND career_source_type <> 'smartrecruiters' THEN 'About ' || title ELSE '' END
+      AS description, CASE WHEN ats THEN department ELSE '' END AS department,
+    CASE WHEN career_source_type = 'smartrecruiters' AND job_id % 2 = 0 THEN 'remote' ELSE '' END
+      AS work_mode, CASE career_source_type WHEN 'lever' THEN 'full_time' WHEN 'ashby'
+      THEN 'contract' ELSE '' END AS job_type,
+    CASE WHEN ats AND career_source_type <> 'smartrecruiters' THEN first_seen_at END AS posted_at
+  FROM v_job j JOIN modes USING (company_id) WHERE mode = 'parsed'),
+batch AS (SELECT *, sha256(title || chr(31) || location_raw || chr(31) || description) AS hash
+  FROM raw),
+{_STEPS_SQL.replace("PACKED", _packed("apply_url"))},
+tally AS ({TALLY_SQL}),
+base AS (SELECT company_id, arg_max(jobs_found, (finished_at, run_id)) AS baseline FROM v_run
+  WHERE status = 'success' AND notes <> 'deferred_to_browser' GROUP BY company_id),
+judged AS (SELECT m.*, coalesce(b.baseline, 0) AS baseline, coalesce(t.jobs_found, 0) AS found,
+    coalesce(jobs_created, 0) AS added, coalesce(jobs_updated, 0) AS updated,
+    coalesce(jobs_unchanged, 0) AS unchanged, coalesce(jobs_reopened, 0) AS reopened
+  FROM modes m LEFT JOIN tally t USING (company_id) LEFT JOIN base b USING (company_id)),
+told AS (SELECT *, CASE WHEN mode IN ('unmodified', 'deferred') THEN 'trusted'
+    WHEN mode <> 'parsed' OR found = 0 THEN 'untrusted' WHEN baseline < 5 THEN 'trusted'
+    WHEN found < baseline * 0.5 THEN 'quarantined' ELSE 'trusted' END AS verdict FROM judged),
+struck AS (SELECT job_id, company_id, missing_count FROM stored
+  SEMI JOIN (SELECT company_id FROM told WHERE mode = 'parsed' AND verdict = 'trusted')
+    USING (company_id)
+  ANTI JOIN steps USING (job_id) WHERE NOT is_deleted AND NOT is_manual_status
+  AND status IN ('open', 'possibly_closed', 'likely_closed')),
+missing AS (SELECT company_id, CAST(count(*) AS INTEGER) AS n FROM struck GROUP BY company_id),
+runs AS (SELECT company_id, CASE mode WHEN 'failed' THEN 'failed' WHEN 'unreadable' THEN 'partial'
+    WHEN 'deferred' THEN 'success' ELSE CASE WHEN (CASE mode WHEN 'unmodified' THEN baseline
+    ELSE found END) > 0 THEN 'success' ELSE 'partial' END END AS status,
+  CAST(CASE mode WHEN 'unmodified' THEN baseline ELSE found END AS INTEGER) AS jobs_found,
+  CAST(added AS INTEGER) AS jobs_added, CAST(updated AS INTEGER) AS jobs_updated,
+  CAST(unchanged AS INTEGER) AS jobs_unchanged, CAST(reopened AS INTEGER) AS jobs_reopened,
+  coalesce(n, 0) AS jobs_missing, verdict, CASE mode WHEN 'failed' THEN 'FetchError: timeout'
+    WHEN 'unreadable' THEN 'ParseError: unreadable document' WHEN 'deferred' THEN ''
+    WHEN 'unmodified' THEN 'Conditional GET indicated no changes' ELSE
+    CASE WHEN found = 0 THEN 'Run status is failure (strikes skipped)'
+      WHEN baseline < 5 THEN 'Below baseline (' || baseline || ' < 5)'
+      WHEN verdict = 'quarantined' THEN 'Drop ratio ' || found || '/' || baseline
+        || ' < 0.5 (strikes skipped)' ELSE 'Within acceptable range' END END AS verdict_reason,
+  CASE mode WHEN 'unmodified' THEN 'not_modified' WHEN 'deferred' THEN 'deferred_to_browser'
+    ELSE '' END AS notes, mode
+  FROM told LEFT JOIN missing USING (company_id))"""
+
+
+@query("scrape_cycle", "M23 S6 S12 S14 A13 F36 M2 M22", f"""
+WITH {CYCLE_SQL}
+SELECT * EXCLUDE (mode) FROM runs""")
 def _(v):
-    result = cycle.scrape_cycle(
-        stored_jobs(v), v.company(), v.run(), feed_documents(v), as_of()
-    )
-    return result.runs.select(
-        "company_id", "status", "jobs_found", "jobs_added", "jobs_missing", "verdict",
-        "verdict_reason",
+    return cycle_result(v).runs.select(
+        "company_id", "status", "jobs_found", "jobs_added", "jobs_updated", "jobs_unchanged",
+        "jobs_reopened", "jobs_missing", "verdict", "verdict_reason", "notes",
     )
 
 
+@query("scrape_cycle_jobs", "M23 M22 M2 M1", f"""
+WITH {CYCLE_SQL},
+hit AS (SELECT match AS job_id, bool_or(outcome = 'reopened') AS again FROM steps
+  WHERE match IS NOT NULL GROUP BY match)
+SELECT s.job_id, CASE WHEN h.again THEN 'open' WHEN k.job_id IS NULL THEN s.status
+    ELSE CASE s.missing_count WHEN 0 THEN 'possibly_closed' WHEN 1 THEN 'likely_closed'
+    ELSE 'closed' END END AS status,
+  CAST(CASE WHEN h.job_id IS NOT NULL THEN 0 WHEN k.job_id IS NOT NULL
+    THEN least(s.missing_count + 1, 3) ELSE s.missing_count END AS INTEGER) AS missing_count,
+  CASE WHEN h.job_id IS NOT NULL OR (r.mode = 'unmodified' AND s.status = 'open'
+    AND NOT s.is_deleted) THEN {NOW} ELSE s.last_seen_at END AS last_seen_at
+FROM stored s LEFT JOIN hit h USING (job_id) LEFT JOIN struck k ON k.job_id = s.job_id
+LEFT JOIN runs r ON r.company_id = s.company_id
+UNION ALL SELECT job_id, 'open', 0, {NOW} FROM steps WHERE match IS NULL AND back = 1""")
+def _(v):
+    return cycle_result(v).jobs.select("job_id", "status", "missing_count", "last_seen_at")
+
+
 @query("load_exam_reference", "S15 M0", """
 SELECT exam_id, 'exam-' || exam_id AS slug, CASE WHEN exam_id % 2 = 0 THEN 'updated'
   ELSE 'inserted' END AS merge_outcome, name FROM v_exam""")

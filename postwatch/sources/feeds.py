@@ -1,4 +1,4 @@
-"""Feed documents of four dialects → postings under one contract.
+"""Feed documents and career pages of six source types → postings under one contract.
 
 Input rows hold ``company_id``, ``source_type`` and the document ``body``; documents are parsed
 where they lie, one row per document, and leave as one row per posting.
@@ -7,13 +7,16 @@ where they lie, one row per document, and leave as one row per posting.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..functions.core import blank_to_null, text_or_blank
+from ..functions.core import blank_to_null, lookup, text_or_blank
 from ..functions.rules import parse_feed_time
+from ..functions.urls import host_of
+from .pages import career_links
 
 POSTING_COLUMNS = (
     "source_job_id", "source_url", "apply_url", "title", "location_raw", "description",
@@ -52,19 +55,16 @@ def _either(first: Column, second: Column) -> Column:
     return text_or_blank(F.coalesce(blank_to_null(first), second))
 
 
-def _postings(raw: DataFrame, items: Column, fields: Callable[[Column], dict]) -> DataFrame:
-    """One row per element; broken documents have no elements and give no rows."""
-    exploded = raw.select(
-        "company_id", "source_type", F.posexplode(items).alias("pos", "item")
-    ).filter(F.col("item").isNotNull())
-    values = fields(F.col("item"))
-    return exploded.select(
-        "company_id", "source_type", "pos",
-        *[values.get(name, F.lit("")).alias(name) for name in POSTING_COLUMNS],
-    )
+@dataclass(frozen=True)
+class Dialect:
+    """How a document is taken apart (``items``, a column over the document) and what an item says
+    (``fields``, by posting column)."""
+
+    items: Column
+    fields: Callable[[Column], dict]
 
 
-def read_greenhouse(raw: DataFrame) -> DataFrame:
+def greenhouse() -> Dialect:
     def fields(job: Column) -> dict:
         place, team = job["location"], job["departments"]
         nested = place.startswith("{")
@@ -87,10 +87,10 @@ def read_greenhouse(raw: DataFrame) -> DataFrame:
             "extraction_confidence": F.lit(90),
         }
 
-    return _postings(raw, F.from_json("body", GREENHOUSE_SCHEMA)["jobs"], fields)
+    return Dialect(F.from_json("body", GREENHOUSE_SCHEMA)["jobs"], fields)
 
 
-def read_lever(raw: DataFrame) -> DataFrame:
+def lever() -> Dialect:
     def fields(job: Column) -> dict:
         kinds = job["categories"]
         return {
@@ -112,10 +112,10 @@ def read_lever(raw: DataFrame) -> DataFrame:
 
     # a document that is no list has no postings
     is_list = F.col("body").rlike(r"^\s*\[")
-    return _postings(raw, F.when(is_list, F.from_json("body", LEVER_SCHEMA)), fields)
+    return Dialect(F.when(is_list, F.from_json("body", LEVER_SCHEMA)), fields)
 
 
-def read_ashby(raw: DataFrame) -> DataFrame:
+def ashby() -> Dialect:
     def fields(job: Column) -> dict:
         return {
             "source_job_id": text_or_blank(job["id"]),
@@ -136,10 +136,10 @@ def read_ashby(raw: DataFrame) -> DataFrame:
             "extraction_confidence": F.lit(90),
         }
 
-    return _postings(raw, F.from_json("body", ASHBY_SCHEMA)["jobPostings"], fields)
+    return Dialect(F.from_json("body", ASHBY_SCHEMA)["jobPostings"], fields)
 
 
-def read_smartrecruiters(raw: DataFrame) -> DataFrame:
+def smartrecruiters() -> Dialect:
     def fields(job: Column) -> dict:
         place = job["location"]
         remote = F.coalesce(place["remote"], F.lit(False))
@@ -157,34 +157,76 @@ def read_smartrecruiters(raw: DataFrame) -> DataFrame:
             "extraction_confidence": F.lit(60),
         }
 
-    return _postings(raw, F.from_json("body", SMARTRECRUITERS_SCHEMA)["content"], fields)
+    return Dialect(F.from_json("body", SMARTRECRUITERS_SCHEMA)["content"], fields)
 
 
-READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "greenhouse": read_greenhouse,
-    "lever": read_lever,
-    "ashby": read_ashby,
-    "smartrecruiters": read_smartrecruiters,
-}
+def career_page() -> Dialect:
+    """Links of a page of the company's own; without a career address there are none."""
+    def fields(link: Column) -> dict:
+        return {
+            "source_url": link["url"], "apply_url": link["url"], "title": link["title"],
+            "posted_at": F.lit(None).cast("timestamp_ntz"), "extraction_confidence": F.lit(40),
+        }
+
+    links = career_links(F.col("body"), F.col("url"), host_of("career_url", strip_www=False))
+    return Dialect(F.when(F.col("career_url") != "", links), fields)
 
 
-def ingest_postings(
-    raw: DataFrame, readers: dict[str, Callable[[DataFrame], DataFrame]] | None = None
-) -> DataFrame:
-    """Every document through the reader of its source type, stamped with the reader version."""
-    result: DataFrame | None = None
-    for source_type, reader in (readers or READERS).items():
-        part = reader(raw.filter(F.col("source_type") == source_type)).withColumn(
-            "parser_version", F.lit(PARSER_VERSIONS.get(source_type, source_type))
-        )
-        result = part if result is None else result.unionByName(part)
-    return result
+DIALECTS: dict[str, Callable[[], Dialect]] = {
+    "greenhouse": greenhouse, "lever": lever, "ashby": ashby, "smartrecruiters": smartrecruiters,
+    "own_career_page": career_page, "unknown": career_page,
+}
+#: Source types whose documents are JSON; others are pages.
+JSON_TYPES = ("greenhouse", "lever", "ashby", "smartrecruiters")
+
+
+def ingest_postings(raw: DataFrame, dialects: dict | None = None) -> DataFrame:
+    """Every document through the reader of its source type, stamped with the reader version.
+
+    The documents (company_id, source_type, body; for pages also url, or final_url, and career_url)
+    are scanned once: a document offers an array of items that have one slot per dialect, and one
+    explode makes postings of all types. Broken documents have no items and give no rows, nor do
+    unknown source types.
+    """
+    chosen = {name: build() for name, build in (dialects or DIALECTS).items()}
+    url = [c for c in ("final_url", "url") if c in raw.columns] or [None]
+    place = F.coalesce(*[F.col(c) if c else F.lit(None).cast("string") for c in url])
+    career = F.col("career_url") if "career_url" in raw.columns else F.lit("")
+    docs = raw.withColumns({"url": place, "career_url": text_or_blank(career)})
+    slots = {name: f"{name}_item" for name in chosen}
+    kinds = {name: docs.select(d.items.alias("i")).schema["i"].dataType.elementType.simpleString()
+             for name, d in chosen.items()}
+
+    def slotted(name: str) -> Column:
+        return F.transform(chosen[name].items, lambda item: F.when(item.isNotNull(), F.struct(*[
+            (item if other == name else F.lit(None).cast(kinds[other])).alias(slot)
+            for other, slot in slots.items()])))
+
+    items = F.lit(None)
+    for name in chosen:
+        items = F.when(F.col("source_type") == name, slotted(name)).otherwise(items)
+    rows = docs.select("company_id", "source_type", F.posexplode(items).alias("pos", "item")).filter(
+        F.col("item").isNotNull())
+    read = {name: d.fields(F.col("item")[slots[name]]) for name, d in chosen.items()}
+
+    def value(column: str) -> Column:
+        out = F.lit(None)
+        for name, fields in read.items():
+            out = F.when(F.col("source_type") == name, fields.get(column, F.lit(""))).otherwise(out)
+        return out.alias(column)
+
+    version = lookup(F.col("source_type"), PARSER_VERSIONS, F.col("source_type"))
+    return rows.select("company_id", "source_type", "pos", *map(value, POSTING_COLUMNS),
+                       version.alias("parser_version"))
+
+
+def unreadable(source_type: Column, body: Column) -> Column:
+    """Whether a document of a JSON dialect is no JSON at all."""
+    return source_type.isin(*JSON_TYPES) & F.get_json_object(body, "$").isNull()
 
 
 def build_fetch_url(companies: DataFrame) -> DataFrame:
     """Address of the feed of every company, by source type."""
-    from ..functions.core import lookup
-
     # Feed addresses; {} stands for the board identifier.
     templates = {
         "greenhouse": "https://boards-api.greenhouse.io/v1/boards/{}/jobs?content=true",

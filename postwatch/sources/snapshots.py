@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BODY_CAP_BYTES = 512 * 1024
 RETENTION_DAYS = 14
 
 
@@ -55,8 +54,9 @@ def clear_fetch_state(state: DataFrame, bad_urls: DataFrame) -> DataFrame:
     return marked.drop("_bad")
 
 
-def quarantine(runs: DataFrame, bodies: DataFrame, cap: int = BODY_CAP_BYTES) -> DataFrame:
-    """Bodies of runs nobody should trust, cut at a byte limit, with the full size noted."""
+def quarantine(runs: DataFrame, bodies: DataFrame, cap: int | None = None) -> DataFrame:
+    """Bodies of runs nobody should trust, with their size. They are kept whole; with ``cap`` they
+    are cut at so many bytes and flagged."""
     bad = runs.filter(F.col("verdict").isin("untrusted", "quarantined")).select(
         "run_id", "company_id", "verdict"
     )
@@ -65,8 +65,8 @@ def quarantine(runs: DataFrame, bodies: DataFrame, cap: int = BODY_CAP_BYTES) ->
     kept = bodies.filter(F.col("body") != "").join(bad, "run_id")
     return kept.select(
         "run_id", "company_id", "url", "verdict",
-        F.substring(raw, 1, cap).alias("content"), size.alias("byte_size"),
-        (size > cap).alias("truncated"),
+        (raw if cap is None else F.substring(raw, 1, cap)).alias("content"),
+        size.alias("byte_size"), (F.lit(False) if cap is None else size > cap).alias("truncated"),
     )
 
 

@@ -38,32 +38,33 @@ def test_lever(spark):
         "location": "Remote", "team": "Core", "commitment": "Full-time"},
         "description": "<div>Hello</div>", "hostedUrl": "https://jobs.lever.co/acme/a",
         "createdAt": 1700000000000, "workplaceType": "on-site"}]
-    row = feeds.read_lever(documents(spark, "lever", body)).first()
+    row = feeds.ingest_postings(documents(spark, "lever", body)).first()
     assert (row.department, row.job_type, row.work_mode) == ("Core", "full_time", "onsite")
     assert row.description == "Hello"
     assert row.apply_url == row.source_url
     assert row.posted_at == dt.datetime(2023, 11, 14, 22, 13, 20)
-    assert feeds.read_lever(documents(spark, "lever", {"id": "a"})).count() == 0
+    assert feeds.ingest_postings(documents(spark, "lever", {"id": "a"})).count() == 0
 
 
 def test_ashby_and_smartrecruiters(spark):
     body = {"jobPostings": [{"id": "x", "title": "UX", "locationName": "Pune", "isRemote": True,
                              "employmentType": "Internship", "publishedAt": "2025-02-01"}]}
-    row = feeds.read_ashby(documents(spark, "ashby", body)).first()
+    row = feeds.ingest_postings(documents(spark, "ashby", body)).first()
     assert (row.work_mode, row.job_type, row.posted_at) == (
         "remote", "internship", dt.datetime(2025, 2, 1))
     body = {"content": [{"id": "s", "name": "DA", "location": {
         "city": "Austin", "region": "TX", "country": "US", "remote": True},
         "department": {"label": "BI"}, "ref": "https://x/s"}]}
-    row = feeds.read_smartrecruiters(documents(spark, "smartrecruiters", body)).first()
+    row = feeds.ingest_postings(documents(spark, "smartrecruiters", body)).first()
     assert (row.location_raw, row.work_mode, row.extraction_confidence) == (
         "Austin, TX, US (Remote)", "remote", 60)
 
 
 def test_broken_documents_give_no_rows(spark):
-    for source in feeds.READERS:
-        for body in ("{not json", "{}", "[]", '{"jobs": 3}'):
-            assert feeds.ingest_postings(documents(spark, source, body)).count() == 0
+    rows = [(1, source, body) for source in (*feeds.DIALECTS, "other")
+            for body in ("{not json", "{}", "[]", '{"jobs": 3}', None)]
+    raw = spark.createDataFrame(rows, "company_id long, source_type string, body string")
+    assert feeds.ingest_postings(raw).count() == 0
 
 
 def test_harvest(spark):
@@ -80,6 +81,29 @@ def test_harvest(spark):
         ("Product Manager", "https://example.com/jobs/2")]
 
 
+def test_six_source_types_in_one_scan(spark):
+    """Career pages are read like feeds; a page has as many postings as it has links."""
+    links = "".join(f"<a href='/jobs/{i}'>Posting number {i}</a>" for i in range(450))
+    rows = [(1, "own_career_page", links, "https://a.com/careers", "https://a.com/careers"),
+            (2, "unknown", "<a href='/x/1'>Glazier wanted</a>", "https://b.com/", "https://b.com/"),
+            (3, "own_career_page", links, "https://c.com/", ""),
+            (4, "lever", json.dumps([{"id": "a", "text": "Backend"}]), None, None),
+            (5, "greenhouse", json.dumps({"jobs": [None, {"id": 1, "title": "T"}]}), None, None)]
+    raw = spark.createDataFrame(
+        rows, "company_id long, source_type string, body string, url string, career_url string")
+    found = feeds.ingest_postings(raw)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Generate") == 1
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.company_id, []).append(r)
+    assert sorted(got) == [1, 2, 4, 5] and len(got[1]) == 450
+    assert [r.pos for r in sorted(got[1], key=lambda r: r.pos)] == list(range(450))
+    assert (got[2][0].source_url, got[2][0].title, got[2][0].extraction_confidence) == (
+        "https://b.com/x/1", "Glazier wanted", 40)
+    assert {r.parser_version for r in got[1] + got[2]} == {"static@1"}
+    assert (got[4][0].parser_version, got[5][0].pos) == ("lever@1", 1)
+
+
 def test_links_know_their_region():
     html = ("<header><a href='/a'>A</a></header><nav><b><a href='b'>B</a></nav>"
             "<a href='#x'>no</a><footer><a href='http://z.org/'>Z</a></footer><a href='/a'>A2</a>")
