@@ -55,7 +55,8 @@ def _documents(fetches: DataFrame, companies: DataFrame, due: DataFrame) -> Data
     blank |= {} if "http_status" in given else {"http_status": F.lit(200)}
     blank |= {} if "escalation" in given else {"escalation": F.lit(False)}
     rows = fetches.withColumns(blank).drop("career_url").join(due, "company_id", "left_semi")
-    return rows.join(companies.select("company_id", "career_url"), "company_id")
+    career = F.col("career_url") if "career_url" in companies.columns else F.lit("")
+    return rows.join(companies.select("company_id", career.alias("career_url")), "company_id")
 
 
 def _company_modes(docs: DataFrame, state: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:

@@ -155,7 +155,8 @@ def _sequence(
 
 
 def upsert_postings(
-    jobs: DataFrame, companies: DataFrame, batch: DataFrame, as_of: Column
+    jobs: DataFrame, companies: DataFrame, batch: DataFrame, as_of: Column,
+    above: int | None = None,
 ) -> UpsertResult:
     """Merge a batch of postings (with unique, ordered ``row_id``) into the job table.
 
@@ -164,7 +165,8 @@ def upsert_postings(
     own posting. Outcome per posting: created, reopened, unchanged or updated, in the order of
     ``row_id``: a posting is compared with what the one before it has left. The values of a job's
     last posting count; fields a person edited are kept. Jobs a batch does not mention are carried
-    over untouched.
+    over untouched. Where ``jobs`` is a part of the table, ``above`` is the highest number of a job
+    in all of it.
     """
     firm = companies.select(
         "company_id", F.col("career_source_type").isin(*ATS_TYPES).alias("_is_ats")
@@ -251,7 +253,7 @@ def upsert_postings(
         rows.withColumnsRenamed({"source_job_id": "_last_id"}).drop("root", "job_id"), "at")
     created = cut_lineage(_created(
         fresh.withColumn("source_job_id", F.col("_first.sid")).withColumn(
-            "extraction_confidence", F.col("_first.confidence")), jobs, firm, as_of))
+            "extraction_confidence", F.col("_first.confidence")), jobs, firm, as_of, above))
     names = created.select("root", "job_id")
     outcomes = done.filter("job_id IS NOT NULL").drop("root").unionByName(
         done.filter("job_id IS NULL").drop("job_id").join(names, "root").drop("root")
@@ -267,7 +269,9 @@ def upsert_postings(
     )
 
 
-def _created(rows: DataFrame, jobs: DataFrame, firm: DataFrame, as_of: Column) -> DataFrame:
+def _created(
+    rows: DataFrame, jobs: DataFrame, firm: DataFrame, as_of: Column, above: int | None
+) -> DataFrame:
     """New jobs in the shape of the job table, with ``root``, the first posting of each. Text ids
     are derived from the identity of the posting; number ids continue after the highest one."""
     kinds = {field.name: field.dataType for field in jobs.schema.fields}
@@ -277,7 +281,8 @@ def _created(rows: DataFrame, jobs: DataFrame, firm: DataFrame, as_of: Column) -
         named = rows.withColumn("job_id", F.regexp_replace(
             digest, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
     else:
-        top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(-1))).scalar()
+        top = F.lit(above) if above is not None else jobs.agg(
+            F.coalesce(F.max("job_id"), F.lit(-1))).scalar()
         named = with_ordered_index(
             rows.drop("job_id"), ["company_id", "root"], "_at"
         ).withColumn("job_id", F.col("_at") + top + 1)

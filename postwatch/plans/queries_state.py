@@ -782,7 +782,7 @@ def _(v):
     return events.select("cycle_id", "field_name", "old_value", "new_value")
 
 
-@query("diff_snapshots", "S13 S14", f"""
+@query("diff_snapshots", "S13", f"""
 WITH old AS (SELECT sha256(url) AS url_hash, sha256(CASE WHEN page_id % 3 = 0 THEN html || '!'
     ELSE html END) AS body_hash FROM pages WHERE page_id % 4 <> 0)
 SELECT page_id, CASE WHEN o.url_hash IS NULL THEN 'new' WHEN o.body_hash = sha256(html)
@@ -809,14 +809,27 @@ def _(v):
 
 
 @query("quarantine", "S12", """
-SELECT run_id, v.verdict, CAST(strlen(html) AS INTEGER) AS byte_size, strlen(html) > 8192
-  AS truncated FROM pages JOIN v_run v ON run_id = page_id
-WHERE verdict IN ('untrusted', 'quarantined')""")
+SELECT run_id, v.verdict, url, CAST(strlen(html) AS INTEGER) AS byte_size, false AS truncated,
+  sha256(html) AS content_sha FROM pages JOIN v_run v ON run_id = page_id
+WHERE verdict IN ('untrusted', 'quarantined') AND html <> ''""")
 def _(v):
     bodies = v.table("pages").select(F.col("page_id").alias("run_id"), "url",
                                      F.col("html").alias("body"))
-    rows = snapshots.quarantine(v.run(), bodies, cap=8192)
-    return rows.select("run_id", "verdict", "byte_size", "truncated")
+    rows = snapshots.quarantine(v.run(), bodies)
+    return rows.select("run_id", "verdict", "url", "byte_size", "truncated",
+                       F.sha2("content", 256).alias("content_sha"))
+
+
+@query("clear_fetch_state", "S14", """
+SELECT page_id, CASE WHEN page_id % 3 = 1 THEN '' ELSE 'tag' || page_id END AS etag,
+  CASE WHEN page_id % 3 = 1 THEN '' ELSE sha256(html) END AS body_hash FROM pages""")
+def _(v):
+    pages = v.table("pages")
+    state = pages.select("page_id", snapshots.url_hash("url").alias("url_hash"), F.concat(
+        F.lit("tag"), F.col("page_id").cast("string")).alias("etag"),
+        F.sha2("html", 256).alias("body_hash"))
+    cleared = snapshots.clear_fetch_state(state, pages.filter("page_id % 3 = 1").select("url"))
+    return cleared.select("page_id", "etag", "body_hash")
 
 
 def feed_documents(v):

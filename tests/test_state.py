@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postwatch.operators import discovery, history, joins, ordered, outcomes, reviews, strikes
 from postwatch.operators.postings import upsert_postings, with_identity
+from postwatch.sources.versions import VersionStore
 
 JOBS = (
     "job_id long, company_id long, source_job_id string, source_url string, title string, "
@@ -391,9 +392,43 @@ def test_streamed_ingest_equals_batches(spark, tmp_path):
         spark, str(tmp_path / "feeds/*"), companies(spark), stored(spark, {}, {}),
         str(tmp_path / "state"), str(tmp_path / "progress"), files_per_batch=1)
     query.awaitTermination()
-    state = streaming.latest_version(spark, query, str(tmp_path / "state"), "jobs")
-    assert sorted((r.source_job_id, r.title) for r in state.collect()) == [
+    store = VersionStore(spark, str(tmp_path / "state"))
+    assert store.versions() == [0, 1, 2]
+    assert sorted((r.source_job_id, r.title) for r in store.read("jobs").collect()) == [
         ("S1", "N1"), ("S2", "T2"), ("S5", "N5")]
+    assert store.read("events").count() == 1 and store.manifest()["facts"] == {"top_id": 3}
+
+
+def test_versions(spark, tmp_path):
+    """A commit writes the buckets it touches; repeated and missing versions do no harm."""
+    def table(*rows):
+        return spark.createDataFrame(list(rows), "k long, v string")
+
+    store = VersionStore(spark, str(tmp_path / "versions"))
+    assert store.versions() == [] and store.manifest()["tables"] == {}
+    top = {"most": ("t", F.max("k"))}
+    store.commit(0, {"t": table(*[(i, "a") for i in range(100)])}, keys={"t": "k"}, count=8,
+                 facts=top)
+    before = store.manifest()["tables"]["t"]["paths"]
+    change = table((3, "b"), (4, "b"))
+    touched = store.buckets_of("t", change)
+    part = store.read("t", buckets=touched)
+    rest = 100 - part.count()
+    merged = part.filter("k NOT IN (3, 4)").unionByName(change)
+    for _ in range(2):
+        store.commit(7, {"t": merged}, buckets={"t": touched}, append={"log": change}, facts=top)
+    after = store.manifest()["tables"]["t"]["paths"]
+    assert store.versions() == [0, 7] and store.manifest()["facts"] == {"most": 99}
+    assert {int(b) for b in before if before[b] != after[b]} == set(touched)
+    assert {(r.k, r.v) for r in store.read("t").collect()} == {
+        (i, "b" if i in (3, 4) else "a") for i in range(100)}
+    assert {r.v for r in store.read("t", 0).collect()} == {"a"}
+    assert store.read("log").count() == 2
+    store.commit(9, {"t": part.limit(0)}, buckets={"t": touched}, append={"log": change})
+    assert store.read("t").count() == rest and store.read("log").count() == 4
+    dead = store.expire(1)
+    assert store.versions() == [9] and len(dead) == 2 * len(touched)
+    assert store.read("t").count() == rest and store.read("log").count() == 4
 
 
 def test_repeated_runs_are_dropped_within_the_horizon(spark, tmp_path):
