@@ -108,5 +108,25 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges (rows of two) of a spanning forest of the graph with the edges (a, b)."""
+    both, edges = np.argsort(np.r_[a, b], kind="stable"), []
+    tip, ends = np.r_[a, b][both], np.r_[b, a][both]
+    begin = np.searchsorted(tip, np.arange(n + 1))
+    seen = np.zeros(n, bool)
+    for root in np.unique(tip):
+        if seen[root]:
+            continue
+        seen[root], waiting = True, [root]
+        while waiting:
+            at = waiting.pop()
+            near = ends[begin[at]:begin[at + 1]]
+            near = np.unique(near[~seen[near]])
+            seen[near] = True
+            edges += [(int(at), int(x)) for x in near]
+            waiting += near.tolist()
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -16,8 +16,10 @@ either. Four exact steps narrow the search; none drops a link:
    itself: the overlap of two points is at most the sum of their coordinate-wise minima, that of two
    nodes the sum over their upper corners. Of the pairs found, those stay that share a prefix
    shingle with enough members behind it in both sets.
-4. Every pair of different sets that is left is verified once on the whole sets, in tiles that hold
-   each set once. Components and numbers of links are derived from these links.
+4. Every pair of different sets that is left is verified on the whole sets in the tile where it was
+   found. Of the tiles in which a pair meets, it counts in one: that of its smallest common shingle.
+   A tile gives numbers of links and the edges of a spanning forest, no row for a pair, so that a
+   group of many near copies gives as many rows as it has sets. Components come from the forests.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, doc_key, fingerprint, split_words, stage, text_bytes
+from .common import (
+    SLICE_ROWS, doc_key, fingerprint, forest, split_words, stage, text_bytes,
+)
 from .substrings import SpanHasher, WordHasher
 
 WORDS = 5
@@ -46,8 +50,8 @@ PART_BYTES = 24 << 20
 LEAF, FAN, TILE = 16, 8, 1024
 #: Groups of so few points are compared without a tree.
 PLAIN = 24
-#: Sets of one side of a tile in which pairs are verified.
-VERIFY_TILE = 256
+#: Shingles of one side of a tile, and shingles counted at once by a product of matrices.
+TILE_SHINGLES, MATRIX = 2_000_000, 4096
 _TOKEN_MASK = np.uint64((1 << 48) - 1)
 
 
@@ -205,7 +209,7 @@ def _count_shared(batches):
 
 
 def _describe(batches, frequent: np.ndarray):
-    """(set, n, members, prefix, counts) of each wanted set from its text."""
+    """(set, copies, n, members, prefix, counts) of each wanted set from its text."""
     hasher = WordHasher()
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -215,65 +219,12 @@ def _describe(batches, frequent: np.ndarray):
             counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
                       for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary()),
                  pa.array([s[:int(prefix_size(len(s)))].view(np.int64) for s in sets],
                           pa.list_(pa.int64())),
                  pa.array([planes(c, 4) for c in counts], pa.binary())],
-                ["set", "n", "members", "prefix", "counts"])
-
-
-def _verify(batches):
-    """Linked pairs of sorted rows (tile, a, b, members): a tile's sets, without b, come first."""
-    held: dict[int, np.ndarray] = {}
-    last = None
-    for batch in batches:
-        tile, left, right = (batch.column(i).to_pylist() for i in range(3))
-        found: list[tuple[int, int]] = []
-        for i, (at, a, b) in enumerate(zip(tile, left, right, strict=True)):
-            if at != last:
-                held, last = {}, at
-            if b is None:
-                held[a] = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-                continue
-            n, m = len(held[a]), len(held[b])
-            if 7 * min(n, m) < 3 * (n + m):
-                continue
-            both = np.concatenate([held[a], held[b]])
-            both.sort()
-            if 7 * np.count_nonzero(both[1:] == both[:-1]) >= 3 * (n + m):
-                found.append((a, b))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
-                                             ["a", "b"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link, by their whole sets.
-
-    The home of a set is the smallest partner it has, or itself. A tile holds the sets of two cells
-    (home, chunk) that any of its pairs needs, each once, however many pairs there are.
-    """
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(
-        pairs.select("b", "a"))
-    homes = stage(ends.groupBy("id").agg(F.min("other").alias("other")).select(
-        "id", F.least("id", "other").alias("home")), "jaccard-homes")
-    chunks = homes.groupBy("home").agg(
-        F.ceil(F.count(F.lit(1)) / VERIFY_TILE).cast("int").alias("chunks"))
-    cells = stage(homes.join(chunks, "home").select("id", F.struct(
-        "home", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk")).alias("cell")),
-        "jaccard-cells")
-    tiled = stage(
-        pairs.join(cells.select(F.col("id").alias("a"), F.col("cell").alias("of_a")), "a")
-        .join(cells.select(F.col("id").alias("b"), F.col("cell").alias("of_b")), "b")
-        .select(F.xxhash64(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).alias("tile"),
-                "a", "b"), "jaccard-tiles")
-    needed = tiled.select("tile", F.col("a").alias("id")).union(tiled.select("tile", "b")).distinct()
-    rows = needed.join(sets.select("id", "members"), "id").select(
-        "tile", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "members").unionByName(
-        tiled.withColumn("members", F.lit(None).cast("binary")))
-    return rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()
-                                                         ).mapInArrow(_verify, "a long, b long")
+                ["set", "copies", "n", "members", "prefix", "counts"])
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -401,26 +352,124 @@ def _sharing(a, b, sizes, tokens, places):
     return share[a, b]
 
 
-def _near_pairs(batches):
-    """Candidate pairs of the tiles (leader, one, two) that follow each other in sorted rows."""
+def _overlaps(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common entries of the pairs (a, b) of sorted lists: pair by pair, or by products of a matrix
+    of lists by entries, whichever is less work."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    every = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    known, entry, uses = np.unique(every, return_inverse=True, return_counts=True)
+    shared = uses > 1
+    wide = int(shared.sum())
+    if 30 * int((sizes[a] + sizes[b]).sum()) + 20_000 * len(a) < len(lists) ** 2 * wide // 8:
+        out = np.zeros(len(a), np.int64)
+        for at, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            both = np.concatenate([lists[i], lists[j]])
+            both.sort()
+            out[at] = np.count_nonzero(both[1:] == both[:-1])
+        return out
+    slot = np.repeat(np.arange(len(lists)), sizes)
+    number = np.cumsum(shared) - 1
+    keep = shared[entry]
+    slot, column = slot[keep], number[entry[keep]]
+    order = np.argsort(column, kind="stable")
+    slot, column = slot[order], column[order]
+    total = np.zeros((len(lists), len(lists)), np.float32)
+    for start in range(0, wide, MATRIX):
+        part = slice(*np.searchsorted(column, (start, start + MATRIX)))
+        table = np.zeros((len(lists), min(MATRIX, wide - start)), np.float32)
+        table[slot[part], column[part] - start] = 1
+        total += table @ table.T
+    return total[a, b].astype(np.int64)
+
+
+def _at_home(prefixes: list[np.ndarray], own: list[np.ndarray], a: np.ndarray, b: np.ndarray):
+    """Whether the smallest common entry of the prefixes of each pair is one of this tile's tokens
+    (``own``, a sorted part of each prefix)."""
+    n, home = len(prefixes), np.zeros(len(a), bool)
+    waiting = np.arange(len(a))
+    if len(a) > 4 * n:  # decide many pairs at once, by ascending entries
+        every = np.concatenate(prefixes)
+        slot = np.repeat(np.arange(n), [len(p) for p in prefixes])
+        order = np.argsort(every, kind="stable")
+        every, slot = every[order], slot[order]
+        tile = np.unique(np.concatenate(own))
+        begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        end = np.r_[begin[1:], len(every)]
+        open_pairs, inside = np.ones((n, n), bool), np.isin(every[begin], tile)
+        verdict = np.zeros((n, n), bool)
+        for turn, at in enumerate(np.flatnonzero(end - begin > 1)):
+            group = np.ix_(slot[begin[at]:end[at]], slot[begin[at]:end[at]])
+            if inside[at]:
+                verdict[group] |= open_pairs[group]
+            open_pairs[group] = False
+            if turn % 16 == 15 and open_pairs[a, b].sum() <= n:
+                break
+        decided = ~open_pairs[a, b]
+        home[decided] = verdict[a, b][decided]
+        waiting = np.flatnonzero(~decided)
+    for at in waiting.tolist():
+        common = np.intersect1d(prefixes[a[at]], prefixes[b[at]], True)
+        home[at] = len(common) > 0 and common[0] in own[a[at]]
+    return home
+
+
+def _tile_links(sizes, counts, chunk, members: list[np.ndarray], own: list[np.ndarray]):
+    """Index pairs of the links that count in this tile."""
+    a, b = _near_in_group(np.arange(len(sizes)), sizes, counts, chunk)
+    if not len(a):
+        return a, b
+    places = [np.searchsorted(m, t) for m, t in zip(members, own, strict=True)]
+    near = _sharing(a, b, sizes, own, places)
+    a, b = a[near], b[near]
+    if len(a):
+        prefixes = [m[:int(prefix_size(len(m)))] for m in members]
+        home = _at_home(prefixes, own, a, b)
+        a, b = a[home], b[home]
+    if len(a):
+        linked = 7 * _overlaps(members, a, b) >= 3 * (sizes[a] + sizes[b])
+        a, b = a[linked], b[linked]
+    return a, b
+
+
+def _links_by_tile(batches, every: bool):
+    """Links of the tiles (leader, one, two) that follow each other in sorted rows: (id, links) for
+    each linked set, with copies counted, and (id, other) for the edges of a forest; with ``every``
+    (id, other) for all links instead."""
     held: list[tuple] = []
 
-    def close():
-        ids, sizes, counts, chunk = (np.concatenate([h[i] for h in held]) for i in range(4))
-        tokens, places = ([x for h in held for x in h[i]] for i in (4, 5))
+    def close() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, numbers of links (-1 in edges) and other ends (-1 in numbers)."""
+        chunk, ids, sizes, copies, counts = (
+            np.concatenate([h[i] for h in held]) for i in range(5))
+        members, own = ([x for h in held for x in h[i]] for i in (5, 6))
         held.clear()
-        a, b = _near_in_group(ids, sizes, counts, chunk)
-        if len(a):
-            near = _sharing(a, b, sizes, tokens, places)
-            a, b = ids[a[near]], ids[b[near]]
-        return np.stack([np.minimum(a, b), np.maximum(a, b)])
+        a, b = _tile_links(sizes, counts, chunk, members, own)
+        if every:
+            low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            return low, np.full(len(a), -1), high
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        some, edges = np.flatnonzero(links), forest(len(ids), a, b)
+        none = np.full(len(edges), -1)
+        return (np.r_[ids[some], ids[edges[:, 0]]], np.r_[links[some], none],
+                np.r_[np.full(len(some), -1), ids[edges[:, 1]]])
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        ids, links, others = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(links, pa.int64(), mask=links < 0),
+             pa.array(others, pa.int64(), mask=others < 0)], ["id", "links", "other"])
 
     last = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-        chunk, ids, sizes = (batch.column(i).to_numpy() for i in (3, 4, 5))
-        counts = np.stack([from_planes(c.as_py(), 4).astype(np.int32) for c in batch.column(6)])
-        tokens, places = ([x.values.to_numpy() for x in batch.column(i)] for i in (7, 8))
+        columns = [batch.column(i).to_numpy() for i in (3, 4, 5, 6)]
+        counts = np.stack([from_planes(c.as_py(), 4).astype(np.int32) for c in batch.column(7)])
+        members = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column(8)]
+        own = [x.values.to_numpy().view(np.uint64) for x in batch.column(9)]
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         found = []
         for begin, end in zip(cut, np.r_[cut[1:], len(key)], strict=True):
@@ -428,55 +477,51 @@ def _near_pairs(batches):
                 found.append(close())
             last = tuple(key[begin])
             part = slice(begin, end)
-            held.append((ids[part], sizes[part], counts[part], chunk[part], tokens[part],
-                         places[part]))
+            held.append((*(c[part] for c in columns), counts[part], members[part],
+                         [np.sort(x) for x in own[part]]))
         if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64)) for c in np.concatenate(found, axis=1)], ["a", "b"])
+            yield packed(found)
     if held:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c.astype(np.int64)) for c in close()], ["a", "b"])
+        yield packed([close()])
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets that share a block and pass the bounds.
+def _tiles(sets: DataFrame) -> DataFrame:
+    """Sets that share a block, dealt to tiles (leader, one, two).
 
-    A leader with more than TILE sets in its blocks has them cut into chunks by hash, and every pair
-    of its chunks is a tile of its own.
+    A leader with more than TILE sets, or TILE_SHINGLES shingles, in its blocks has them cut into
+    chunks by hash, and every pair of its chunks is a tile of its own.
     """
-    holders = sets.select("id", F.posexplode("prefix").alias("place", "token"))
+    holders = sets.select("id", "n", F.explode("prefix").alias("token"))
     blocks = stage(holders.groupBy("token").agg(
         F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select(
         "token", "leader"), "jaccard-leaders")
     met = stage(holders.join(blocks, "token").groupBy("leader", "id").agg(
-        F.array_sort(F.collect_list(F.struct("token", "place"))).alias("at")), "jaccard-blocks")
-    chunks = met.groupBy("leader").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
+        F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "jaccard-blocks")
+    chunks = met.groupBy("leader").agg(F.count(F.lit(1)).alias("sets"), F.greatest(
+        F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias(
+        "chunks")).where("sets > 1").drop("sets")
     tiled = met.join(chunks, "leader").withColumn(
         "chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn(
         "with", F.explode(F.sequence(
             F.lit(0).cast("long"), (F.col("chunks") - 1).cast("long")))).select(
         "leader", F.least("chunk", "with").alias("one"), F.greatest("chunk", "with").alias("two"),
-        "chunk", "id", "at")
-    return tiled.join(sets.select("id", "n", "counts"), "id").repartition(
+        "chunk", "id", "tokens")
+    return tiled.join(sets.select("id", "n", "copies", "counts", "members"), "id").repartition(
         "leader", "one", "two").sortWithinPartitions("leader", "one", "two", "chunk").select(
-        "leader", "one", "two", "chunk", "id", "n", "counts", "at.token", "at.place").mapInArrow(
-        _near_pairs, "a long, b long").distinct()
-
+        "leader", "one", "two", "chunk", "id", "n", "copies", "counts", "members", "tokens")
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(a, b) of all pairs of described sets that link, each once with a < b."""
-    pairs = stage(_candidates(sets), "jaccard-candidates")
-    return stage(_verified(pairs, sets), "jaccard-pairs")
 
+def _found(sets: DataFrame, every: bool) -> DataFrame:
+    """Numbers of links and forest edges, or with ``every`` all links, as (id, links, other)."""
+    return stage(_tiles(sets).mapInArrow(
+        lambda batches: _links_by_tile(batches, every), "id long, links long, other long"),
+        "jaccard-found")
 
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole join: members, pairs and identities.
 
-    Members are all rows of ``docs`` as (doc_id, fp, n, set), where rows of equal sets have equal
-    ``set`` and rows without shingles none. Pairs (a, b) are all links between different sets, each
-    once, by the numbers of the identities (id, set); sets without a number have no link.
-    """
+def described_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``docs`` as (doc_id, fp, n, set), where rows of equal sets have equal ``set`` and
+    rows without shingles none; and the sets that may have links, each once, described: id, set,
+    copies (its rows), n, members, prefix and counts."""
     spark = docs.sparkSession
     own = docs.select("doc_id", fingerprint("text", "source").alias("fp"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
@@ -497,21 +542,25 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "open", F.coalesce("shared", F.lit(0)) >= F.greatest(F.lit(1), F.floor(least / 8))
     ).select("doc_id", "fp", "n", "set", "open"), "jaccard-rows")
     wanted = rows.where("open").groupBy("set").agg(F.min(F.struct(
-        doc_key().alias("k"), F.col("fp").alias("f"))).alias("at")).select(
-        "set", F.col("at.k").alias("__id"), F.col("at.f").alias("fp"))
+        doc_key().alias("k"), F.col("fp").alias("f"))).alias("at"),
+        F.count(F.lit(1)).alias("copies")).select(
+        "set", "copies", F.col("at.k").alias("__id"), F.col("at.f").alias("fp"))
     texts = own.withColumn("__id", doc_key()).join(wanted, ["__id", "fp"]).select(
-        "set", "text").dropDuplicates(["set"])
+        "set", "text", "copies").dropDuplicates(["set"])
     sets = stage(texts.mapInArrow(
         lambda batches: _describe(batches, frequent),
-        "set string, n long, members binary, prefix array<long>, counts binary").withColumn(
+        "set string, copies long, n long, members binary, prefix array<long>, counts binary"
+    ).withColumn(
         "id", F.monotonically_increasing_id()), "jaccard-sets")
-    return rows.select("doc_id", "fp", "n", "set"), _links(sets), sets.select("id", "set")
+    return rows.select("doc_id", "fp", "n", "set"), sets
 
 
 def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, fp, n_shingles, set) of every row, and all links (set_a, set_b) between
     different sets, each once: together every link of the join, copies not multiplied out."""
-    rows, links, names = linked_sets(docs)
+    rows, sets = described_sets(docs)
+    names = sets.select("id", "set")
+    links = _found(sets, every=True).select(F.col("id").alias("a"), F.col("other").alias("b"))
     named = links.join(names.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
         names.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return rows.withColumnRenamed("n", "n_shingles"), named.select("set_a", "set_b")
@@ -527,14 +576,14 @@ def join(docs: DataFrame) -> DataFrame:
     doc_id counts as larger than any. An empty table gives no rows. Only doc_id, text and source
     are read.
     """
-    rows, links, names = linked_sets(docs)
+    rows, sets = described_sets(docs)
+    found = _found(sets, every=False)
     smallest = stage(rows.where("set IS NOT NULL").groupBy("set").agg(
-        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).join(names, "set", "left"),
-        "jaccard-copies")
-    partners = links.union(links.select("b", "a")).join(
-        smallest.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(
-        F.sum("copies").alias("others"))
-    grouped = components(links, "jaccard-labels").join(partners, "id")
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).join(
+        sets.select("id", "set"), "set", "left"), "jaccard-copies")
+    partners = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("others"))
+    edges = found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    grouped = components(edges, "jaccard-labels").join(partners, "id")
     labels = stage(smallest.join(grouped, "id", "left"), "jaccard-final")
     lowest = labels.where("component IS NOT NULL").groupBy("component").agg(
         F.min("low").alias("lowest"))

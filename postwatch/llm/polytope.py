@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import forest, stage
 from .jaccard import components
 from .vectors import extent, matrix, slices, usable
 
@@ -180,26 +180,6 @@ def _first_key(a: np.ndarray, b: np.ndarray, posted: int) -> np.ndarray:
     return least
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edges (rows of two) of a spanning forest of the graph with the edges (a, b)."""
-    both, edges = np.argsort(np.r_[a, b], kind="stable"), []
-    tip, ends = np.r_[a, b][both], np.r_[b, a][both]
-    begin = np.searchsorted(tip, np.arange(n + 1))
-    seen = np.zeros(n, bool)
-    for root in np.unique(tip):
-        if seen[root]:
-            continue
-        seen[root], waiting = True, [root]
-        while waiting:
-            at = waiting.pop()
-            near = ends[begin[at]:begin[at + 1]]
-            near = np.unique(near[~seen[near]])
-            seen[near] = True
-            edges += [(int(at), int(x)) for x in near]
-            waiting += near.tolist()
-    return np.array(edges, np.int64).reshape(-1, 2)
-
-
 def _pairs(tile: np.ndarray, chunk: np.ndarray, vectors: np.ndarray, threshold: float):
     """Places (i, j) of all near pairs within tiles; rows of a tile follow each other. Pairs of one
     chunk belong to the tile of that chunk alone."""
@@ -237,7 +217,7 @@ def _verify(batches, threshold: float, posted: int, kind: str):
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        some, edges = np.flatnonzero(links), _forest(len(ids), a, b)
+        some, edges = np.flatnonzero(links), forest(len(ids), a, b)
         return pa.RecordBatch.from_pydict({
             "id": pa.array(np.r_[ids[some], ids[edges[:, 0]]], pa.int64()),
             "links": pa.array(links[some].tolist() + [None] * len(edges), pa.int64()),

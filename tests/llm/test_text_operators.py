@@ -111,6 +111,48 @@ def test_tree_join_equals_all_pairs():
     assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist())} == want and want
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_overlaps_and_homes_of_pairs(many):
+    """By pairs or by matrix, for few and for many pairs of near and of unlike lists."""
+    draw = np.random.default_rng(12)
+    base = np.sort(draw.choice(10_000, 60, replace=False)).astype(np.uint64)
+    lists = [np.unique(np.concatenate([draw.choice(base, 50, replace=False), draw.choice(
+        20_000, 5).astype(np.uint64)])) for _ in range(60 if many else 7)]
+    lists += [np.sort(draw.choice(10_000, 40, replace=False)).astype(np.uint64) for _ in range(5)]
+    a, b = np.triu_indices(len(lists), 1)
+    if not many:
+        a, b = a[::5], b[::5]
+    common = [np.intersect1d(lists[i], lists[j]) for i, j in zip(a, b)]
+    assert jaccard._overlaps(lists, a, b).tolist() == [len(c) for c in common]
+    tile = set(draw.choice(base, 25, replace=False).tolist())
+    own = [np.array([x for x in one if x in tile], np.uint64) for one in lists]
+    assert jaccard._at_home(lists, own, a, b).tolist() == [
+        len(c) > 0 and int(c[0]) in tile for c in common]
+
+
+def test_jaccard_in_many_tiles(spark, monkeypatch):
+    """A group of near copies that is cut into many tiles keeps every link, each counted once."""
+    for name, value in (("TILE", 7), ("TILE_SHINGLES", 500), ("PLAIN", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    draw = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for at in draw.choice(90, int(draw.integers(0, 4)), replace=False):
+            own[at] = f"x{i}_{at}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, source string")
+    sets = [brute.shingles(t) for t in texts]
+    links = Counter(i for i, a in enumerate(sets) for j, b in enumerate(sets)
+                    if i != j and 100 * len(a & b) >= 75 * len(a | b))
+    rows = [dict(doc_id=i, text=t, source="a") for i, t in enumerate(texts)]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links)
+            for r in jaccard.join(docs).collect()} == {
+        i: (n, c, links[i]) for i, (n, c) in enumerate(brute.components(rows))}
+
+
 def test_repeated_spans(docs, rows, nothing):
     expected = Counter((r["doc_id"], *found[:2], found[2].encode()) for r, found in zip(
         rows, brute.cut_repeats(rows)))
