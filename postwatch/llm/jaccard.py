@@ -178,7 +178,8 @@ def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
 
 def _count_shared(batches):
     """Of the packed blocks of one partition: how many of each document's prefix shingles occur in
-    any other document. A shingle comes once per block, however many documents there hold it."""
+    any other document, as one row per block with a number per document. A shingle comes once per
+    block, however many documents there hold it."""
     pa.default_memory_pool().release_unused()
     blocks, tokens, uses, slots = [], [], [], []
     for batch in batches:
@@ -201,11 +202,20 @@ def _count_shared(batches):
         flags = np.repeat(shared[at:at + len(own)], n)
         at += len(own)
         counts = np.bincount(slot[flags])
-        hit = np.flatnonzero(counts)
-        if len(hit):
+        if len(counts):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(hit), block)), pa.array(hit), pa.array(counts[hit])],
-                ["block", "slot", "shared"])
+                [pa.array([block]), pa.array([counts.astype("<i4").tobytes()], pa.binary())],
+                ["block", "shared"])
+
+
+def _sum_shared(key, table):
+    """The numbers of one block, over all partitions of its shingles."""
+    total = np.zeros(BLOCK_DOCS, np.int64)
+    for raw in table.column("shared"):
+        own = np.frombuffer(raw.as_py(), "<i4")
+        total[:len(own)] += own
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()),
+                     "shared": pa.array([total], pa.list_(pa.int64()))})
 
 
 def _describe(batches, frequent: np.ndarray):
@@ -531,14 +541,15 @@ def described_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = packed.select("block", F.explode("packed").alias("p")).select(
         "block", "p.tokens", "p.uses", "p.slots", "p.part").repartition(parts, "part").select(
         "block", "tokens", "uses", "slots").mapInArrow(
-        _count_shared, "block long, slot long, shared long").groupBy("block", "slot").agg(
-        F.sum("shared").alias("shared"))
-    rows = packed.select("block", F.posexplode(F.arrays_zip(
+        _count_shared, "block long, shared binary").groupBy("block").applyInArrow(
+        _sum_shared, "block long, shared array<long>")
+    blocks = packed.select("block", "doc_ids", "fps", "sizes", "sets").join(counts, "block", "left")
+    rows = blocks.select("shared", F.posexplode(F.arrays_zip(
         "doc_ids", "fps", "sizes", "sets")).alias("slot", "d")).select(
-        "block", F.col("slot").cast("long").alias("slot"), F.col("d.doc_ids").alias("doc_id"),
+        F.get("shared", "slot").alias("shared"), F.col("d.doc_ids").alias("doc_id"),
         F.col("d.fps").alias("fp"), F.col("d.sizes").alias("n"), F.col("d.sets").alias("set"))
     least = F.col("n") - F.floor(F.col("n") / 4)
-    rows = stage(rows.join(counts, ["block", "slot"], "left").withColumn(
+    rows = stage(rows.withColumn(
         "open", F.coalesce("shared", F.lit(0)) >= F.greatest(F.lit(1), F.floor(least / 8))
     ).select("doc_id", "fp", "n", "set", "open"), "jaccard-rows")
     wanted = rows.where("open").groupBy("set").agg(F.min(F.struct(
