@@ -23,7 +23,7 @@ from .chunks import ChunkEncoder
 from .common import SLICE_ROWS, text_slices
 
 
-#: Pre-tokens remembered in each of two generations.
+#: Pre-tokens remembered.
 PIECES = 50_000
 
 
@@ -135,21 +135,17 @@ def load_ranks(path: str, pattern: str) -> ByteBpe:
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
     bpe = load_ranks(path, pattern)
     recent: dict[str, list[int]] = {}
-    older: dict[str, list[int]] = {}
 
     def many(chunks: list[str]) -> list[list[int]]:
-        nonlocal recent, older
         if len(recent) > PIECES:
-            recent, older = {}, recent
+            recent.clear()
         out = []
         for chunk in chunks:
             ids: list[int] = []
             for piece in bpe.pattern.findall(chunk):
                 known = recent.get(piece)
                 if known is None:
-                    known = older.get(piece)
-                    if known is None:
-                        known = bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                    known = bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))
                     if len(piece) < 64:
                         recent[piece] = known
                 ids += known
@@ -180,6 +176,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), _id_lists(encoder.encode_all(part.column(1).to_pylist()))],
                     ["doc_id", "ids"])
+        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")

@@ -79,6 +79,10 @@ class ChunkEncoder:
             size += len(chunk) + len(held)
         self.held += size + _ENTRY_BYTES * len(new)
 
+    def forget(self) -> None:
+        """Give the memory back: Python workers live on between tasks."""
+        self.known, self.older, self.held = {}, {}, 0
+
     def _cut(self, text: str) -> list[str] | None:
         for held in self.unsplit:
             if held in text:

@@ -44,6 +44,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession, group: str) -> None:
+    """Remove the tables that were staged under names ``group/...``, once what is made of them has
+    been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{group}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fingerprint(*columns: str) -> Column:
     """Tells rows of one doc_id apart; rows that agree in it are copies with equal results."""
     return F.xxhash64(*(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in columns))

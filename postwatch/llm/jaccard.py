@@ -24,6 +24,8 @@ either. Four exact steps narrow the search; none drops a link:
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    SLICE_ROWS, doc_key, fingerprint, forest, split_words, stage, text_bytes,
+    SLICE_ROWS, doc_key, drop_stages, fingerprint, forest, split_words, stage, text_bytes,
 )
 from .substrings import SpanHasher, WordHasher
 
@@ -495,7 +497,7 @@ def _links_by_tile(batches, every: bool):
         yield packed([close()])
 
 
-def _tiles(sets: DataFrame) -> DataFrame:
+def _tiles(sets: DataFrame, group: str) -> DataFrame:
     """Sets that share a block, dealt to tiles (leader, one, two).
 
     A leader with more than TILE sets, or TILE_SHINGLES shingles, in its blocks has them cut into
@@ -504,9 +506,9 @@ def _tiles(sets: DataFrame) -> DataFrame:
     holders = sets.select("id", "n", F.explode("prefix").alias("token"))
     blocks = stage(holders.groupBy("token").agg(
         F.min("id").alias("leader"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select(
-        "token", "leader"), "jaccard-leaders")
+        "token", "leader"), f"{group}/leaders")
     met = stage(holders.join(blocks, "token").groupBy("leader", "id").agg(
-        F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "jaccard-blocks")
+        F.first("n").alias("n"), F.collect_list("token").alias("tokens")), f"{group}/held")
     chunks = met.groupBy("leader").agg(F.count(F.lit(1)).alias("sets"), F.greatest(
         F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias(
         "chunks")).where("sets > 1").drop("sets")
@@ -521,23 +523,23 @@ def _tiles(sets: DataFrame) -> DataFrame:
         "leader", "one", "two", "chunk", "id", "n", "copies", "counts", "members", "tokens")
 
 
-def _found(sets: DataFrame, every: bool) -> DataFrame:
+def _found(sets: DataFrame, every: bool, group: str) -> DataFrame:
     """Numbers of links and forest edges, or with ``every`` all links, as (id, links, other)."""
-    return stage(_tiles(sets).mapInArrow(
+    return stage(_tiles(sets, group).mapInArrow(
         lambda batches: _links_by_tile(batches, every), "id long, links long, other long"),
-        "jaccard-found")
+        f"{group}/found")
 
 
-def described_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def described_sets(docs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     """All rows of ``docs`` as (doc_id, fp, n, set), where rows of equal sets have equal ``set`` and
     rows without shingles none; and the sets that may have links, each once, described: id, set,
-    copies (its rows), n, members, prefix and counts."""
+    copies (its rows), n, members, prefix and counts. All but the rows is staged under ``group``."""
     spark = docs.sparkSession
     own = docs.select("doc_id", fingerprint("text", "source").alias("fp"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 text_bytes(own) // PART_BYTES)
     frequent = frequent_shingles(own)
-    packed = stage(_pack(own, parts, frequent), "jaccard-blocks")
+    packed = stage(_pack(own, parts, frequent), f"{group}/blocks")
     counts = packed.select("block", F.explode("packed").alias("p")).select(
         "block", "p.tokens", "p.uses", "p.slots", "p.part").repartition(parts, "part").select(
         "block", "tokens", "uses", "slots").mapInArrow(
@@ -562,16 +564,17 @@ def described_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         lambda batches: _describe(batches, frequent),
         "set string, copies long, n long, members binary, prefix array<long>, counts binary"
     ).withColumn(
-        "id", F.monotonically_increasing_id()), "jaccard-sets")
+        "id", F.monotonically_increasing_id()), f"{group}/sets")
     return rows.select("doc_id", "fp", "n", "set"), sets
 
 
 def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, fp, n_shingles, set) of every row, and all links (set_a, set_b) between
     different sets, each once: together every link of the join, copies not multiplied out."""
-    rows, sets = described_sets(docs)
+    group = f"jaccard-{uuid.uuid4().hex}"
+    rows, sets = described_sets(docs, group)
     names = sets.select("id", "set")
-    links = _found(sets, every=True).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    links = _found(sets, True, group).select(F.col("id").alias("a"), F.col("other").alias("b"))
     named = links.join(names.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
         names.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return rows.withColumnRenamed("n", "n_shingles"), named.select("set_a", "set_b")
@@ -587,20 +590,22 @@ def join(docs: DataFrame) -> DataFrame:
     doc_id counts as larger than any. An empty table gives no rows. Only doc_id, text and source
     are read.
     """
-    rows, sets = described_sets(docs)
-    found = _found(sets, every=False)
+    group = f"jaccard-{uuid.uuid4().hex}"
+    rows, sets = described_sets(docs, group)
+    found = _found(sets, False, group)
     smallest = stage(rows.where("set IS NOT NULL").groupBy("set").agg(
         F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).join(
-        sets.select("id", "set"), "set", "left"), "jaccard-copies")
+        sets.select("id", "set"), "set", "left"), f"{group}/copies")
     partners = found.where("links IS NOT NULL").groupBy("id").agg(F.sum("links").alias("others"))
     edges = found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    grouped = components(edges, "jaccard-labels").join(partners, "id")
-    labels = stage(smallest.join(grouped, "id", "left"), "jaccard-final")
+    grouped = components(edges, f"{group}/labels").join(partners, "id")
+    labels = stage(smallest.join(grouped, "id", "left"), f"{group}/final")
     lowest = labels.where("component IS NOT NULL").groupBy("component").agg(
         F.min("low").alias("lowest"))
     ids = stage(labels.join(lowest, "component", "left").select(
         "set", F.coalesce("lowest", "low").alias("component_id"),
         (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-ids")
+    drop_stages(docs.sparkSession, group)  # the rows and their ids are written; the rest is used up
     return rows.join(ids, "set", "left").select(
         "doc_id", "fp", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias(
