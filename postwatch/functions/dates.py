@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +28,7 @@ DATE_PATTERNS = (
     ("day-month-year-text", rf"\b\d{{1,2}}\s+{_MONTH}\s+\d{{4}}\b"),
 )
 CONTEXT_CHARS = 30
-
-
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+_FORMS = [(hint, re.compile(pattern, re.IGNORECASE)) for hint, pattern in DATE_PATTERNS]
 
 
 def _full_year(year: Column, digits: Column, now: int) -> Column:
@@ -41,125 +42,98 @@ def _full_year(year: Column, digits: Column, now: int) -> Column:
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    known = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(known, text.try_cast("date"))
-
-
-def _numeric_parts(raw: Column) -> Column:
-    pieces = F.split(raw, r"[-\s/]")
-    return F.struct(
-        *[F.try_element_at(pieces, F.lit(i)).try_cast("int").alias(n)
-          for i, n in enumerate(("a", "b", "c"), 1)],
-        F.length(F.try_element_at(pieces, F.lit(1))).alias("head"),
-        F.length(F.try_element_at(pieces, F.lit(3))).alias("tail"),
-    )
-
-
-def parse_written_date(raw: Column, hint: Column, now: int) -> Column:
-    """The date a matched text stands for, null when it is none. Numeric dates are read day first
-    unless only month first is possible."""
-    def numeric(n: Column) -> Column:
-        tail_year = _full_year(n["c"], n["tail"], now)
-        day_first = ((hint == "day-month-year") & (n["b"] <= 12)) | (n["a"] > 12)
-        return (
-            F.when((n["a"] > 31) | (n["head"] > 2),
-                   _date(_full_year(n["a"], n["head"], now), n["b"], n["c"]))
-            .when(day_first, _date(tail_year, n["b"], n["a"]))
-            .otherwise(_date(tail_year, n["a"], n["b"]))
-        )
+    two = [F.lpad(part.cast("string"), 2, "0") for part in (month, day)]
+    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), *two).try_cast("date")
 
-    def written() -> Column:
-        names = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
-        word = F.lower(F.regexp_extract(raw, r"([A-Za-z]+)", 1))
-        day = F.when(hint == "month-day-year", _number(raw, r"^\D+(\d{1,2})", 1)).otherwise(
-            _number(raw, r"^(\d{1,2})", 1)
-        )
-        return _date(_number(raw, r"(\d{4})$", 1), F.try_element_at(names, word), day)
 
-    textual = hint.isin("month-day-year", "day-month-year-text")
-    return F.when(textual, written()).otherwise(let(_numeric_parts(raw), numeric))
+def _number(digits: Column, place: int) -> Column:
+    return F.get(digits, F.lit(place)).try_cast("int")
 
 
-def _ambiguous(raw: Column, hint: Column) -> Column:
-    def swap(n: Column) -> Column:
-        a, b, c = n["a"], n["b"], n["c"]
-        return F.when(hint == "day-month-year", (a <= 12) & (b <= 12) & (a != b)).when(
-            hint == "year-month-day", (b <= 12) & (c <= 12) & (b != c)
+def _parts(raw: Column) -> Column:
+    """The numbers of a matched text in one pass: two beside a month name, else three."""
+    def read(digits: Column) -> Column:
+        return F.struct(
+            *[_number(digits, i).alias(name) for i, name in enumerate("abc")],
+            F.length(F.get(digits, F.lit(0))).alias("head"),
+            F.length(F.get(digits, F.lit(2))).alias("tail"),
         )
 
-    return F.coalesce(let(_numeric_parts(raw), swap), F.lit(False))
-
+    return let(F.regexp_extract_all(raw, F.lit(r"(?U)\d+"), F.lit(0)), read)
 
-def _matches(text: Column, hint: str, pattern: str) -> Column:
-    """Every match with its start. The pieces between matches give the positions."""
-    full = rf"(?iU){pattern}"
 
-    def located(bound: Column) -> Column:
-        found = bound["found"]
-        gaps = F.slice(bound["gaps"], F.lit(1), F.greatest(F.size(found), F.lit(1)))
-        widths = F.zip_with(
-            found, gaps, lambda match, gap: F.struct(match.alias("raw"), gap.alias("gap"))
-        )
-        start = F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<raw:string,at:int>>").alias("rows"),
-        )
+def _parsed(raw: Column, hint: Column, n: Column, now: int) -> Column:
+    def numeric() -> Column:
+        day_first = ((hint == "day-month-year") & (n["b"] <= 12)) | (n["a"] > 12)
+        year_first = (n["a"] > 31) | (n["head"] > 2)
+        year = F.when(year_first, _full_year(n["a"], n["head"], now)).otherwise(
+            _full_year(n["c"], n["tail"], now))
+        month = F.when(year_first | day_first, n["b"]).otherwise(n["a"])
+        day = F.when(year_first, n["c"]).when(day_first, n["a"]).otherwise(n["b"])
+        return F.when(n["a"].isNotNull() & n["b"].isNotNull() & n["c"].isNotNull(),
+                      _date(year, month, day))
 
-        def step(acc: Column, item: Column) -> Column:
-            begin = acc["at"] + F.length(item["gap"])
-            row = F.struct(item["raw"].alias("raw"), begin.alias("at"))
-            return F.struct(
-                (begin + F.length(item["raw"])).alias("at"),
-                F.concat(acc["rows"], F.array(row)).alias("rows"),
-            )
+    names = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
+    month = F.try_element_at(names, F.lower(F.regexp_extract(raw, r"([A-Za-z]+)", 1)))
+    written = F.when(month.isNotNull(), _date(n["b"], month, n["a"]))
+    return F.when(hint.isin("month-day-year", "day-month-year-text"), written).otherwise(numeric())
 
-        return F.aggregate(widths, start, step, lambda acc: acc["rows"])
 
-    both = F.struct(
-        F.regexp_extract_all(text, F.lit(full), F.lit(0)).alias("found"),
-        F.split(text, full, -1).alias("gaps"),
-    )
-    rows = let(both, lambda b: F.when(F.size(b["found"]) > 0, located(b)))
-    return F.transform(
-        rows,
-        lambda row: F.struct(
-            row["raw"].alias("raw"), row["at"].alias("at"), F.lit(hint).alias("hint")
-        ),
-    )
+def parse_written_date(raw: Column, hint: Column, now: int) -> Column:
+    """The date a matched text stands for, null when it is none. Numeric dates are read day first
+    unless only month first is possible."""
+    return let(_parts(raw), lambda n: _parsed(raw, hint, n, now))
+
+
+def _ambiguous(hint: Column, n: Column) -> Column:
+    a, b, c = n["a"], n["b"], n["c"]
+    return F.coalesce(
+        F.when(hint == "day-month-year", (a <= 12) & (b <= 12) & (a != b))
+        .when(hint == "year-month-day", (b <= 12) & (c <= 12) & (b != c)), F.lit(False))
+
+
+def _written_forms(text: str) -> dict[str, tuple[int, str]]:
+    """Every written form once with its first place and its form, in order of form and place."""
+    first: dict[str, tuple[int, str]] = {}
+    for hint, pattern in _FORMS:
+        for match in pattern.finditer(text):
+            first.setdefault(match.group(), (match.start(), hint))
+    return first
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per written form of every text, with the text around its first place."""
+    for batch in batches:
+        owner, places, raws, hints, contexts = [], [], [], [], []
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            for place, (raw, (at, hint)) in enumerate(_written_forms(text).items()):
+                around = text[max(at - CONTEXT_CHARS, 0):at + len(raw) + CONTEXT_CHARS]
+                owner.append(row)
+                places.append(place)
+                raws.append(raw)
+                hints.append(hint)
+                contexts.append(around.replace("\n", " "))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(places, pa.int32()),
+             *[pa.array(values, pa.string()) for values in (raws, hints, contexts)]],
+            names=[batch.schema.names[0], "pos", "raw", "hint", "context"])
 
 
 def date_candidates(
     docs: DataFrame, key: str, text: str, now_year: int
 ) -> DataFrame:
     """Date-like texts of every document, each written form once, with the parsed date, the
-    text around it and whether day and month could be swapped."""
-    nothing = F.array().cast("array<struct<raw:string,at:int,hint:string>>")
-    body = F.col(text)
-    found = F.concat(
-        *[F.coalesce(_matches(body, hint, pattern), nothing) for hint, pattern in DATE_PATTERNS]
-    )
-
-    def first_only(rows: Column) -> Column:
-        raws = F.transform(rows, lambda row: row["raw"])
-        return let(
-            F.struct(rows.alias("rows"), raws.alias("raws")),
-            lambda b: F.filter(
-                b["rows"], lambda row, at: F.array_position(b["raws"], row["raw"]) == at + 1
-            ),
-        )
-
-    guarded = F.when(body.rlike(r"(?U)\d"), found)  # most texts hold no digit at all
-    rows = docs.withColumn("_found", guarded).select(
-        key, body.alias("_text"), F.posexplode(first_only(F.col("_found"))).alias("pos", "row")
-    )
-    begin = F.greatest(F.col("row.at") - CONTEXT_CHARS, F.lit(0))
-    end = F.col("row.at") + F.length("row.raw") + CONTEXT_CHARS
-    return rows.select(
-        key, "pos", F.col("row.raw").alias("raw"), F.col("row.hint").alias("hint"),
-        parse_written_date(F.col("row.raw"), F.col("row.hint"), now_year).alias("parsed"),
-        F.replace(
-            F.substring("_text", begin + 1, end - begin), F.lit("\n"), F.lit(" ")
-        ).alias("context"),
-        _ambiguous(F.col("row.raw"), F.col("row.hint")).alias("ambiguous"),
-    )
+    text around it and whether day and month could be swapped.
+
+    SQL functions give matches without their places, so the search runs over Arrow batches: one
+    scan of a text per form, linear in its length. Texts without a digit or null stay
+    behind; reading and judging the matches is left to SQL.
+    """
+    searched = docs.select(key, text).filter(F.col(text).rlike(r"(?U)\d"))
+    kind = docs.schema[key].dataType.simpleString()
+    rows = searched.mapInArrow(
+        _found, f"`{key}` {kind}, pos int, raw string, hint string, context string")
+    raw, hint, n = F.col("raw"), F.col("hint"), F.col("_n")
+    return rows.withColumn("_n", _parts(raw)).select(
+        key, "pos", "raw", "hint", _parsed(raw, hint, n, now_year).alias("parsed"), "context",
+        _ambiguous(hint, n).alias("ambiguous"))

@@ -174,3 +174,15 @@ def test_dates_in_text_match_a_plain_search(spark):
     ]
     at = text.index("2024-06-07")
     assert rows[2].context == text[max(0, at - 30):at + 40].replace("\n", " ")
+
+
+def test_dates_of_texts_without_any(spark):
+    long = " ".join(f"{n % 28 + 1:02d}-{n % 12 + 1:02d}-{1900 + n % 200}" for n in range(50_000))
+    docs = spark.createDataFrame(
+        [(1, None), (2, ""), (3, "no date 5"), (4, "\U0001f600" * 40 + " 1-2-2003"), (5, long)],
+        "doc_id int, text string")
+    rows = dates.date_candidates(docs, "doc_id", "text", 2024).collect()
+    assert [r.context for r in rows if r.doc_id == 4] == ["\U0001f600" * 29 + " 1-2-2003"]
+    assert {r.doc_id for r in rows} == {4, 5}
+    days = [r.raw for r in rows if r.doc_id == 5 and " " not in r.raw]
+    assert sorted(days) == sorted(set(long.split()))
