@@ -75,6 +75,10 @@ def robots_allowed(
     The block with the longest matching agent name is chosen per domain first; in it the last
     matching disallow line counts, unless a longer allow path matches as well. Both picks are
     aggregates, so a domain with very many addresses is spread over tasks.
+
+    Rules are looked up, not tried: an address is joined by equality with the rule paths that are
+    its own prefixes, of the lengths that occur in its domain. So a domain with very many rules
+    costs an address one row per rule length, and no row per rule.
     """
     known = rules if agents is None else agents
     name = user_agent.lower()
@@ -96,18 +100,22 @@ def robots_allowed(
     picked = first.join(chosen, "domain", "left").select(
         "domain", F.coalesce("block", "_first").alias("block")
     )
-    active = rules.filter(F.col("rule") != "crawl-delay").join(picked, ["domain", "block"]).select(
-        "domain", "rule", F.col("path").alias("rule_path"), "line_no"
+    # one row per path of the chosen block, with the last line that allows and that refuses it
+    active = rules.filter(F.col("rule") != "crawl-delay").join(picked, ["domain", "block"])
+    lines = active.groupBy("domain", F.col("path").alias("_prefix")).agg(
+        F.max(F.when(F.col("rule") == "disallow", F.col("line_no"))).alias("_no_line"),
+        F.max(F.when(F.col("rule") == "allow", F.col("line_no"))).alias("_yes_line"),
     )
-    hits = urls.join(active, "domain").filter(F.col("path").startswith(F.col("rule_path")))
-
-    def last(kind: str) -> Column:
-        is_kind = F.col("rule") == kind
-        return F.max_by(
-            F.when(is_kind, F.col("rule_path")), F.when(is_kind, F.col("line_no"))
-        )
-
-    best = hits.groupBy("url_id").agg(last("disallow").alias("_no"), last("allow").alias("_yes"))
+    lengths = lines.groupBy("domain").agg(
+        F.sort_array(F.collect_set(F.length("_prefix"))).alias("_lengths"))
+    # every address offers the prefixes that are as long as some rule of its domain
+    fitting = F.filter("_lengths", lambda n: n <= F.length("path"))
+    prefixes = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
+    offered = urls.select("url_id", "domain", "path").join(lengths, "domain").select(
+        "url_id", "domain", F.explode(prefixes).alias("_prefix"))
+    hits = offered.join(lines, ["domain", "_prefix"])
+    best = hits.groupBy("url_id").agg(
+        F.max_by("_prefix", "_no_line").alias("_no"), F.max_by("_prefix", "_yes_line").alias("_yes"))
     decided = urls.join(best, "url_id", "left")
     refused = F.col("_no").isNotNull() & ~F.coalesce(
         F.length("_yes") > F.length("_no"), F.lit(False)

@@ -172,3 +172,39 @@ def test_cleared_state_and_quarantine(spark):
         spark.createDataFrame([(dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 20),)],
                               "created_at timestamp_ntz"),
         F.lit("2024-01-21").cast("timestamp_ntz")).count() == 1
+
+
+def test_robots_lookup_equals_trying_every_rule(spark):
+    """One domain holds nearly all rules and addresses; paths nest, repeat, are empty or null."""
+    import random
+
+    rng = random.Random(5)
+
+    def path():
+        return "/" + "/".join(rng.choice(["a", "b", "ab", "é", "\U0001f600"])
+                              for _ in range(rng.randrange(6)))
+
+    rules = [("hot", 1, "*", rng.choice(["allow", "disallow"]), path(), n) for n in range(1500)]
+    rules += [("hot", 1, "*", "allow", "", 1500), ("hot", 2, "else", "disallow", "/", 1501),
+              ("cold", 1, "*", "disallow", "/a", 1), ("cold", 1, "*", "crawl-delay", "/b", 2)]
+    asked = [(n, "hot", path()) for n in range(2000)]
+    asked += [(2000, "cold", "/ab"), (2001, "cold", "/b"), (2002, "none", "/"),
+              (2003, "hot", None), (2004, "hot", "")]
+    decided = robots.robots_allowed(
+        spark.createDataFrame(asked, "url_id int, domain string, path string"),
+        spark.createDataFrame(
+            rules, "domain string, block int, user_agent string, rule string, path string, "
+                   "line_no int"), "somebot")
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith(path" not in plan and "NestedLoop" not in plan
+
+    def allowed(domain, text):
+        hits = [(kind, rule) for d, block, _, kind, rule, _ in rules
+                if d == domain and block == 1 and text is not None and text.startswith(rule)]
+        no = [rule for kind, rule in hits if kind == "disallow"]
+        yes = [rule for kind, rule in hits if kind == "allow"]
+        return not no or bool(yes and len(yes[-1]) > len(no[-1]))
+
+    got = {r.url_id: r.allowed for r in decided.collect()}
+    assert got == {n: allowed(domain, text) for n, domain, text in asked}
+    assert len(set(got.values())) == 2
