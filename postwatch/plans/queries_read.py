@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, calendar, filters, history, joins, paging, search
+from ..operators import (
+    aggregates, calendar, filters, history, joins, paging, search, search_index,
+)
+from ..session import new_folder
+from ..sources.versions import VersionStore
 from .registry import query
 from .views import AS_OF, as_of
 
@@ -104,6 +108,60 @@ def _(v):
     return found.select("job_id", F.round("similarity", 5).alias("similarity"))
 
 
+def search_store(v):
+    """An index that was built while a quarter of the jobs was missing, a fifth had other titles
+    and a seventh other companies, and was then brought up to date."""
+    store, k = VersionStore(v.spark, new_folder(v.spark, "search")), F.col("job_id")
+    now = v.job()
+    old = now.filter(k % 4 != 3).withColumn(
+        "title", F.when(k % 5 == 0, F.concat(F.lit("urgent small "), "title")).otherwise(
+            F.col("title"))
+    ).withColumn("company_id", F.when(k % 7 == 0, F.col("company_id") + 1).otherwise(
+        F.col("company_id")))
+    gone = old.filter(k % 9 == 0).withColumn("job_id", -1 - k)  # jobs that will be purged
+    was = old.unionByName(gone)
+    exams = joins.with_body(v.exam(), v.body())
+    store.commit(0, search_index.index_tables(was, v.company(), exams), keys=search_index.KEYS)
+    tables, buckets = search_index.changed_jobs(store, was, now)
+    store.commit(1, tables, buckets=buckets)
+    return store
+
+
+@query("job_search_indexed", "P7 F11 J1 M1", f"""
+WITH scored AS (
+  SELECT job_id, title, c.name AS company_name,
+    CAST({similarity_sql('title', "'small gear urgent'")}
+    + {similarity_sql('c.name', "'small gear urgent'")}
+    + {similarity_sql('department', "'small gear urgent'")} AS DOUBLE) AS s
+  FROM v_job j JOIN v_company c USING (company_id))
+SELECT job_id, title, company_name, round(s, 5) AS similarity FROM scored WHERE s > 0.1""")
+def _(v):
+    found = search_index.search_jobs(search_store(v), v.job(), v.company(), "small gear urgent")
+    return found.select("job_id", "title", "company_name",
+                        F.round("similarity", 5).alias("similarity"))
+
+
+@query("company_search_indexed", "P8 F11", f"""
+WITH scored AS (SELECT company_id, name,
+  CAST({similarity_sql('name', "'customer 12'")} AS DOUBLE) AS s FROM v_company)
+SELECT company_id, name, round(s, 5) AS similarity FROM scored WHERE s > 0.1""")
+def _(v):
+    found = search_index.search_companies(search_store(v), v.company(), "customer 12")
+    return found.select("company_id", "name", F.round("similarity", 5).alias("similarity"))
+
+
+@query("exam_search_indexed", "P16 F11", f"""
+WITH scored AS (SELECT exam_id, name, greatest(
+  CAST({similarity_sql('name', "'blue gear'")} AS DOUBLE),
+  CAST({similarity_sql('short_name', "'blue gear'")} AS DOUBLE),
+  CAST({similarity_sql('body_name', "'blue gear'")} AS DOUBLE)) AS s
+  FROM v_exam JOIN v_body USING (body_id))
+SELECT exam_id, name, round(s, 5) AS similarity FROM scored WHERE s >= 0.3""")
+def _(v):
+    found = search_index.search_exams(search_store(v), v.exam(), v.body(), "blue gear")
+    return found.select("exam_id", "name", F.round("similarity", 5).alias("similarity"))
+
+
 @query("job_search_short", "P7", """
 SELECT job_id, title FROM v_job j JOIN v_company c USING (company_id)
 WHERE contains(lower(title), 'ge') OR contains(lower(c.name), 'ge')

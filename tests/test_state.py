@@ -440,3 +440,43 @@ def test_repeated_runs_are_dropped_within_the_horizon(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
     kept = streaming.run_to_table(streaming.dedupe_runs(stream), "dedupe").collect()
     assert sorted(r.company_id for r in kept) == [1, 2]
+
+
+def test_search_index_follows_the_job_table(spark, tmp_path):
+    """Searches by posting lists equal searches of all rows, before and after changes."""
+    from postwatch.operators import search, search_index
+
+    companies = spark.createDataFrame(
+        [("c1", "Blue Gear Works", "s1"), ("c2", "Nord", "s2"), ("c3", None, "s3"),
+         ("c4", "Gear", "s4")],
+        "company_id string, name string, slug string")
+    schema = "job_id string, company_id string, title string, department string"
+    before = spark.createDataFrame(
+        [(f"j{n}", "c2", "driver gear", None) for n in range(300)]  # one piece in most rows
+        + [("a", "c1", "Cook", ""), ("b", "c3", None, "Blue team"), ("e", "c4", "", "x")], schema)
+    after = before.filter("job_id NOT IN ('j1', 'e')").withColumn(
+        "title", F.when(F.col("job_id") == "j2", "blue gear").otherwise(F.col("title"))
+    ).withColumn(
+        "company_id", F.when(F.col("job_id") == "a", "c2").otherwise(F.col("company_id"))
+    ).unionByName(spark.createDataFrame([("n", "c4", "Bluest", "Gear box")], schema))
+    store = VersionStore(spark, str(tmp_path / "index"))
+    store.commit(0, search_index.index_tables(before, companies), keys=search_index.KEYS)
+
+    def same(jobs, text):
+        mine = search_index.search_jobs(store, jobs, companies, text)
+        direct = search.search_jobs(jobs, companies, text)
+        assert set(mine.columns) == set(direct.columns)
+        pick = [c for c in ("job_id", "company_name", "similarity") if c in direct.columns]
+        rows = [r[:] for r in mine.select(*pick).collect()]
+        assert rows == [r[:] for r in direct.select(*pick).collect()]
+        return len(rows)
+
+    assert same(before, "blue gear") > 300 and same(before, "qqq") == 0
+    tables, buckets = search_index.changed_jobs(store, before, before)
+    assert not tables and not buckets
+    tables, buckets = search_index.changed_jobs(store, before, after)
+    assert len(buckets["search_grams"]) < 64 and len(buckets["search_owners"]) <= 3
+    store.commit(1, tables, buckets=buckets)
+    assert same(after, "blue gear") > 300 and same(after, "bl") >= 0 and same(after, "--- --") >= 0
+    got = search_index.search_companies(store, companies, "gear").select("company_id").collect()
+    assert [r[0] for r in got] == ["c4", "c1"]
