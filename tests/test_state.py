@@ -388,12 +388,20 @@ def test_streamed_ingest_equals_batches(spark, tmp_path):
         spark.createDataFrame(
             [(1, "greenhouse", document(i), PAST)], streaming.RAW_SCHEMA
         ).coalesce(1).write.parquet(str(tmp_path / f"feeds/{i}"))
+    named = companies(spark).withColumn("name", F.lit("Blue Works"))
     query = streaming.stream_ingest(
-        spark, str(tmp_path / "feeds/*"), companies(spark), stored(spark, {}, {}),
-        str(tmp_path / "state"), str(tmp_path / "progress"), files_per_batch=1)
+        spark, str(tmp_path / "feeds/*"), named, stored(spark, {}, {}),
+        str(tmp_path / "state"), str(tmp_path / "progress"), files_per_batch=1, indexed=True)
     query.awaitTermination()
     store = VersionStore(spark, str(tmp_path / "state"))
     assert store.versions() == [0, 1, 2]
+    from postwatch.operators import search_index
+
+    fresh = search_index.index_tables(store.read("jobs"), named)
+    for name, rows in fresh.items():  # the index that grew along is the index of the final jobs
+        columns = rows.columns
+        assert sorted(map(tuple, store.read(name).select(columns).collect())) == sorted(
+            map(tuple, rows.collect()))
     assert sorted((r.source_job_id, r.title) for r in store.read("jobs").collect()) == [
         ("S1", "N1"), ("S2", "T2"), ("S5", "N5")]
     assert store.read("events").count() == 1 and store.manifest()["facts"] == {"top_id": 3}
