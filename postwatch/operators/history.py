@@ -101,6 +101,24 @@ def rate_audit(requests: DataFrame, per_minute: int, ts: str = "ts",
     )
 
 
+def request_turns(
+    requests: DataFrame, per_minute: int | None, key: str, ts: str = "ts", domain: str = "domain"
+) -> DataFrame:
+    """Every request with its turn in the fixed minute of its domain and whether that is over the
+    budget; without a positive budget none is. Equal times go by ``key``.
+
+    The minute is numbered second by second, so a domain that gets very many requests in one
+    minute is spread over tasks.
+    """
+    minute = F.date_trunc("minute", ts).cast("timestamp_ntz")
+    turns = with_running_sum(
+        requests.withColumn("minute", minute), [domain, "minute"], [ts, key], F.lit(1), "turn",
+        time_chunk(ts, "second"),
+    )
+    limited = per_minute is not None and per_minute > 0
+    return turns.withColumn("over_limit", F.col("turn") > per_minute if limited else F.lit(False))
+
+
 def unique_slugs(df: DataFrame, existing: DataFrame, key: str, base: str) -> DataFrame:
     """Slugs with -1, -2 … where the base is taken, first come (by ``key``) first served.
 

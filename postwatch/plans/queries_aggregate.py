@@ -236,6 +236,21 @@ def _(v):
     return history.rate_audit(requests, 1)
 
 
+@query("request_turns", "W12", """
+SELECT event_id, 'd' || user_id % 5 AS domain, date_trunc('hour', ts) AS minute,
+  row_number() OVER w AS turn, row_number() OVER w > 2 AS over_limit
+FROM (SELECT event_id, user_id, date_trunc('hour', ts) + to_seconds(event_id % 60) AS ts FROM events)
+WINDOW w AS (PARTITION BY user_id % 5, date_trunc('hour', ts) ORDER BY ts, event_id)""")
+def _(v):
+    """Requests of five domains, moved into the first minute of their hour so that turns are long."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    requests = v.table("events").select(
+        "event_id", F.concat(F.lit("d"), F.col("user_id") % 5).alias("domain"),
+        (hour + F.make_dt_interval(secs=F.col("event_id") % 60)).alias("ts"))
+    return history.request_turns(requests, 2, "event_id").select(
+        "event_id", "domain", "minute", "turn", "over_limit")
+
+
 @query("unique_slugs", "W8", """
 WITH existing AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '-')
     ELSE replace(p_name, ' ', '-') || '-' || (p_partkey % 40) END AS slug FROM part),

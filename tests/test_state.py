@@ -488,3 +488,16 @@ def test_search_index_follows_the_job_table(spark, tmp_path):
     assert same(after, "blue gear") > 300 and same(after, "bl") >= 0 and same(after, "--- --") >= 0
     got = search_index.search_companies(store, companies, "gear").select("company_id").collect()
     assert [r[0] for r in got] == ["c4", "c1"]
+
+
+def test_request_turns(spark):
+    at = dt.datetime(2024, 5, 1, 10, 0, 59)
+    rows = [("a", at, 2), ("a", at, 1), ("a", at - dt.timedelta(seconds=59), 3),
+            ("a", at + dt.timedelta(seconds=1), 4), ("b", at, 5)]
+    requests = spark.createDataFrame(rows, "domain string, ts timestamp_ntz, n int")
+    turns = {r.n: (r.turn, r.over_limit)
+             for r in history.request_turns(requests, 2, "n").collect()}
+    assert turns == {3: (1, False), 1: (2, False), 2: (3, True), 4: (1, False), 5: (1, False)}
+    for budget in (None, 0):
+        assert not any(r.over_limit for r in history.request_turns(
+            requests, budget, "n").collect())
