@@ -341,6 +341,49 @@ def _(v):
     return filters.lookup(v.job(), "job_id", 77).select("job_id", "title", "slug")
 
 
+@query("job_detail", "P26 J3 S10", """
+WITH mine AS (SELECT DISTINCT job_id FROM v_saved WHERE user_id = 7)
+SELECT j.job_id, j.slug, title, c.name AS company_name, location_raw, work_mode, job_type,
+  department, posted_at, apply_url, mine.job_id IS NOT NULL AS is_saved,
+  'about ' || title AS description, '<p>about ' || title || '</p>' AS description_html_sanitized,
+  source_url, 'senior' AS experience_level, extraction_confidence, last_seen_at AS scraped_at,
+  'https://site.example.org/jobs/' || j.slug AS canonical_url, title AS posting_title,
+  '<p>about ' || title || '</p>' AS posting_text, c.name AS posting_company
+FROM v_job j JOIN v_company c USING (company_id) LEFT JOIN mine ON mine.job_id = j.job_id
+WHERE status = 'open' AND is_published AND NOT j.is_deleted""")
+def _(v):
+    from ..sources.exports import project_job_detail
+
+    about = F.concat(F.lit("about "), F.col("title"))
+    jobs = v.job().drop("salary_min", "salary_max").withColumns({
+        "description": about, "experience_level": F.lit("senior"),
+        "description_html_sanitized": F.concat(F.lit("<p>"), about, F.lit("</p>")),
+    })
+    live = joins.with_is_saved(filters.live_jobs(jobs), v.saved(), 7)
+    shown = project_job_detail(live, v.company(), "https://site.example.org")
+    found = F.from_json("structured_data", "title string, description string, "
+                                           "hiringOrganization struct<name:string>")
+    return shown.withColumn("_s", found).select(
+        "job_id", "slug", "title", F.col("company.name").alias("company_name"), "location_raw",
+        "work_mode", "job_type", "department", "posted_at", "apply_url", "is_saved",
+        "description", "description_html_sanitized", "source_url", "experience_level",
+        "extraction_confidence", "scraped_at", "canonical_url",
+        F.col("_s.title").alias("posting_title"), F.col("_s.description").alias("posting_text"),
+        F.col("_s.hiringOrganization.name").alias("posting_company"))
+
+
+@query("company_detail", "P26 A8", """
+WITH counted AS (
+  SELECT company_id, count(*) FILTER (status = 'open' AND is_published AND NOT is_deleted) AS n
+  FROM v_job GROUP BY company_id)
+SELECT name, slug, domain, industry, coalesce(n, 0) AS open_jobs_count, career_url, is_verified
+FROM v_company LEFT JOIN counted USING (company_id)""")
+def _(v):
+    from ..sources.exports import project_company_detail
+
+    return project_company_detail(v.company(), v.job())
+
+
 @query("job_list_projection", "P26 J3", """
 WITH mine AS (SELECT DISTINCT job_id FROM v_saved WHERE user_id = 7)
 SELECT j.job_id, j.slug, title, c.name AS company_name, c.slug AS company_slug,
