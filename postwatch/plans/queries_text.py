@@ -369,6 +369,17 @@ def _(v):
     return found.select("doc_id", "raw")
 
 
+@query("clamped_confidence", "F10", """
+SELECT event_id, CAST(CASE WHEN event_id % 7 = 0 THEN 0
+  ELSE greatest(0, least(100, event_id % 251 - 60)) END AS INTEGER) AS confidence FROM events""")
+def _(v):
+    """Claimed confidences from -60 to 190 as texts; every seventh is no number, or missing."""
+    k = F.col("event_id")
+    claimed = F.when(k % 14 == 0, F.lit(None)).when(k % 7 == 0, F.lit("high")).otherwise(
+        (k % 251 - 60).cast("string"))
+    return v.table("events").select("event_id", texts.clamp_confidence(claimed).alias("confidence"))
+
+
 @query("job_slugs", "F9 M28", r"""
 SELECT job_id, left(trim(regexp_replace(regexp_replace(lower(title || '-' || c.name || '-'
   || location_raw), '[^a-z0-9_\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-_'), 311)
