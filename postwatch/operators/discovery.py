@@ -222,25 +222,29 @@ def guess_candidates(companies: DataFrame, pages: DataFrame, known: DataFrame) -
              for p in COMMON_PATHS]
     subs = [(F.concat(F.lit(f"https://{s}."), base, F.lit("/")), "subdomain_guess")
             for s in urls.CAREER_SUBDOMAINS]
-    pairs = F.array(*[F.struct(u.alias("guess"), F.lit(o).alias("kind")) for u, o in paths + subs])
-    rows = companies.filter(F.col("domain") != "").select(
-        "company_id", F.explode(pairs).alias("_g")
-    ).select("company_id", "_g.*").withColumn("url", candidate_url("guess"))
-    fresh = rows.groupBy("company_id", "url").agg(F.min("kind").alias("kind")).join(
-        known.select("company_id", "url"), ["company_id", "url"], "left_anti"
+    guesses = F.array(*[F.struct(u.alias("guess"), F.lit(o == "common_path").alias("by_path"))
+                        for u, o in paths + subs])
+    # made canonical inside the list, so that no filter further on is moved below and does it again
+    pairs = F.transform(guesses, lambda g: F.struct(
+        candidate_url(g["guess"]).alias("url"), g["by_path"].alias("by_path")))
+    # dealt by company before the addresses are written, so that grouping them moves nothing
+    rows = companies.filter(F.col("domain") != "").select("company_id", "domain").repartition(
+        "company_id"
+    ).select("company_id", F.explode_outer(pairs).alias("_g")).select("company_id", "_g.*")
+    # sizes are guessed from files here, too low for texts made from a key: never broadcast
+    fresh = rows.groupBy("company_id", "url").agg(F.bool_or("by_path").alias("by_path")).join(
+        known.select("company_id", "url").hint("merge"), ["company_id", "url"], "left_anti"
     )
     answers = pages.groupBy(candidate_url("url").alias("url")).agg(
         F.min("status").alias("_status")
     )
-    ok = fresh.join(answers, "url").filter(
+    ok = fresh.join(answers.hint("merge"), "url").filter(
         F.col("_status").between(200, 299)
-        | ((F.col("kind") == "common_path") & F.col("_status").between(200, 399))
+        | (F.col("by_path") & F.col("_status").between(200, 399))
     )
-    by_path = candidates(ok.filter(F.col("kind") == "common_path"), F.col("url"), "common_path",
-                         F.lit("common path probe"))
-    by_host = candidates(ok.filter(F.col("kind") != "common_path"), F.col("url"),
-                         "subdomain_guess", F.lit("subdomain guess"))
-    return by_path.unionByName(by_host)
+    return candidates(
+        ok, F.col("url"), F.when(F.col("by_path"), "common_path").otherwise("subdomain_guess"),
+        F.when(F.col("by_path"), "common path probe").otherwise("subdomain guess"))
 
 
 def merge_candidates(raw: DataFrame) -> DataFrame:
