@@ -185,18 +185,19 @@ def sitemap_pages(locs: DataFrame, roots: DataFrame) -> DataFrame:
     ``roots``: company_id, doc_url, pos of the documents to start from; ``locs``: doc_url,
     is_index, pos, loc of all landed documents.
     """
+    # all sides grow with the companies, and their sizes are guessed too low: never broadcast
     docs = locs.select("doc_url", "is_index").distinct()
     start = roots.select("company_id", candidate_url("doc_url").alias("_key"), "pos")
     landed = docs.withColumn("_key", candidate_url("doc_url"))
-    top = start.join(landed, "_key").select(
+    top = start.join(landed.hint("merge"), "_key").select(
         "company_id", "doc_url", "is_index", F.struct("pos", F.lit(-1)).alias("_order")
     )
     children = top.filter("is_index").join(
-        locs.select("doc_url", "pos", "loc"), "doc_url"
+        locs.select("doc_url", "pos", "loc").hint("merge"), "doc_url"
     ).select(
         "company_id", candidate_url("loc").alias("_key"),
         F.struct(F.col("_order.pos").alias("pos"), F.col("pos").alias("col2")).alias("_order"),
-    ).join(landed, "_key").select("company_id", "doc_url", "is_index", "_order")
+    ).join(landed.hint("merge"), "_key").select("company_id", "doc_url", "is_index", "_order")
     # an index document uses up one of the three documents itself
     chosen = top_per_key(
         top.unionByName(children), ["company_id"], [F.col("_order"), F.col("doc_url")],
@@ -204,7 +205,7 @@ def sitemap_pages(locs: DataFrame, roots: DataFrame) -> DataFrame:
     ).filter(~F.col("is_index"))
     listed = locs.filter(F.col("pos") < SITEMAP_URLS)
     return chosen.select("company_id", "doc_url").join(
-        listed.select("doc_url", "loc"), "doc_url"
+        listed.select("doc_url", "loc").hint("merge"), "doc_url"
     )
 
 
@@ -551,7 +552,7 @@ def with_sitemap_flag(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     listed = leaves.select(
         "company_id", candidate_url("loc").alias("url"), F.lit(True).alias("_listed")
     ).distinct()
-    return rows.join(listed, ["company_id", "url"], "left").withColumn(
+    return rows.join(listed.hint("merge"), ["company_id", "url"], "left").withColumn(
         "in_sitemap", F.coalesce("in_sitemap", "_listed")
     ).drop("_listed")
 

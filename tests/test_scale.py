@@ -31,3 +31,20 @@ def test_guesses_are_not_broadcast(spark):
     assert sorted(map(tuple, rows)) == [
         (4, "https://c4.example.org/careers", "common_path", "common path probe"),
         (5, "https://jobs.c5.example.org", "subdomain_guess", "subdomain guess")]
+
+
+def test_sitemaps_are_not_broadcast(spark):
+    site = F.concat(F.lit("https://"), "domain")
+    index = F.concat(F.lit("<sitemapindex><loc>"), site, F.lit("/a.xml</loc></sitemapindex>"))
+    leaf = F.concat(F.lit("<urlset><loc>"), site, F.lit("/careers/</loc></urlset>"))
+    docs = firms(spark)
+    bodies = docs.select(F.concat(site, F.lit("/sitemap.xml")).alias("doc_url"), index.alias(
+        "body")).unionByName(docs.select(F.concat(site, F.lit("/a.xml")).alias("doc_url"),
+                                         leaf.alias("body")))
+    roots = docs.select("company_id", F.concat(site, F.lit("/sitemap.xml")).alias("doc_url"),
+                        F.lit(0).alias("pos"))
+    leaves = discovery.sitemap_pages(sitemap_locs(bodies), roots)
+    found = discovery.with_sitemap_flag(discovery.sitemap_candidates(leaves), leaves)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert sorted(map(tuple, found.select("company_id", "url", "in_sitemap").collect())) == [
+        (k, f"https://c{k}.example.org/careers", True) for k in range(6)]
