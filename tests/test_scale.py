@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from postwatch.operators import discovery
+from postwatch.functions.texts import fold_ascii
+from postwatch.operators import discovery, ordered, search_index
 from postwatch.sources.sitemaps import sitemap_locs
 
 
@@ -48,3 +49,29 @@ def test_sitemaps_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(found)
     assert sorted(map(tuple, found.select("company_id", "url", "in_sitemap").collect())) == [
         (k, f"https://c{k}.example.org/careers", True) for k in range(6)]
+
+
+def test_chains_of_null_keys_cross_chunks_and_small_ones_stay_whole(spark):
+    rows = [(k if k < 3 else None, None if k < 3 else "r", k * 100 + i, i)
+            for k in range(4) for i in range(3 if k else 40)]
+    df = spark.createDataFrame(rows, "a int, b string, at long, v int")
+    out = ordered.with_neighbour(df, ["a", "b"], ["at"], "v", "was",
+                                 ordered.number_chunk("at", 7), whole=10)
+    assert sorted((r.at, r.was) for r in out.collect()) == sorted(
+        (at, v - 1 if v else None) for _, _, at, v in rows)
+
+
+def test_folding_takes_few_texts_at_a_time(spark):
+    texts = ["é" * 3 + "a", "plain", None, "ß中x"] * 300
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = [r.f for r in df.select("i", fold_ascii("t").alias("f")).orderBy("i").collect()]
+    assert got == ["eeea", "plain", None, "x"] * 300
+
+
+def test_index_moves_one_row_per_text(spark):
+    rows = spark.createDataFrame([(1, "blue gear"), (1, "blue gear"), (2, "gear")],
+                                 "job_id long, title string")
+    grams = search_index.postings(rows, "job_id", {"job.title": "title"}).distinct()
+    text = plan(grams)
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
+    assert grams.count() == 10 + 5
