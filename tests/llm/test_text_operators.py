@@ -349,6 +349,74 @@ def test_exchange_groups_words_by_neighbours():
     assert not set(after[:20:2]) & set(after[1:20:2])
 
 
+def test_words_moved_at_once_take_the_class_of_the_exchange():
+    """Alone, each word goes where the exchange of one word puts it, from any class."""
+    draw = np.random.default_rng(3)
+    pairs = draw.integers(0, 60, (class_lm.TOTAL, class_lm.TOTAL))
+    left, right = draw.poisson(0.1, (2, 200, class_lm.TOTAL))
+    left[:, 5] += 1
+    right[:, class_lm.END] += 1
+    old = draw.integers(0, class_lm.END, 200)
+    for word in range(200):  # bigrams count the words themselves
+        pairs[old[word]] += right[word]
+        pairs[:, old[word]] += left[word]
+    alone = [class_lm.exchange(old[w:w + 1], left[w:w + 1], right[w:w + 1], pairs)[0]
+             for w in range(200)]
+    assert class_lm.exchange_at_once(old, left, right, pairs).tolist() == alone
+    assert (old != alone).any()
+
+
+def test_every_training_word_is_clustered(spark, monkeypatch):
+    """Words without a number, too, leave the rare class for one that fits their neighbours, and
+    the scores are those of the classes all words have then."""
+    n_words = class_lm.NUMBERED + 15_000
+    phrases = [f"in a{i} the" if i % 2 else f"of b{i} by" for i in range(n_words)]
+    texts = [" ".join(phrases[i::100]) for i in range(100)] + ["in new the", None, "in a1 the"]
+    held = [brute.crc(i) % 7 == 2 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tables, stage = {}, class_lm.stage
+    monkeypatch.setattr(class_lm, "stage", lambda df, name: tables.setdefault(
+        name, stage(df, name)))
+    got = {r.doc_id: r.score for r in class_lm.score(docs).collect()}
+
+    counts = Counter(w for t, h in zip(texts, held) if t and not h for w in t.split())
+    moved = {r["word"]: r for r in tables["lm-moved"].collect()}
+    own = list(counts)
+    keys = class_lm.WordHasher()([w.encode() for w in own]).view(np.int64).tolist()
+    unnumbered = 0
+    by_kind = {"a": Counter(), "b": Counter()}
+    for word, key in zip(own, keys):
+        if key in moved:
+            assert moved[key]["n"] == counts[word]
+            if moved[key]["code"] == class_lm.NUMBERED:
+                unnumbered += 1
+                by_kind[word[0]][moved[key]["class"]] += 1
+    assert len(moved) == len(counts) - class_lm.CLUSTERED
+    assert unnumbered == len(counts) - class_lm.NUMBERED
+    assert class_lm.RARE not in by_kind["a"] + by_kind["b"]
+    assert not set(by_kind["a"]) & set(by_kind["b"])
+
+    paths = {r.doc_id: list(r.path) for r in tables["lm-paths"].collect()}
+    in_class, pairs = Counter({class_lm.RARE: 1}), np.zeros((class_lm.TOTAL,) * 2, int)
+    class_of = {}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        assert len(words) == len(paths[i])
+        for word, c in zip(words, paths[i]):
+            assert class_of.setdefault(word, c) == c
+        if not held[i]:
+            path = [class_lm.END, *paths[i], class_lm.END]
+            np.add.at(pairs, (path[:-1], path[1:]), 1)
+    seen = {w: n + (class_of[w] == class_lm.RARE) for w, n in counts.items()}
+    for word, n in seen.items():
+        in_class[class_of[word]] += n
+    steps = class_lm.log_transitions(pairs)
+    for i, text in enumerate(texts):
+        path = [class_lm.END, *paths[i], class_lm.END]
+        assert got[i] == pytest.approx(steps[path[:-1], path[1:]].sum() + sum(
+            log10(seen.get(w, 1) / in_class[class_of[w]]) for w in (text or "").split()))
+
+
 def test_language_codes_and_predictions(spark, nothing):
     for k in range(2, 9):
         code = lang_ecoc.codewords(k)
