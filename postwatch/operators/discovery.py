@@ -62,6 +62,11 @@ def candidate_url(url: Column | str) -> Column:
                                                "$1"))
 
 
+def page_addresses(pages: DataFrame) -> DataFrame:
+    """page_id, status and ``address`` (the candidate key) of every page, one row per page."""
+    return pages.select("page_id", "status", candidate_url("url").alias("address"))
+
+
 def candidates(
     df: DataFrame, url: Column, origin: str | Column, via: Column, **evidence: Column
 ) -> DataFrame:
@@ -107,10 +112,12 @@ def _org_slug(companies: DataFrame) -> DataFrame:
 
 
 def ats_candidates(
-    companies: DataFrame, links: DataFrame, pages: DataFrame, facts: DataFrame
+    companies: DataFrame, links: DataFrame, pages: DataFrame, facts: DataFrame,
+    addresses: DataFrame | None = None,
 ) -> DataFrame:
     """Board links on home pages, and guessed board addresses that exist in the corpus and show
-    a trace of the company."""
+    a trace of the company. ``addresses`` (here and below): ``page_addresses`` of the pages, where
+    they are made already."""
     sniffed = links.filter(F.col("href").rlike(r"(?i)^https?://")).withColumn(
         "_s", urls.sniff_source("href")
     ).filter(F.col("_s.source_type").isin(*urls.ATS_TYPES))
@@ -129,7 +136,9 @@ def ats_candidates(
                             for p in BOARD_PATTERNS])).alias("guess"),
     ).filter(F.col("_slug") != "").withColumn("url", candidate_url("guess"))
     good = pages.filter(F.col("status").between(200, 299))
-    hit = guesses.join(_page_of_url(guesses, good), "url").join(
+    answers = (page_addresses(pages) if addresses is None else addresses).filter(
+        F.col("status").between(200, 299))
+    hit = guesses.join(_page_of_url(guesses, answers), "url").join(
         good.select("page_id", "html"), "page_id"
     ).join(facts.select("page_id", "has_posting"), "page_id")
     shown = F.lower(F.concat_ws(
@@ -216,7 +225,9 @@ def sitemap_candidates(leaves: DataFrame) -> DataFrame:
     )
 
 
-def guess_candidates(companies: DataFrame, pages: DataFrame, known: DataFrame) -> DataFrame:
+def guess_candidates(
+    companies: DataFrame, pages: DataFrame, known: DataFrame, addresses: DataFrame | None = None,
+) -> DataFrame:
     """Common paths and career sub-domains that answer in the corpus and are no candidates yet."""
     base = urls.registrable_domain("domain")
     paths = [(F.concat(F.lit("https://"), F.col("domain"), F.lit(p)), "common_path")
@@ -236,9 +247,10 @@ def guess_candidates(companies: DataFrame, pages: DataFrame, known: DataFrame) -
     fresh = rows.groupBy("company_id", "url").agg(F.bool_or("by_path").alias("by_path")).join(
         known.select("company_id", "url").hint("merge"), ["company_id", "url"], "left_anti"
     )
-    answers = pages.groupBy(candidate_url("url").alias("url")).agg(
-        F.min("status").alias("_status")
-    )
+    if addresses is None:
+        addresses = pages.select("status", candidate_url("url").alias("address"))
+    answers = addresses.groupBy(F.col("address").alias("url")).agg(
+        F.min("status").alias("_status"))
     ok = fresh.join(answers.hint("merge"), "url").filter(
         F.col("_status").between(200, 299)
         | (F.col("by_path") & F.col("_status").between(200, 399))
@@ -435,28 +447,33 @@ def rank_candidates(
     ).drop("_cost")
 
 
-def _page_of_url(urls_wanted: DataFrame, pages: DataFrame) -> DataFrame:
+def _page_of_url(urls_wanted: DataFrame, addresses: DataFrame) -> DataFrame:
     """Page that answered under each wanted address. Only addresses and ids are shuffled here;
     the markup is fetched by page id afterwards."""
-    slim = pages.select(candidate_url("url").alias("url"), "page_id")
+    slim = addresses.select(F.col("address").alias("url"), "page_id")
     return slim.join(urls_wanted.select("url").distinct(), "url", "left_semi").groupBy(
         "url"
     ).agg(F.min("page_id").alias("page_id"))
 
 
-def _landed(rows: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
+def _landed(
+    rows: DataFrame, pages: DataFrame, facts: DataFrame, addresses: DataFrame | None = None
+) -> DataFrame:
     """Candidates with the page that answered under their address."""
-    placed = rows.join(_page_of_url(rows, pages), "url")
+    placed = rows.join(_page_of_url(
+        rows, page_addresses(pages) if addresses is None else addresses), "url")
     return placed.join(
         pages.select("page_id", "final_url", "status", "html"), "page_id"
     ).join(facts, "page_id", "left")
 
 
-def jsonld_evidence(scored: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
+def jsonld_evidence(
+    scored: DataFrame, pages: DataFrame, facts: DataFrame, addresses: DataFrame | None = None
+) -> DataFrame:
     """JobPosting and status evidence for the five leading candidates of each company."""
     leading = _provisional(scored, PROVISIONAL, "_nth").select("company_id", "url", "origin",
                                                                 "via")
-    found = _landed(leading, pages, facts)
+    found = _landed(leading, pages, facts, addresses)
     return _evidence_rows(
         found, json_ld_jobposting=F.when(F.col("has_posting"), True),
         http_status=F.col("status"), http_200=F.when(F.col("status") < 400, True),
@@ -470,7 +487,7 @@ def _evidence_rows(found: DataFrame, **evidence: Column) -> DataFrame:
 
 def verify_evidence(
     scored: DataFrame, pages: DataFrame, facts: DataFrame, companies: DataFrame,
-    flags: DataFrame | None = None,
+    flags: DataFrame | None = None, addresses: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Evidence read off the pages of the leading candidates, and the candidates to drop since
     they land on a blocked or foreign host. With a certain board only its best page is read."""
@@ -489,7 +506,7 @@ def verify_evidence(
         "company_id", urls.registrable_domain("domain").alias("_company_domain")
     )
     found = _landed(
-        leading.select("company_id", "url", "origin", "via"), pages, facts
+        leading.select("company_id", "url", "origin", "via"), pages, facts, addresses
     ).join(firm, "company_id")
     asked = urls.host_of("url", strip_www=False)
     landed = urls.host_of(F.coalesce("final_url", "url"), strip_www=False)
@@ -566,9 +583,10 @@ def detect(
     domains = companies.select("company_id", "domain")
     # every cut below is a slim table that several later steps read
     facts = cut_lineage(facts)
+    addresses = cut_lineage(page_addresses(pages))
     links = cut_lineage(home_links(companies, pages, facts))
     early = cut_lineage(merge_candidates(
-        ats_candidates(companies, links, pages, facts).unionByName(nav_candidates(links))
+        ats_candidates(companies, links, pages, facts, addresses).unionByName(nav_candidates(links))
     ))
     flags = cut_lineage(short_circuit(score_candidates(early, domains), companies))
     rest = companies.join(
@@ -584,7 +602,7 @@ def detect(
         )
         parts.append(sitemap_candidates(leaves))
     known = reduce(lambda a, b: a.unionByName(b), parts)
-    found = merge_candidates(known.unionByName(guess_candidates(rest, pages, known)))
+    found = merge_candidates(known.unionByName(guess_candidates(rest, pages, known, addresses)))
     if leaves is not None:
         found = with_sitemap_flag(found, leaves)
     found = cut_lineage(found)
@@ -592,11 +610,11 @@ def detect(
         score_candidates(
             found.join(rest.select("company_id"), "company_id", "left_semi"), domains
         ),
-        pages, facts,
+        pages, facts, addresses,
     )
     enriched = cut_lineage(merge_candidates(found.unionByName(probed)))
     evidence, dropped = verify_evidence(
-        score_candidates(enriched, domains), pages, facts, companies, flags
+        score_candidates(enriched, domains), pages, facts, companies, flags, addresses
     )
     final = cut_lineage(merge_candidates(enriched.unionByName(evidence)).join(
         dropped, ["company_id", "url"], "left_anti"

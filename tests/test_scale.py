@@ -34,6 +34,29 @@ def test_guesses_are_not_broadcast(spark):
         (5, "https://jobs.c5.example.org", "subdomain_guess", "subdomain guess")]
 
 
+
+def test_addresses_of_pages_are_made_once(spark):
+    """Every step takes prepared addresses of the pages, and then does not look at their URLs."""
+    companies, k = firms(spark), F.col("company_id")
+    pages = companies.select(
+        k.alias("page_id"), F.concat(F.lit("HTTPS://"), "domain", F.lit(":443/careers/")).alias(
+            "url"), F.when(k % 3 == 0, 404).otherwise(200).alias("status"),
+        F.lit("<p>").alias("html"))
+    addresses = discovery.page_addresses(pages)
+    known = spark.createDataFrame([], "company_id long, url string")
+    plain = discovery.guess_candidates(companies, pages, known)
+    made = discovery.guess_candidates(companies, pages.drop("url"), known, addresses)
+    assert sorted(made.collect()) == sorted(plain.collect())
+    assert [r.company_id for r in made.orderBy("company_id").collect()] == [1, 2, 4, 5]
+    facts = pages.select("page_id", (F.col("page_id") % 2 == 0).alias("has_posting"))
+    scored = discovery.score_candidates(made, companies)
+    found = discovery.jsonld_evidence(
+        scored, pages.drop("url").withColumn("final_url", F.lit("")), facts, addresses)
+    assert sorted(map(tuple, found.select(
+        "company_id", "http_status", "json_ld_jobposting").collect())) == [
+        (1, 200, None), (2, 200, True), (4, 200, True), (5, 200, None)]
+
+
 def test_sitemaps_are_not_broadcast(spark):
     site = F.concat(F.lit("https://"), "domain")
     index = F.concat(F.lit("<sitemapindex><loc>"), site, F.lit("/a.xml</loc></sitemapindex>"))
