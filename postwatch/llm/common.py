@@ -76,15 +76,17 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
-def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of at most SLICE_ROWS rows and about SLICE_BYTES of text."""
+def text_slices(
+    batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``rows`` rows and about ``size`` bytes of text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(
         zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
-        room = (ends[start - 1] if start else 0) + SLICE_BYTES
+        room = (ends[start - 1] if start else 0) + size
         stop = int(np.searchsorted(ends, room, side="right"))
-        stop = max(start + 1, min(stop, start + SLICE_ROWS, batch.num_rows))
+        stop = max(start + 1, min(stop, start + rows, batch.num_rows))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunks import ChunkEncoder
+from .chunks import ENCODED_BYTES, ENCODED_ROWS, ChunkEncoder
 from .common import new_path, stage, text_slices
 
 #: Rows per entry of the row index, and bytes of a stripe before compression.
@@ -35,42 +36,36 @@ def _byte_letters() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> ChunkEncoder:
-    """The tokenizers library behind a memory of chunks. A chunk of Latin letters, with at most a
-    comma or full stop behind it, goes straight to the library's merge model. A text that holds an
-    added token of the vocabulary goes to the library whole, which gives that token its own id."""
+    """The tokenizers library behind a memory of chunks. A chunk of Latin letters goes straight to
+    the library's merge model. A text that holds an added token of the vocabulary goes to the
+    library whole, which gives that token its own id."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Spark task
     tokenizer = Tokenizer.from_file(path)
     added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     tokenize, letters = tokenizer.model.tokenize, _byte_letters()
-    space, marks = letters[0x20], {m: [t.id for t in tokenize(m)] for m in ".,"}
+    space = letters[0x20]
 
-    def whole(text: str) -> list[int]:
-        return tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(texts: list[str]) -> list[bytes]:
+        return [array("i", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+                for text in texts]
 
-    def many(chunks: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
+    def many(chunks: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
         hard: list[int] = []
         for at, chunk in enumerate(chunks):
-            word, tail = chunk, None
             body = chunk[1:] if chunk[0] == " " else chunk
-            if not body.isalpha():
-                tail = marks.get(chunk[-1])
-                word, body = chunk[:-1], body[:-1]
-            if body.isascii():
-                plain = body.isalpha() and (tail or word is chunk)
-                shown = f"{space}{body}" if word[0:1] == " " else body
-            else:
-                plain = body.isalpha() and max(body) < "ɐ" and (tail or word is chunk)
-                shown = plain and word.encode().decode("latin-1").translate(letters)
-            if plain:
-                ids = [t.id for t in tokenize(shown)]
-                out.append(ids + tail if tail else ids)
+            if body.isalpha() and (body.isascii() or max(body) < "ɐ"):
+                if body.isascii():
+                    shown = chunk if body is chunk else f"{space}{body}"
+                else:
+                    shown = chunk.encode().decode("latin-1").translate(letters)
+                out.append(array("i", [t.id for t in tokenize(shown)]).tobytes())
             else:
                 hard.append(at)
                 out.append(None)
         made = tokenizer.encode_batch([chunks[at] for at in hard], add_special_tokens=False)
         for at, encoding in zip(hard, made, strict=True):
-            out[at] = encoding.ids
+            out[at] = array("i", encoding.ids).tobytes()
         return out
 
     return ChunkEncoder(whole, many, unsplit=added)
@@ -84,21 +79,17 @@ def encode_ordered(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Dat
     empty texts have the end id only. Columns other than doc_id and text are not looked at.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype=np.int32).tobytes()
 
     def run(batches):
         encoder, part, pos = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in text_slices(batch, 1):
-                held = [ids + end for ids in encoder.encode_all(piece.column(1).to_pylist())]
-                offsets = np.zeros(len(held) + 1, dtype=np.int32)
-                np.cumsum([len(b) // 4 for b in held], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.frombuffer(b"".join(held), dtype=np.int32)))
+            for piece in text_slices(batch, 1, ENCODED_ROWS, ENCODED_BYTES):
+                n = piece.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), ids, pa.array([part] * len(held), pa.int32()),
-                     pa.array(np.arange(pos, pos + len(held)))], ["doc_id", "ids", "part", "pos"])
-                pos += len(held)
+                    [piece.column(0), encoder.encode_all(piece.column(1), end_id),
+                     pa.array([part] * n, pa.int32()), pa.array(np.arange(pos, pos + n))],
+                    ["doc_id", "ids", "part", "pos"])
+                pos += n
 
     ordered = (
         docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
