@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -91,6 +92,25 @@ def text_slices(
         start = stop
 
 
+def release_memory() -> None:
+    """Give back to the system what this process holds and does not use: idle Python workers stay
+    beside the busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task; then its memory goes back to the system."""
+    def whole(batches: Iterator) -> Iterator:
+        release_memory()
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def map_slices(
     df: DataFrame, step: Callable[..., dict[str, list]], schema: str, *setup: object
 ) -> DataFrame:
@@ -114,7 +134,7 @@ def map_slices(
                     [pa.array(made[f.name], type=f.type) for f in target], schema=target
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

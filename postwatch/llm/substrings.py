@@ -17,17 +17,17 @@ hash, which is as selective as 128 bits.
 
 from __future__ import annotations
 
-from itertools import compress
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    SLICE_ROWS, doc_key, fingerprint, new_path, split_words, stage, text_bytes,
+    SLICE_ROWS, doc_key, fingerprint, new_path, stage, text_bytes, text_slices, tidy,
 )
+from .words import WORDS_BYTES, Words
 
 WINDOW = 35
 ANCHOR = 8
@@ -35,8 +35,6 @@ ANCHOR = 8
 BUCKET_BYTES = 64 << 20
 
 _BASE = 0x9E3779B97F4A7C15
-_MAX_WORDS = 200_000
-
 
 #: Words that a hasher remembers.
 WORDS_KNOWN = 120_000
@@ -85,6 +83,12 @@ class SpanHasher:
         with np.errstate(over="ignore"):
             return _mixed((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts])
 
+    def every(self, width: int) -> np.ndarray:
+        """The hashes of all spans of ``width`` words."""
+        n = max(0, len(self.prefix) - width)
+        with np.errstate(over="ignore"):
+            return _mixed((self.prefix[width:] - self.prefix[:n]) * self.inverse[:n])
+
 
 def paths(lengths: np.ndarray, hashes: np.ndarray, window: int, anchor: int):
     """(document, anchor hash, content hash, start, end) of every path, starts within documents.
@@ -98,9 +102,9 @@ def paths(lengths: np.ndarray, hashes: np.ndarray, window: int, anchor: int):
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
     span = SpanHasher(hashes)
-    at = np.arange(n - anchor + 1)
-    anchors = span(at, at + anchor)
-    low = (anchors & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)  # leftmost among ties
+    anchors = span.every(anchor)
+    low = (anchors & np.uint64(0xFFFFFFFF00000000)) | np.arange(
+        len(anchors), dtype=np.uint64)  # leftmost among ties
     width, held = window - anchor + 1, 1
     least = low
     while 2 * held <= width:
@@ -128,17 +132,6 @@ def _lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def _groups(words: list[list[bytes]]):
-    """Neighbouring documents in groups of a bounded number of words (one document at least)."""
-    begin, held = 0, 0
-    for i, own in enumerate(words):
-        if i > begin and held + len(own) > _MAX_WORDS:
-            yield begin, i
-            begin, held = i, 0
-        held += len(own)
-    yield begin, len(words)
-
-
 _PATHS = ("doc_id {kind}, fp long, text string, n_words long, anchors array<long>, "
           "contents array<long>, starts array<int>, ends array<int>")
 
@@ -147,26 +140,20 @@ def _with_paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(at, SLICE_ROWS)
-                words = [split_words(t) for t in piece.column(2).to_pylist()]
-                for begin, end in _groups(words):
-                    own = words[begin:end]
-                    lengths = np.array([len(w) for w in own], np.int64)
-                    doc, key, content, start, stop = paths(
-                        lengths, hasher([w for ws in own for w in ws]), window, anchor)
-                    counts = np.bincount(doc, minlength=len(own))
-                    part = piece.slice(begin, end - begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), part.column(2), pa.array(lengths),
-                         _lists(counts, key, pa.int64()), _lists(counts, content, pa.int64()),
-                         _lists(counts, start, pa.int32()), _lists(counts, stop, pa.int32())],
-                        ["doc_id", "fp", "text", "n_words", "anchors", "contents", "starts",
-                         "ends"])
-
-    return docs.mapInArrow(run, _PATHS.format(kind=kind))
+            for part in text_slices(batch, 2, SLICE_ROWS, WORDS_BYTES):
+                words = Words(part.column(2))
+                doc, key, content, start, stop = paths(
+                    words.counts, words.hashes(), window, anchor)
+                counts = np.bincount(doc, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(2),
+                     pa.array(words.counts, pa.int64()),
+                     _lists(counts, key, pa.int64()), _lists(counts, content, pa.int64()),
+                     _lists(counts, start, pa.int32()), _lists(counts, stop, pa.int32())],
+                    ["doc_id", "fp", "text", "n_words", "anchors", "contents", "starts", "ends"])
+
+    return docs.mapInArrow(tidy(run), _PATHS.format(kind=kind))
 
 
 def _bucketed(df: DataFrame, size: int, name: str) -> DataFrame:
@@ -184,26 +171,26 @@ def _bucketed(df: DataFrame, size: int, name: str) -> DataFrame:
 def _windows(kept: DataFrame, window: int) -> DataFrame:
     """(anchor, hash, row, start, single) of every window in the wanted paths of each document."""
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.column(0)[i].as_py()
-                words = split_words(batch.column(1)[i].as_py())
-                wanted = batch.column(2)[i].as_py()
-                span = SpanHasher(hasher(words))
-                counts = np.array([w["end"] - w["start"] - window + 1 for w in wanted])
-                begin = np.repeat([w["start"] for w in wanted], counts)
-                begin = begin + np.arange(counts.sum()) - np.repeat(
-                    np.cumsum(counts) - counts, counts)
+            for part in text_slices(batch, 1, SLICE_ROWS, WORDS_BYTES):
+                words, lists = Words(part.column(1)), part.column(2)
+                wanted = lists.flatten()
+                key, uses, start, end = (wanted.field(n).to_numpy() for n in (
+                    "anchor", "n", "start", "end"))
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                counts = end.astype(np.int64) - start - window + 1
+                begin = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(
+                    counts.sum())
+                base = np.repeat((np.cumsum(words.counts) - words.counts)[owner], counts)
+                found = SpanHasher(words.hashes())(base + begin, base + begin + window)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat([w["anchor"] for w in wanted], counts)),
-                    pa.array(span(begin, begin + window).view(np.int64)),
-                    pa.array(np.full(len(begin), row)), pa.array(begin, pa.int32()),
-                    pa.array(np.repeat([w["n"] == 1 for w in wanted], counts), pa.bool_())],
+                    pa.array(np.repeat(key, counts)), pa.array(found.view(np.int64)),
+                    pa.array(np.repeat(part.column(0).to_numpy()[owner], counts)),
+                    pa.array(begin, pa.int32()), pa.array(np.repeat(uses == 1, counts))],
                     ["anchor", "hash", "row", "start", "single"])
 
     return kept.select("row", "text", "wanted").mapInArrow(
-        run, "anchor long, hash long, row long, start int, single boolean")
+        tidy(run), "anchor long, hash long, row long, start int, single boolean")
 
 
 def repeated_spans(table: DataFrame, window: int) -> DataFrame:
@@ -240,26 +227,25 @@ def _cut(table: DataFrame, join: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(at, SLICE_ROWS)
-                removed, texts = [], []
-                for text, spans in zip(piece.column(2).to_pylist(), piece.column(4).to_pylist(),
-                                       strict=True):
-                    words = split_words(text)
-                    keep = np.ones(len(words), bool)
-                    for span in spans or ():
-                        keep[span["start"]:span["end"]] = False
-                    gone = len(words) - int(keep.sum())
-                    removed.append(gone)
-                    texts.append(b" ".join(compress(words, keep.tolist()) if gone else words)
-                                 if gone or join else (text or "").encode())
+            for part in text_slices(batch, 2, SLICE_ROWS, WORDS_BYTES):
+                words, lists = Words(part.column(2)), part.column(4)
+                spans = lists.flatten()
+                held = pc.fill_null(lists.value_lengths(), 0).to_numpy()
+                base = np.repeat(np.cumsum(words.counts) - words.counts, held)
+                turn = np.zeros(len(words.starts) + 1, np.int64)
+                np.add.at(turn, base + spans.field("start").to_numpy(), 1)
+                np.add.at(turn, base + spans.field("end").to_numpy(), -1)
+                gone = np.cumsum(turn[:-1]) > 0
+                removed = np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(gone)])[
+                    np.concatenate([np.zeros(1, np.int64), np.cumsum(words.counts)])])
+                whole = (removed == 0) & (not join)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), piece.column(3),
-                     pa.array(removed, pa.int64()), pa.array(texts, pa.binary())],
+                    [part.column(0), part.column(1), part.column(3),
+                     pa.array(removed, pa.int64()), words.joined(gone, whole)],
                     ["doc_id", "fp", "n_words", "n_removed", "kept_text"])
 
     return table.select("doc_id", "fp", "text", "n_words", "spans").mapInArrow(
-        run, f"doc_id {kind}, fp long, n_words long, n_removed long, kept_text binary")
+        tidy(run), f"doc_id {kind}, fp long, n_words long, n_removed long, kept_text binary")
 
 
 def remove_repeats(
