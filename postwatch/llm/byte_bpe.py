@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ENCODED_BYTES, ENCODED_ROWS, ChunkEncoder
-from .common import SLICE_ROWS, text_slices
+from .common import SLICE_ROWS, text_slices, tidy
 
 #: Pre-tokens remembered from texts that are encoded whole.
 PIECES = 50_000
@@ -349,6 +349,27 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
     return ChunkEncoder(many, many)
 
 
+def _encoded(batches, path: str, pattern: str):
+    """doc_id and ids of batches of (doc_id, text)."""
+    encoder = _encoder(path, pattern)
+    for batch in batches:
+        for part in text_slices(batch, 1, ENCODED_ROWS, ENCODED_BYTES):
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), encoder.encode_all(part.column(1))], ["doc_id", "ids"])
+    encoder.forget()
+
+
+def _decoded(batches, path: str, pattern: str):
+    """doc_id, ids and decoded of batches of (doc_id, ids)."""
+    bpe = load_ranks(path, pattern)
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), bpe.decode(part.column(1))],
+                ["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the ids of every whole text (``ids``, without special tokens).
 
@@ -356,33 +377,26 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     for itself; an empty table gives no rows. Nothing is shuffled; chunks seen before in a Python
     worker are looked up in a memory of bounded size.
     """
-    def run(batches):
-        encoder = _encoder(path, pattern)
-        for batch in batches:
-            for part in text_slices(batch, 1, ENCODED_ROWS, ENCODED_BYTES):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), encoder.encode_all(part.column(1))], ["doc_id", "ids"])
-        encoder.forget()
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(
+        tidy(lambda batches: _encoded(batches, path, pattern)), f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """The bytes of every row's ``ids``, as ``decoded``; null ids give null bytes."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "ids").mapInArrow(
+        tidy(lambda batches: _decoded(batches, path, pattern)),
+        f"doc_id {kind}, ids array<int>, decoded binary")
 
-    def run(batches):
-        bpe = load_ranks(path, pattern)
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), bpe.decode(part.column(1))],
-                    ["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(
-        run, f"doc_id {kind}, ids array<int>, decoded binary")
+def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode`` in one Python worker: two passes in a row would hold two workers a
+    core, each with its own tables, for as long as the executor lives."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        tidy(lambda batches: _decoded(_encoded(batches, path, pattern), path, pattern)),
+        f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def ids_digest(ids: str) -> Column:
@@ -392,6 +406,6 @@ def ids_digest(ids: str) -> Column:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return encode_and_decode(docs, path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias(
             "ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    SLICE_ROWS, doc_key, drop_stages, fingerprint, forest, split_words, stage, text_bytes,
+    SLICE_ROWS, doc_key, drop_stages, fingerprint, forest, stage, text_bytes, text_slices, tidy,
 )
-from .substrings import SpanHasher, WordHasher
+from .substrings import SpanHasher
+from .words import WORDS_BYTES, Words
 
 WORDS = 5
 #: Similarity 75 / 100: of sizes n and m, 7 * overlap >= 3 * (n + m).
@@ -57,13 +58,21 @@ TILE_SHINGLES, MATRIX = 2_000_000, 4096
 _TOKEN_MASK = np.uint64((1 << 48) - 1)
 
 
-def shingle_set(words: list[bytes], hasher: WordHasher, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of all shingles; fewer words than ``size`` are one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    span, n = SpanHasher(hasher(words)), len(words)
-    start = np.arange(max(1, n - size + 1))
-    return np.unique(span(start, np.minimum(start + size, n)) ^ np.uint64(min(n, size)))
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct hashes of all shingles of each text, and its number of words; fewer words
+    than ``size`` are one shingle."""
+    words = Words(texts, lower=True)
+    span, counts = SpanHasher(words.hashes()), words.counts
+    last = np.cumsum(counts)
+    full, sets = span.every(size) ^ np.uint64(size), []
+    for begin, end in zip((last - counts).tolist(), last.tolist(), strict=True):
+        n = end - begin
+        if n >= size:
+            sets.append(np.unique(full[begin:end - size + 1]))
+        else:
+            own = np.arange(begin, begin + (n > 0))
+            sets.append(span(own, own + n) ^ np.uint64(n))
+    return sets, counts
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -89,14 +98,13 @@ def in_order(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of at least FREQUENT of SAMPLE documents, chosen by hash."""
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
-            for text in batch.column(0):
-                own = shingle_set(lowered(text.as_py()), hasher)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["token"])
+            for part in text_slices(batch, 0, SLICE_ROWS, WORDS_BYTES):
+                for own in shingle_sets(part.column(0))[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["token"])
 
     some = docs.orderBy(F.xxhash64("doc_id", "fp"), "doc_id", "fp").limit(SAMPLE).select("text")
-    found = some.mapInArrow(run, "token long").groupBy("token").count().where(
+    found = some.mapInArrow(tidy(run), "token long").groupBy("token").count().where(
         F.col("count") >= FREQUENT).select("token").toArrow()
     return np.sort(found.column("token").to_numpy().view(np.uint64))
 
@@ -111,17 +119,13 @@ def _slack(n):
     return np.maximum(1, n // 8)
 
 
-def lowered(text: str | None) -> list[bytes]:
-    return [w.lower() for w in split_words(text)]
-
-
 def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
     """One row per block of documents: their keys, set sizes, set identities, and the prefix
     shingles of the block by part, each with the number of its documents and their places."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hasher, task, serial = WordHasher(), TaskContext.get().partitionId(), 0
+        task, serial = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         words = 0
 
@@ -152,19 +156,18 @@ def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
             held, words, serial = [], 0, serial + 1
             return row
 
-        pa.default_memory_pool().release_unused()  # of earlier tasks of this worker
-        for batch in batches:
-            for at in range(batch.num_rows):
-                own = lowered(batch.column(2)[at].as_py())
-                if held and (len(held) >= BLOCK_DOCS or words + len(own) > BLOCK_WORDS):
+        for part in (p for b in batches for p in text_slices(b, 2, SLICE_ROWS, WORDS_BYTES)):
+            sets, counts = shingle_sets(part.column(2))
+            for at, (own, size) in enumerate(zip(sets, counts.tolist(), strict=True)):
+                if held and (len(held) >= BLOCK_DOCS or words + size > BLOCK_WORDS):
                     yield from pa.Table.from_pylist([block()], schema=schema).to_batches()
-                members = in_order(shingle_set(own, hasher), frequent)
+                members = in_order(own, frequent)
                 n = len(members)
                 identity = xxhash.xxh3_128_hexdigest(members.tobytes()) if n else None
                 keep = min(n, int(prefix_size(n, _slack(n)))) if n else 0
-                held.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), n, identity,
+                held.append((part.column(0)[at].as_py(), part.column(1)[at].as_py(), n, identity,
                              np.unique(members[:keep] & _TOKEN_MASK)))
-                words += len(own)
+                words += size
         if held:
             yield from pa.Table.from_pylist([block()], schema=schema).to_batches()
 
@@ -175,39 +178,42 @@ def _pack(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
             "sets array<string>, packed array<struct<part int, tokens binary, uses binary, "
             "slots binary>>")
     schema = to_arrow_schema(_parse_datatype_string(text))
-    return docs.mapInArrow(run, text)
+    return docs.mapInArrow(tidy(run), text)
 
 
 def _count_shared(batches):
     """Of the packed blocks of one partition: how many of each document's prefix shingles occur in
     any other document, as one row per block with a number per document. A shingle comes once per
-    block, however many documents there hold it."""
-    pa.default_memory_pool().release_unused()
-    blocks, tokens, uses, slots = [], [], [], []
+    block, however many documents there hold it. Blocks stay packed: they are opened one by one, to
+    find the shingles of several blocks and to count.
+    """
+    def opened(raw) -> np.ndarray:
+        return np.cumsum(from_planes(raw.as_buffer(), 6), dtype=np.uint64)
+
+    batches = [batch for batch in batches if batch.num_rows]
+    sizes = [len(raw.as_buffer()) // 6 for batch in batches for raw in batch.column(1)]
+    every, at = np.empty(sum(sizes), np.uint64), 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            blocks.append(batch.column(0)[i].as_py())
-            tokens.append(np.cumsum(from_planes(batch.column(1)[i].as_py(), 6), dtype=np.uint64))
-            uses.append(np.frombuffer(batch.column(2)[i].as_py(), np.uint16))
-            slots.append(np.frombuffer(batch.column(3)[i].as_py(), np.uint16))
-    if not blocks:
-        return
-    every, use = np.concatenate(tokens), np.concatenate(uses).astype(np.int64)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    total = np.add.reduceat(use[order], first)
-    shared = np.empty(len(every), bool)
-    shared[order] = np.repeat(total > 1, np.diff(np.r_[first, len(every)]))
-    at = 0
-    for block, own, n, slot in zip(blocks, tokens, uses, slots, strict=True):
-        flags = np.repeat(shared[at:at + len(own)], n)
-        at += len(own)
-        counts = np.bincount(slot[flags])
-        if len(counts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([counts.astype("<i4").tobytes()], pa.binary())],
-                ["block", "shared"])
+        for raw in batch.column(1):
+            own = opened(raw)
+            every[at:at + len(own)] = own
+            at += len(own)
+    every.sort()
+    several = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    for batch in batches:
+        for block, raw, use, slot in zip(*batch.columns, strict=True):
+            own, n = opened(raw), np.frombuffer(use.as_buffer(), np.uint16)
+            shared = n > 1
+            if len(several):
+                near = np.minimum(np.searchsorted(several, own), len(several) - 1)
+                shared |= several[near] == own
+            counts = np.bincount(
+                np.frombuffer(slot.as_buffer(), np.uint16)[np.repeat(shared, n)])
+            if len(counts):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.as_py()]),
+                     pa.array([counts.astype("<i4").tobytes()], pa.binary())], ["block", "shared"])
 
 
 def _sum_shared(key, table):
@@ -222,12 +228,9 @@ def _sum_shared(key, table):
 
 def _describe(batches, frequent: np.ndarray):
     """(set, copies, n, members, prefix, counts) of each wanted set from its text."""
-    hasher = WordHasher()
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            sets = [in_order(shingle_set(lowered(t), hasher), frequent)
-                    for t in part.column(1).to_pylist()]
+        for part in text_slices(batch, 1, SLICE_ROWS, WORDS_BYTES):
+            sets = [in_order(s, frequent) for s in shingle_sets(part.column(1))[0]]
             counts = [np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
                       for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -526,7 +529,7 @@ def _tiles(sets: DataFrame, group: str) -> DataFrame:
 def _found(sets: DataFrame, every: bool, group: str) -> DataFrame:
     """Numbers of links and forest edges, or with ``every`` all links, as (id, links, other)."""
     return stage(_tiles(sets, group).mapInArrow(
-        lambda batches: _links_by_tile(batches, every), "id long, links long, other long"),
+        tidy(lambda batches: _links_by_tile(batches, every)), "id long, links long, other long"),
         f"{group}/found")
 
 
@@ -543,7 +546,7 @@ def described_sets(docs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     counts = packed.select("block", F.explode("packed").alias("p")).select(
         "block", "p.tokens", "p.uses", "p.slots", "p.part").repartition(parts, "part").select(
         "block", "tokens", "uses", "slots").mapInArrow(
-        _count_shared, "block long, shared binary").groupBy("block").applyInArrow(
+        tidy(_count_shared), "block long, shared binary").groupBy("block").applyInArrow(
         _sum_shared, "block long, shared array<long>")
     blocks = packed.select("block", "doc_ids", "fps", "sizes", "sets").join(counts, "block", "left")
     rows = blocks.select("shared", F.posexplode(F.arrays_zip(
@@ -561,7 +564,7 @@ def described_sets(docs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     texts = own.withColumn("__id", doc_key()).join(wanted, ["__id", "fp"]).select(
         "set", "text", "copies").dropDuplicates(["set"])
     sets = stage(texts.mapInArrow(
-        lambda batches: _describe(batches, frequent),
+        tidy(lambda batches: _describe(batches, frequent)),
         "set string, copies long, n long, members binary, prefix array<long>, counts binary"
     ).withColumn(
         "id", F.monotonically_increasing_id()), f"{group}/sets")
