@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from postwatch.functions.texts import fold_ascii
-from postwatch.operators import discovery, ordered, search_index
+from postwatch.operators import discovery, ordered, search_index, strikes
 from postwatch.sources.sitemaps import sitemap_locs
 
 
@@ -98,3 +98,48 @@ def test_index_moves_one_row_per_text(spark):
     text = plan(grams)
     assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
     assert grams.count() == 10 + 5
+
+
+def test_replay_meets_runs_and_sightings_once(spark):
+    """What a run tells is written as one flag; the rest of the plan does not see runs again."""
+    def day(n):
+        return F.expr(f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, {n})")
+
+    n = F.col("id")
+    runs = spark.range(6).select(
+        F.concat(F.lit("r"), n.cast("string")).alias("run_id"), (n % 2).alias("company_id"),
+        day("id").alias("finished_at"),
+        F.when(n == 3, "untrusted").otherwise("trusted").alias("verdict"),
+        F.when(n == 2, "not_modified").alias("notes"))
+    jobs = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", None)],
+                                 "job_id string, company_id long")
+    seen = spark.createDataFrame([("r0", "a"), ("r0", "b"), ("r4", "a"), ("r1", "c"), ("r3", "c"),
+                                  ("r2", "b"), ("r9", "b")], "run_id string, job_id string")
+    out = strikes.replay(jobs, runs, seen)
+    text = plan(out)
+    assert "verdict" not in text and "trusted" not in text
+    got = {r.job_id: (r.missing_count, r.status, r.last_seen_at and r.last_seen_at.day)
+           for r in out.collect()}
+    assert got == {"a": (0, "open", 5), "b": (1, "possibly_closed", 3), "c": (0, "open", 4),
+                   "d": (0, "open", None)}
+
+
+def test_written_tables_are_dropped_behind_their_step(spark, tmp_path):
+    """Rows are kept as Parquet, not as a checkpoint; a step of a stream leaves none behind."""
+    import os
+
+    from postwatch.session import dropping_written, written
+
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    with dropping_written(spark):
+        kept = written(rows, "kept")
+        files = kept.inputFiles()
+        assert files and all(f.endswith(".parquet") for f in files)
+        assert kept.schema == rows.schema and sorted(kept.collect()) == sorted(rows.collect())
+        indexed = ordered.with_ordered_index(rows, ["a"], "at")
+        assert all(f.endswith(".parquet") for f in indexed.inputFiles()) and indexed.inputFiles()
+        assert [r.at for r in indexed.orderBy("a").collect()] == [0, 1]
+    assert not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)
+    assert written(rows.withColumn("n", F.lit(None)), "void").count() == 2
+    stays = written(rows, "stays")
+    assert stays.count() == 2
