@@ -143,3 +143,27 @@ def test_written_tables_are_dropped_behind_their_step(spark, tmp_path):
     assert written(rows.withColumn("n", F.lit(None)), "void").count() == 2
     stays = written(rows, "stays")
     assert stays.count() == 2
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    """A long stream holds the shuffles of one action at most; a frame can be collected again."""
+    import glob
+
+    from postwatch.session import configure
+
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    configure(spark)
+    try:
+        root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        folders = [f.getPath() for f in root.localDirs()]
+
+        def files():
+            return {f for at in folders for f in glob.glob(f"{at}/**/shuffle_*", recursive=True)}
+
+        before = files()
+        counts = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+        first = sorted(counts.collect())
+        assert not files() - before and sorted(counts.collect()) == first and len(first) == 7
+    finally:
+        if was is not None:
+            spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", was)
